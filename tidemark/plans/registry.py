@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.plans import q_expressions, q_tables, q_windows  # noqa: F401  they register their queries
+from tidemark.plans.core import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items to daily bars, a crossing of averages, its trades, and their metrics per pair."""
+    return QUERIES["flagship_trade_metrics"](spark, sf_dir)
