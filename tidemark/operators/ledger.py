@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.windows import BY_TIME, islands
 
 
 def executed(df: DataFrame) -> DataFrame:
     """`executed`: the signal of the bar before; flat on the first."""
+    from tidemark.operators.windows import BY_TIME  # not on the executors, where `ledger_rows` is imported
+
     return df.withColumn("executed", F.coalesce(F.lag("signal").over(BY_TIME), F.lit(0)))
 
 
 def island_trades(df: DataFrame) -> DataFrame:
     """Trades without stops: each stretch of one executed position, closed at the next stretch's first close."""
+    from tidemark.operators.windows import islands
+
     stretch = islands(df, "executed").groupBy("pair", "island").agg(
         F.first("executed").alias("direction"), F.min("ts").alias("entry_date"), F.max("ts").alias("last_date"), F.count("*").alias("bars"),
         F.min_by("close", "ts").alias("entry_price"), F.max_by("close", "ts").alias("last_price"), F.min_by("phase", "ts").alias("phase"),

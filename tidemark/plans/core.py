@@ -15,6 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: How a column leaves Spark and DuckDB alike: by the letter after its name. The billionth keeps halves from rounding apart.
 _SPARK = {
     "f": lambda c: (F.round(F.col(c).cast("double") + 1e-9, 6) + F.lit(0.0)).alias(c),
+    "g": lambda c: (F.round(F.col(c).cast("double") + 1e-9, 3) + F.lit(0.0)).alias(c),
     "d": lambda c: F.col(c).cast("string").alias(c),
     "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c),
     "i": lambda c: F.col(c).cast("long").alias(c),
@@ -23,6 +24,7 @@ _SPARK = {
 }
 _DUCK = {
     "f": "round(CAST({c} AS DOUBLE) + 1e-9, 6) + 0.0 AS {c}",
+    "g": "round(CAST({c} AS DOUBLE) + 1e-9, 3) + 0.0 AS {c}",
     "d": "CAST({c} AS VARCHAR) AS {c}",
     "t": "strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}",
     "i": "CAST({c} AS BIGINT) AS {c}",
