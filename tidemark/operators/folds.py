@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.windows import BY_TIME, islands, with_position
+from tidemark.operators.windows import by_time, islands, with_position
 
 
 def walk_forward(bars: DataFrame, train_months: int = 84, test_months: int = 6, step_months: int = 6) -> DataFrame:
@@ -49,7 +49,7 @@ def smooth_labels(df: DataFrame, label: str, k: int) -> DataFrame:
     numbered = islands(df, label)
     n = F.count("*").over(Window.partitionBy("pair", "island"))
     confirmed = numbered.withColumn("n", n).withColumn("ok", F.when(F.col("n") >= k, F.col(label)))
-    upto = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_time().rowsBetween(Window.unboundedPreceding, 0)
     smoothed = F.coalesce(F.last("ok", ignorenulls=True).over(upto), F.first(label).over(upto))
     return confirmed.withColumn("smoothed", smoothed).drop("island", "n", "ok")
 

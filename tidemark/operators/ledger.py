@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 
 def executed(df: DataFrame) -> DataFrame:
     """`executed`: the signal of the bar before; flat on the first."""
-    from tidemark.operators.windows import BY_TIME  # not on the executors, where `ledger_rows` is imported
+    from tidemark.operators.windows import by_time  # not on the executors, where `ledger_rows` is imported
 
-    return df.withColumn("executed", F.coalesce(F.lag("signal").over(BY_TIME), F.lit(0)))
+    return df.withColumn("executed", F.coalesce(F.lag("signal").over(by_time()), F.lit(0)))
 
 
 def island_trades(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def sma_cross(df: DataFrame) -> DataFrame:
 def slope_stochastic(df: DataFrame) -> DataFrame:
     """Trend 4: the weighted mean of 40 rises while %K of 5 is below 20, or falls while above 80; out at the other extreme."""
     d = _prepared(df, mean=W.lwma("close", 40), k=W.stochastic(5))
-    rise, k = F.col("mean") - F.lag("mean").over(W.BY_TIME), F.col("k")
+    rise, k = F.col("mean") - F.lag("mean").over(W.by_time()), F.col("k")
     return _signal(d, (rise < 0) & (k > 80), (rise > 0) & (k < 20), (k > 80) | (k < 20))
 
 
@@ -67,7 +67,7 @@ def band_fade(df: DataFrame) -> DataFrame:
 def stochastic_turn(df: DataFrame) -> DataFrame:
     """Reversion 2: %K of 2 turns up below 15 or down above 85; out where it crosses 50."""
     d = _prepared(df, k=W.stochastic(2))
-    k, before = F.col("k"), F.lag("k").over(W.BY_TIME)
+    k, before = F.col("k"), F.lag("k").over(W.by_time())
     half = F.lit(50.0)
     return _signal(d, (k > 85) & (k < before), (k < 15) & (k > before), W.crosses_above(k, half) | W.crosses_below(k, half), 0.02, 0.02)
 

@@ -24,7 +24,7 @@ def wilder(df: DataFrame, columns: dict[str, str], n: int) -> DataFrame:
     What leads up to the blocks' ends is written once, as both the ends and the rows are made from it.
     """
     decay = F.lit(1 - 1 / n)
-    upto = W.BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    upto = W.by_time().rowsBetween(Window.unboundedPreceding, 0)
     kept = df.columns
     for c in columns:
         x = F.col(c)
@@ -61,7 +61,7 @@ def _carries(ends: Column, decay: float) -> Column:
 def wilder_indicators(bars: DataFrame, n: int = 14) -> DataFrame:
     """RSI, ATR, ATR in percent, directional indicators and ADX after Wilder."""
     df = W.true_range(bars)
-    first = F.row_number().over(W.BY_TIME) == 1
+    first = F.row_number().over(W.by_time()) == 1
     # changes need a bar before; the range of the first bar stands by itself
     for c in ("up", "dn", "gain", "loss"):
         df = df.withColumn(c, F.when(~first, F.col(c)))

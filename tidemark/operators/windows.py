@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-BY_TIME = Window.partitionBy("pair").orderBy("ts")
+def by_time() -> WindowSpec:
+    """A pair in time order."""
+    return Window.partitionBy("pair").orderBy("ts")
 
 
 def last_rows(n: int, until: int = 0) -> WindowSpec:
     """The `n` rows that end `until` rows after the current one."""
-    return BY_TIME.rowsBetween(until - n + 1, until)
+    return by_time().rowsBetween(until - n + 1, until)
 
 
 def full(agg: Column, of: Column | str, n: int, until: int = 0, least: int | None = None) -> Column:
@@ -27,9 +29,9 @@ def full(agg: Column, of: Column | str, n: int, until: int = 0, least: int | Non
 
 def returns(bars: DataFrame) -> DataFrame:
     """Simple, logarithmic and next return of each bar."""
-    back = F.lag("close").over(BY_TIME)
+    back = F.lag("close").over(by_time())
     return bars.withColumns(
-        {"returns": F.col("close") / back - 1, "log_returns": F.log(F.col("close") / back), "next_return": F.lead("close").over(BY_TIME) / F.col("close") - 1}
+        {"returns": F.col("close") / back - 1, "log_returns": F.log(F.col("close") / back), "next_return": F.lead("close").over(by_time()) / F.col("close") - 1}
     )
 
 
@@ -41,7 +43,7 @@ def targets(bars: DataFrame) -> DataFrame:
 
 def lags(df: DataFrame, column: str, steps: tuple[int, ...] = (1, 2, 3, 5, 10)) -> DataFrame:
     """`column` of the bars so many steps back."""
-    return df.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(BY_TIME) for k in steps})
+    return df.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(by_time()) for k in steps})
 
 
 def rolling(df: DataFrame, column: str, sizes: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -63,7 +65,7 @@ def sma(column: str, n: int) -> Column:
 
 def lwma(column: str, n: int) -> Column:
     """Linearly weighted mean of the last `n` bars, the newest with weight `n`."""
-    weighted = reduce(lambda a, b: a + b, [F.lag(column, n - w).over(BY_TIME) * w for w in range(1, n + 1)])
+    weighted = reduce(lambda a, b: a + b, [F.lag(column, n - w).over(by_time()) * w for w in range(1, n + 1)])
     return weighted / (n * (n + 1) / 2)
 
 
@@ -95,7 +97,7 @@ def stochastic(n: int) -> Column:
 
 def true_range(bars: DataFrame) -> DataFrame:
     """`tr`, directional moves `up` and `dn`, `gain` and `loss` of the close; 0 where there is no bar before."""
-    close, high, low = (F.lag(c).over(BY_TIME) for c in ("close", "high", "low"))
+    close, high, low = (F.lag(c).over(by_time()) for c in ("close", "high", "low"))
     before = F.coalesce(close, F.col("close"))
     up, dn, change = F.col("high") - high, low - F.col("low"), F.col("close") - close
     return bars.withColumns(
@@ -143,22 +145,22 @@ def phase(high_vol: str, trending: str) -> Column:
 
 def forward_fill(column: str) -> Column:
     """The last known value."""
-    return F.last(column, ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(column, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def hold(event: Column) -> Column:
     """The position that the last event asks for; flat before the first."""
-    return F.coalesce(F.last(event, ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return F.coalesce(F.last(event, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
 def crosses_above(a: Column, b: Column) -> Column:
     """Now above, and not so on the bar before."""
-    return (a > b) & (F.lag(a).over(BY_TIME) <= F.lag(b).over(BY_TIME))
+    return (a > b) & (F.lag(a).over(by_time()) <= F.lag(b).over(by_time()))
 
 
 def crosses_below(a: Column, b: Column) -> Column:
     """Now below, and not so on the bar before."""
-    return (a < b) & (F.lag(a).over(BY_TIME) >= F.lag(b).over(BY_TIME))
+    return (a < b) & (F.lag(a).over(by_time()) >= F.lag(b).over(by_time()))
 
 
 def drawdown(df: DataFrame, equity: str, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
@@ -169,18 +171,18 @@ def drawdown(df: DataFrame, equity: str, keys: tuple[str, ...] = ("pair",)) -> D
 
 def normalised(column: str) -> Column:
     """The value as a percentage of the first one."""
-    return F.col(column) / F.first(column).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)) * 100
+    return F.col(column) / F.first(column).over(by_time().rowsBetween(Window.unboundedPreceding, 0)) * 100
 
 
 def gap_days(df: DataFrame) -> DataFrame:
     """Days since the bar before."""
-    return df.withColumn("gap_days", F.datediff("ts", F.lag("ts").over(BY_TIME)))
+    return df.withColumn("gap_days", F.datediff("ts", F.lag("ts").over(by_time())))
 
 
 def islands(df: DataFrame, label: str, name: str = "island") -> DataFrame:
     """A running number for each stretch of equal labels."""
-    changed = (~F.col(label).eqNullSafe(F.lag(label).over(BY_TIME))) | (F.row_number().over(BY_TIME) == 1)
-    return df.withColumn(name, F.sum(changed.cast("long")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = (~F.col(label).eqNullSafe(F.lag(label).over(by_time()))) | (F.row_number().over(by_time()) == 1)
+    return df.withColumn(name, F.sum(changed.cast("long")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def island_lengths(df: DataFrame, label: str) -> DataFrame:
@@ -194,27 +196,27 @@ def island_lengths(df: DataFrame, label: str) -> DataFrame:
 
 def switched(label: str) -> Column:
     """Whether the label is another than on the bar before; never on the first."""
-    return F.coalesce(F.col(label) != F.lag(label).over(BY_TIME), F.lit(False))
+    return F.coalesce(F.col(label) != F.lag(label).over(by_time()), F.lit(False))
 
 
 def forward_return(column: str, horizon: int) -> Column:
     """Return over the next `horizon` bars."""
-    return F.lead(column, horizon).over(BY_TIME) / F.col(column) - 1
+    return F.lead(column, horizon).over(by_time()) / F.col(column) - 1
 
 
 def with_position(df: DataFrame) -> DataFrame:
     """`pos`: the bar's number within its pair, from 0."""
-    return df.withColumn("pos", F.row_number().over(BY_TIME) - 1)
+    return df.withColumn("pos", F.row_number().over(by_time()) - 1)
 
 
 def previous_mean(column: str, n: int = 5) -> Column:
     """Mean of up to `n` bars before the current one."""
-    return F.avg(column).over(BY_TIME.rowsBetween(-n, -1))
+    return F.avg(column).over(by_time().rowsBetween(-n, -1))
 
 
 def state_transitions(df: DataFrame, active: str) -> DataFrame:
     """`transition`: first, enter, exit or steady."""
-    before = F.lag(active).over(BY_TIME)
+    before = F.lag(active).over(by_time())
     label = F.when(before.isNull(), "first").when(F.col(active) & ~before, "enter").when(~F.col(active) & before, "exit").otherwise("steady")
     return df.withColumn("transition", label)
 
@@ -229,8 +231,8 @@ def last_share_active(df: DataFrame, share: float) -> DataFrame:
 def around_transitions(df: DataFrame, active: str, n: int) -> DataFrame:
     """Rows within `n` rows of a change of `active`, with the number of the first change that reaches them."""
     moved = state_transitions(df, active).withColumn("change", F.when(F.col("transition").isin("enter", "exit"), 1).otherwise(0))
-    numbered = moved.withColumn("number", F.when(F.col("change") == 1, F.sum("change").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))))
-    return numbered.withColumn("window", F.min("number").over(BY_TIME.rowsBetween(-n, n))).filter("window is not null")
+    numbered = moved.withColumn("number", F.when(F.col("change") == 1, F.sum("change").over(by_time().rowsBetween(Window.unboundedPreceding, 0))))
+    return numbered.withColumn("window", F.min("number").over(by_time().rowsBetween(-n, n))).filter("window is not null")
 
 
 def sign_flips(df: DataFrame, column: str, keys: list[str], order: str) -> DataFrame:
@@ -244,7 +246,7 @@ def sentiment_events(hourly: DataFrame) -> DataFrame:
     """Strength of each hour's move, streak of strong hours, and returns over the next 12 and 48 hours."""
     s = hourly.withColumn("abs_sentiment", F.least(F.lit(100.0), F.abs(F.col("close") / F.col("open") - 1) * 200))
     s = s.withColumns({"ret_12b": forward_return("close", 12), "ret_48b": forward_return("close", 48), "strong": F.col("abs_sentiment") >= 70})
-    s = s.withColumn("g", F.sum((~F.col("strong")).cast("int")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("g", F.sum((~F.col("strong")).cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     streak = F.row_number().over(Window.partitionBy("pair", "g", "strong").orderBy("ts"))
     return s.select("pair", F.col("ts").alias("entry_time"), "abs_sentiment", F.when(F.col("strong"), streak).otherwise(0).alias("streak"), "ret_12b", "ret_48b")
 

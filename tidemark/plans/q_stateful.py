@@ -40,7 +40,7 @@ def s01_w16_wilder_atr(spark, sf):
 )
 def w15_wilder_rsi(spark, sf):
     """RSI after Wilder, of bars with a bar before."""
-    return X.wilder_indicators(D.bars(spark, sf)).withColumn("n", F.row_number().over(W.BY_TIME)).filter("n > 1")
+    return X.wilder_indicators(D.bars(spark, sf)).withColumn("n", F.row_number().over(W.by_time())).filter("n > 1")
 
 
 @query("pair:s ts:d plus_di:f minus_di:f adx:f")
@@ -168,7 +168,7 @@ def m03_direction_variants(spark, sf):
 @query("pair:s ts:d predicted:s")
 def m04_next_phase(spark, sf):
     """Next phase from one pooled model."""
-    rows = _model_rows(spark, sf).withColumn("next_phase", F.lead("phase").over(W.BY_TIME)).dropna(subset=["next_phase"])
+    rows = _model_rows(spark, sf).withColumn("next_phase", F.lead("phase").over(W.by_time())).dropna(subset=["next_phase"])
     model = M.fit_types(rows.filter(F.year("ts") < 2000), _FEATURES, "next_phase")
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     return model.transform(rows.filter(F.year("ts") >= 2000)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))

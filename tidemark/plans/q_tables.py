@@ -463,12 +463,12 @@ _COL = "SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS p, confid
 def a31_confidence_collapse(spark, sf):
     """Collapses of confidence, and how soon it comes back."""
     t = D.timeline(spark, sf)
-    known = t.filter("confidence is not null").withColumn("p", F.row_number().over(W.BY_TIME)).withColumn("low", F.col("confidence") < 0.3)
+    known = t.filter("confidence is not null").withColumn("p", F.row_number().over(W.by_time())).withColumn("low", F.col("confidence") < 0.3)
     by = Window.partitionBy("pair").orderBy("p")
     ahead = F.min(F.when(~F.col("low"), F.col("p"))).over(by.rowsBetween(0, Window.unboundedFollowing))
     begun = known.withColumns({"b": F.coalesce(F.lag("low").over(by), F.lit(False)), "r": ahead}).filter("low and not b")
     c = begun.groupBy("pair").agg(F.count("*").alias("collapses"), F.avg(F.col("r") - F.col("p")).alias("mean_recovery"))
-    f = t.withColumn("f", F.coalesce(F.lag("fallback_active").over(W.BY_TIME), F.lit(False))).groupBy("pair").agg(F.count_if(F.col("fallback_active") & ~F.col("f")).alias("fallback_entries"))
+    f = t.withColumn("f", F.coalesce(F.lag("fallback_active").over(W.by_time()), F.lit(False))).groupBy("pair").agg(F.count_if(F.col("fallback_active") & ~F.col("f")).alias("fallback_entries"))
     return c.join(f, "pair")
 
 
@@ -541,7 +541,7 @@ def a42_yearly_metrics(spark, sf):
 @query("phase:s model_acc:f persistence_acc:f n:i", "SELECT phase, avg(CASE WHEN m = nx THEN 1.0 ELSE 0 END) AS model_acc, avg(CASE WHEN phase = nx THEN 1.0 ELSE 0 END) AS persistence_acc, count(*) AS n FROM (SELECT phase, lag(phase) OVER w AS m, lead(phase) OVER w AS nx, row_number() OVER w AS r FROM enriched WINDOW w AS (PARTITION BY pair ORDER BY ts)) WHERE r > 504 AND nx IS NOT NULL GROUP BY phase", "enriched")
 def a43_prediction_accuracy(spark, sf):
     """A prediction against persistence, after warm-up."""
-    e = W.with_position(D.enriched(spark, sf)).withColumns({"m": F.lag("phase").over(W.BY_TIME), "nx": F.lead("phase").over(W.BY_TIME)}).filter("pos >= 504 and nx is not null")
+    e = W.with_position(D.enriched(spark, sf)).withColumns({"m": F.lag("phase").over(W.by_time()), "nx": F.lead("phase").over(W.by_time())}).filter("pos >= 504 and nx is not null")
     return e.groupBy("phase").agg(F.avg((F.col("m") == F.col("nx")).cast("double")).alias("model_acc"), F.avg((F.col("phase") == F.col("nx")).cast("double")).alias("persistence_acc"), F.count("*").alias("n"))
 
 

@@ -281,7 +281,7 @@ def w34_sign_flips(spark, sf):
 def w38_next_phase(spark, sf):
     """Class of the next bar's phase."""
     codes = F.create_map(*[F.lit(x) for kv in (("HV_Trend", 0), ("LV_Trend", 1), ("HV_Ranging", 2), ("LV_Ranging", 3)) for x in kv])
-    return D.enriched(spark, sf).withColumn("target", F.element_at(codes, F.lead("phase").over(W.BY_TIME)))
+    return D.enriched(spark, sf).withColumn("target", F.element_at(codes, F.lead("phase").over(W.by_time())))
 
 
 @query("pair:s ts:d returns_mean_20:f returns_std_20:f", f"SELECT pair, ts, {_rolling_sql('mean', 'avg(returns)')}, {_rolling_sql('std', 'stddev_samp(returns)')} FROM rets", "rets")
