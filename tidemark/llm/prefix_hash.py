@@ -133,9 +133,9 @@ def _row(doc_id: int | None, text: str, own: np.ndarray, following: str, next_sk
     return {
         "doc_id": doc_id,
         "n_chars": len(text),
-        "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": own.tobytes().hex(),
-        "edited_fingerprint": other.tobytes().hex(),
+        "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(),
+        "fingerprint": own.tobytes(),
+        "edited_fingerprint": other.tobytes(),
         "near_edited": likeness(own, other),
         "near_next": likeness(own, next_sketch),
         "common_prefix": a.extension(0, b, 0),
@@ -143,8 +143,8 @@ def _row(doc_id: int | None, text: str, own: np.ndarray, following: str, next_sk
 
 
 _COLUMNS = {
-    "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string",
-    "edited_fingerprint": "string", "near_edited": "double", "near_next": "double", "common_prefix": "long",
+    "doc_id": "long", "n_chars": "long", "edited_sha256": "binary", "fingerprint": "binary",
+    "edited_fingerprint": "binary", "near_edited": "double", "near_next": "double", "common_prefix": "long",
 }
 _EDGE = {"part": "long", "first_id": "long", "first_text": "string", "last_id": "long", "last_text": "string"}
 
@@ -201,4 +201,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             if rows:
                 yield {c: [r[c] for r in rows] for c in _COLUMNS}
 
-    return inner.unionByName(map_arrow(pairs, ["last_id", "last_text", "first_text"], last, ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())))
+    every = inner.unionByName(map_arrow(pairs, ["last_id", "last_text", "first_text"], last, ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())))
+    # digits only now: in the table that is written they would take twice the space
+    return every.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in _COLUMNS.items()])
