@@ -178,14 +178,22 @@ def encoder(path: str) -> Encoder:
 
 
 class _Spelled(dict):
-    """Strings made from a chunk's ids, kept for as long as the batch lasts."""
+    """Strings made from a chunk's ids; emptied when they are more than the encoder remembers."""
 
-    def __init__(self, known: dict[str, bytes], spell):
+    def __init__(self, enc: Encoder, spell):
         super().__init__()
-        self._known, self._spell = known, spell
+        self.known: dict[str, bytes] = {}
+        self._most, self._spell = enc.REMEMBERED, spell
+
+    def over(self, known: dict[str, bytes]) -> _Spelled:
+        """The same strings, for chunks of `known`."""
+        self.known = known
+        if len(self) > self._most:
+            self.clear()
+        return self
 
     def __missing__(self, chunk: str) -> str:
-        out = self[chunk] = self._spell(np.frombuffer(self._known[chunk], "<u4").tolist())
+        out = self[chunk] = self._spell(np.frombuffer(self.known[chunk], "<u4").tolist())
         return out
 
 
@@ -194,12 +202,12 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def work(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         enc = encoder(vocabulary)
+        spelled_ids, spelled_names = _Spelled(enc, lambda x: " ".join(map(str, x))), _Spelled(enc, enc.decode)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for doc_ids, texts in batches:
             split = [enc.chunks(t or "") for t in texts]
             known = enc.learn(split)
-            ids = _Spelled(known, lambda x: " ".join(map(str, x)))
-            names = _Spelled(known, enc.decode)
+            ids, names = spelled_ids.over(known), spelled_names.over(known)
             yield {
                 "doc_id": doc_ids,
                 "n_tokens": [sum([len(known[c]) for c in cs]) // 4 for cs in split],
