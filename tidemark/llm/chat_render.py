@@ -75,6 +75,18 @@ class Span:
     rewritten: bool
 
 
+def common_prefix(a: str, b: str) -> int:
+    """How far two strings agree, by halves: each step compares slices, not single characters."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def locate_turns(template: Callable[[Turns], str], turns: Turns) -> tuple[str, list[Span]]:
     """The output for all turns, and each turn's span in it, from renderings of successive prefixes."""
     before, spans = template([]), []
@@ -84,11 +96,11 @@ def locate_turns(template: Callable[[Turns], str], turns: Turns) -> tuple[str, l
         rewritten = not now.startswith(before)
         start = len(before)
         if rewritten:  # all that is certain: up to here the two outputs agree
-            start = next((i for i, (a, b) in enumerate(zip(now, before, strict=False)) if a != b), min(len(now), len(before)))
+            start = common_prefix(now, before)
         probed = template([*head, (role, PROBE)])
         # the probe is the first one after what was there: the role that comes before it is rendered alike with an empty text
         empty = template([*head, (role, "")])
-        at = next((i for i, (a, b) in enumerate(zip(probed, empty, strict=False)) if a != b), len(empty))
+        at = common_prefix(probed, empty)
         spans.append(Span(start, len(now), at, at + len(now) - len(empty), rewritten))
         before = now
     return before, spans
