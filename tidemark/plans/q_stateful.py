@@ -323,9 +323,9 @@ def _stream(spark, sf):
 def _run(spark, df, mode="append"):
     """Run a stream over all that is there, into a table in the shared folder, and read that."""
     path = _folder(spark)
-    q = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    q = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 _LAST = "SELECT max(ts) FROM events"
@@ -346,9 +346,10 @@ def st02_day_features(spark, sf):
 @query("event_id:i pair:s", "SELECT event_id, event_type AS pair FROM events WHERE event_id % 97 = 0")
 def st03_quarantine(spark, sf):
     """Predictions that came too late, set aside by each micro-batch."""
-    good, bad = _folder(spark), _folder(spark)
+    path = _folder(spark)
+    good, bad = f"{path}/good", f"{path}/bad"
     s = _stream(spark, sf).withColumn("available_ts", F.when(F.col("event_id") % 97 == 0, F.expr("ts + INTERVAL 10 MINUTES")).otherwise(F.expr("ts - INTERVAL 5 MINUTES")))
-    q = s.writeStream.option("checkpointLocation", f"{good}-state").trigger(availableNow=True).foreachBatch(lambda b, _: ST.split_acausal(b, good, bad)).start()
+    q = s.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda b, _: ST.split_acausal(b, good, bad)).start()
     q.awaitTermination()
     return spark.read.parquet(bad)
 
