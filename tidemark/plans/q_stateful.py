@@ -74,7 +74,7 @@ def w37_labelled_regimes(spark, sf):
 
 
 def _long_signals(spark, sf, names=("TF3", "MR5", "MR1")):
-    e = D.enriched(spark, sf)
+    e = materialise(D.enriched(spark, sf))  # three strategies read it
     parts = None
     for name in names:
         one = S.STRATEGIES[name](e).select("pair", "ts", "high", "low", "close", "phase", "signal", "sl_pct", "tp_pct", F.lit(name).alias("strategy_id"))
