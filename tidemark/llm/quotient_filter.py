@@ -125,9 +125,19 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are."""
-    groups = materialise(duplicate_groups(docs)).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    named = docs.withColumn("__sha", F.sha2(or_empty("text"), 256)).join(groups.withColumn("__many", F.lit(True)), "__sha", "left")
-    many = F.coalesce("__many", F.lit(False))
-    stay = named.filter(many & F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
-    return named.filter(~many).unionByName(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that stay, all columns as they are.
+
+    The texts are shuffled once, whatever the groups' number, so that a larger table has no other plan.
+    """
+    groups = materialise(duplicate_groups(docs)).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__many"))
+    sha = F.sha2(or_empty("text"), 256)
+    # texts whose doc_id that stays is that of several rows: few if ids are unique, and then the second pass is a small join
+    rows = docs.select("doc_id", sha.alias("__sha")).join(groups, "__sha").filter(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    tied = materialise(rows.groupBy("__sha").agg(F.count("*").alias("n")).filter("n > 1").select("__sha"))
+    named = docs.withColumn("__sha", sha)
+    groups = groups.join(tied.withColumn("__tied", F.lit(True)), "__sha", "left")
+    stays = ~F.coalesce("__many", F.lit(False)) | (F.col("doc_id").eqNullSafe(F.col("__keep")) & F.col("__tied").isNull())
+    alone = named.join(groups.hint("merge"), "__sha", "left").filter(stays)
+    again = named.join(tied, "__sha").join(groups.select("__sha", "__keep"), "__sha").filter(F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(*columns).unionByName(again.select(*columns))
