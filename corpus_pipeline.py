@@ -25,7 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the one with the smallest doc_id."""
+    """Of texts that share 0.8 of their five-word shingles the one with the smallest doc_id."""
     batch_rows(spark)
     return simhash.keep_first(docs)
 

@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, odd_documents
-from tests.llm.test_documents import base_spans, components, naive_fingerprint
+from tests.llm.test_documents import base_spans, smallest_of_copies
 from tidemark.llm import packing
 
 
@@ -35,9 +35,8 @@ def test_stages_in_order(spark, folder):
     assert docs.columns == columns and sorted((r["text"], str(r["doc_id"])) for r in docs.collect()) == sorted((t, str(i)) for t, i in largest.items())
 
     docs = stages["simhash_dedup"](spark, docs, folder).cache()
-    items = list(largest.items())
-    ids = components([naive_fingerprint(t) for t, _ in items], [i for _, i in items])
-    assert docs.columns == columns and {r["doc_id"] for r in docs.collect()} == set(ids)
+    want = smallest_of_copies([(i, t) for t, i in largest.items()])
+    assert docs.columns == columns and {r["doc_id"] for r in docs.collect()} == want
 
     masked = stages["personal_data"](spark, docs, folder)
     assert masked.columns == columns and masked.count() == docs.count()

@@ -63,4 +63,5 @@ _ARROW = {
     T.DoubleType: pa.float64(),
     T.BooleanType: pa.bool_(),
     T.BinaryType: pa.binary(),
+    T.ArrayType: pa.list_(pa.int64()),
 }

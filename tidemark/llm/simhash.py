@@ -9,6 +9,9 @@ and a block is abandoned as soon as every counter has passed the radius. A bucke
 for each group it finds, so no group emits its pairs; buckets above `CHUNK` are dealt out as pairs of chunks.
 Groups are then joined across buckets by alternating large-star and small-star rounds.
 
+Three bits are few: texts that share 0.8 of their shingles mostly differ in more. `near_copies` finds those, with a
+radius of 15 bits among texts that agree in a band of shingle minima, and holds each link against the texts.
+
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; equal rows are in one group;
 a null doc_id is linked, but is never the smallest of a group that has another; an empty table gives no rows.
 """
@@ -57,7 +60,11 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
 
 def fingerprint(text: str, words: int = WORDS) -> int:
     """The 64-bit fingerprint, unsigned."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[a : a + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -73,21 +80,21 @@ def planes(fingerprints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def beyond(left: np.ndarray, right: np.ndarray, bits: list[int]) -> np.ndarray:
-    """Bit-sliced distances over `bits` of two arrays of planes that broadcast: set where more than RADIUS differ.
+def beyond(left: np.ndarray, right: np.ndarray, bits: list[int], counters: int = 2) -> np.ndarray:
+    """Bit-sliced distances over `bits` of two arrays of planes that broadcast: set where 2**counters or more differ.
 
-    `ones` and `twos` are the carry-save counters; the carry out of `twos` is a distance of four, and stays.
+    Each plane of differences is added by carry-save: a counter holds one bit of all distances, its carry goes to
+    the next, and what leaves the last one stays.
     """
-    ones = twos = over = None
+    sums: list[np.ndarray] = []
+    over = None
     for k, b in enumerate(bits):
-        d = left[b] ^ right[b]
-        if ones is None:
-            ones, twos, over = d, np.zeros_like(d), np.zeros_like(d)
-            continue
-        carry = ones & d
-        ones = ones ^ d
-        over |= twos & carry
-        twos ^= carry
+        carry = left[b] ^ right[b]
+        if over is None:
+            sums, over = [np.zeros_like(carry) for _ in range(counters)], np.zeros_like(carry)
+        for c in range(counters):
+            sums[c], carry = sums[c] ^ carry, sums[c] & carry
+        over |= carry
         if k % 8 == 7 and bool((over == np.uint64(2**64 - 1)).all()):
             break  # every distance in the block has passed the radius
     return over
@@ -99,13 +106,13 @@ def _spread(queries: np.ndarray) -> np.ndarray:
     return (np.uint64(0) - bits)[:, :, None]
 
 
-def trees(fingerprints: np.ndarray, bits: list[int]) -> list[tuple[int, int]]:
+def trees(fingerprints: np.ndarray, bits: list[int], counters: int = 2) -> list[tuple[int, int]]:
     """For distinct fingerprints: links (position, position) that join each group of linked ones, one less than its size."""
     n = len(fingerprints)
     block = planes(fingerprints)[:, None, :]
     near = np.zeros((n, block.shape[2]), np.uint64)
     for a in range(0, n, 256):
-        near[a : a + 256] = ~beyond(_spread(fingerprints[a : a + 256]), block, bits)
+        near[a : a + 256] = ~beyond(_spread(fingerprints[a : a + 256]), block, bits, counters)
     real = np.zeros(block.shape[2] * 64, np.uint8)
     real[:n] = 1
     todo = np.packbits(real, bitorder="little").view("<u8").copy()
@@ -123,7 +130,7 @@ def trees(fingerprints: np.ndarray, bits: list[int]) -> list[tuple[int, int]]:
     return links
 
 
-def _small_links(key: np.ndarray, fps: np.ndarray, mask: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_links(key: np.ndarray, fps: np.ndarray, most: int, counters: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs inside buckets of at most `most`, all buckets together: the planes hold pairs instead of fingerprints."""
     left, right = [], []
     for step in range(1, most):
@@ -131,7 +138,7 @@ def _small_links(key: np.ndarray, fps: np.ndarray, mask: np.ndarray, most: int)
         if not len(i):
             break
         differ = fps[i] ^ fps[i + step]
-        over = beyond(planes(differ), np.zeros((64, 1), np.uint64), list(range(64)))
+        over = beyond(planes(differ), np.zeros((64, 1), np.uint64), list(range(64)), counters)
         hit = i[np.unpackbits(over.view(np.uint8), bitorder="little")[: len(i)] == 0]
         left.append(hit)
         right.append(hit + step)
@@ -141,39 +148,42 @@ def _small_links(key: np.ndarray, fps: np.ndarray, mask: np.ndarray, most: int)
 def bucket_links(fingerprints: DataFrame) -> DataFrame:
     """`a, b`: linked fingerprints (column `fp`, distinct), enough of them to join every group."""
     masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in MASKS])
-    keyed = fingerprints.select("fp", F.posexplode(masks).alias("choice", "mask")).select(
-        "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    keyed = fingerprints.select(F.col("fp").alias("node"), "fp", F.posexplode(masks).alias("choice", "mask")).select(
+        "node", "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
     )
+    # the bits of a key are equal in its bucket
+    return links_in_buckets(keyed, [[k for k in range(64) if not m >> k & 1] for m in MASKS], 2)
+
+
+def links_in_buckets(keyed: DataFrame, bits: list[list[int]], counters: int) -> DataFrame:
+    """`a, b`: nodes of a bucket (`node, fp, choice, key`) whose fingerprints differ in fewer than 2**counters of the choice's bits."""
     counts = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     counts = counts.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     shared = keyed.join(counts, ["choice", "key"])
     # a bucket of several chunks is dealt out: each pair of chunks is a cell, and a row goes to the cells of its chunk
-    chunk = F.pmod(F.xxhash64("fp", "key"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
     cells = F.transform(other, lambda o: F.least(o, F.col("chunk")) * F.col("chunks") + F.greatest(o, F.col("chunk")))
-    dealt = shared.withColumn("chunk", chunk).select("choice", "key", F.explode(cells).alias("cell"), "fp")
-    n = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(n, "choice", "key", "cell").sortWithinPartitions("choice", "key", "cell", "fp")
+    dealt = shared.withColumn("chunk", chunk).select("choice", "key", F.explode(cells).alias("cell"), "fp", "node")
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(n, "choice", "key", "cell").sortWithinPartitions("choice", "key", "cell", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for arrays in _whole_buckets(batches):
-            choice, key, cell, fps = arrays
+        for choice, key, cell, fps, nodes in _whole_buckets(batches):
             starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
             sizes = np.diff(np.r_[starts, len(key)])
             unsigned = fps.view(np.uint64)
             number = np.repeat(np.arange(len(starts)), sizes)
             small = np.repeat(sizes <= 16, sizes)
-            i, j = _small_links(number[small], unsigned[small], choice, 16)
-            a, b = [fps[small][i]], [fps[small][j]]
+            i, j = _small_links(number[small], unsigned[small], 16, counters)
+            a, b = [nodes[small][i]], [nodes[small][j]]
             for at, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-                bits = [k for k in range(64) if not MASKS[int(choice[at])] >> k & 1]
-                links = np.array(trees(unsigned[at : at + size], bits) or np.zeros((0, 2)), np.int64).reshape(-1, 2) + at
-                a.append(fps[links[:, 0]])
-                b.append(fps[links[:, 1]])
+                found = trees(unsigned[at : at + size], bits[int(choice[at])], counters)
+                links = np.array(found or np.zeros((0, 2)), np.int64).reshape(-1, 2) + at
+                a.append(nodes[links[:, 0]])
+                b.append(nodes[links[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], schema=schema)
-        del held
 
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
@@ -253,10 +263,71 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return prints.join(fingerprint_groups(prints), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their group, all columns as they are."""
-    prints = materialise(with_fingerprints(docs, words))
-    # what goes: all but one row of each group. As most documents are alone, this is the smaller table
-    gone = prints.join(fingerprint_groups(prints), "fp").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    gone = materialise(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+#: For copies of a stated similarity: minima of shingle hashes, in bands of so many, and counters for the radius of 15.
+BANDS, ROWS_IN_BAND, COPY_COUNTERS = 12, 2, 4
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(BANDS * ROWS_IN_BAND)], np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minima: texts of 0.8 similarity agree in one of them but once in 200,000 times."""
+    least = np.array([((hashes ^ (hashes >> np.uint64(29))) * f).min() for f in _FACTORS], np.uint64).reshape(BANDS, ROWS_IN_BAND)
+    return (least[:, 0] * np.uint64(31) + (least[:, 1] >> np.uint64(7))).view(np.int64).tolist()
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`node, root` of texts (by their hash) that share at least `similarity` of their shingles, through others as well.
+
+    Candidates are texts that agree in a band of shingle minima and whose fingerprints, compared bit-sliced, differ in
+    at most 15 bits; a bucket answers with trees again. Each link is then held against the two texts' whole sets of
+    shingles, so that no link between unlike texts remains.
+    """
+    keyed = docs.select(or_empty("text").alias("text")).withColumn("node", F.xxhash64("text")).filter("text <> ''")
+
+    def sketch(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for nodes, texts in batches:
+            hashes = [shingle_hashes(t, words) for t in texts]
+            fps = [int(np.uint64(fingerprint_of(h)).view(np.int64)) for h in hashes]
+            yield {"node": nodes, "fp": fps, "bands": [band_keys(h) if len(h) else [] for h in hashes]}
+
+    sketches = materialise(map_arrow(keyed, ["node", "text"], sketch, "node long, fp long, bands array<bigint>").dropDuplicates(["node"]))
+    buckets = sketches.select("node", "fp", F.posexplode("bands").alias("choice", "key"))
+    links = materialise(links_in_buckets(buckets, [list(range(64))] * BANDS, COPY_COUNTERS).filter("a <> b"))
+    asked = materialise(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct())
+
+    def sets(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for nodes, texts in batches:
+            yield {"node": nodes, "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]}
+
+    texts = keyed.join(asked.hint("merge"), "node", "left_semi")
+    sets_ = materialise(map_arrow(texts, ["node", "text"], sets, "node long, shingles binary").dropDuplicates(["node"]))
+    side = lambda c: sets_.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    pairs = links.join(side("a"), "a").join(side("b"), "b")
+
+    def hold(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for a, b, a_sets, b_sets in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for x, y, p, q in zip(a, b, a_sets, b_sets, strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= similarity * (len(p) + len(q) - both):
+                    out["a"].append(x)
+                    out["b"].append(y)
+            yield out
+
+    return join_groups(map_arrow(pairs, ["a", "b", "a_set", "b_set"], hold, "a long, b long"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` whose doc_id is the smallest of their group of near copies, all columns as they are.
+
+    Equal texts are one group; of their rows all that have the smallest doc_id stay. Empty texts are a group.
+    """
+    roots = near_copies(docs, words, similarity)
+    ids = docs.select("doc_id", F.xxhash64(or_empty("text")).alias("node"))
+    rooted = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # what goes: as most documents are alone, this is the smaller table; joined by sorting, however small it is
+    gone = materialise(rooted.join(least, "root").filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "node").distinct())
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).hint("merge")
+    named = docs.withColumn("__n", F.xxhash64(or_empty("text")))
+    return named.join(gone, (F.col("__n") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").drop("__n")
