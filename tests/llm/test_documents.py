@@ -201,6 +201,38 @@ def test_near_copies_of_stated_similarity(odd_docs):
     assert {r["doc_id"] for r in kept.collect()} == smallest_of_copies(ROWS)
 
 
+def edits(n: int, texts: int, most: int) -> list[tuple]:
+    """A family: texts of `n` words of which up to `most` were changed, so that some are 0.8 alike and others are not."""
+    rng = np.random.default_rng(n)
+    base = [f"w{k}" for k in range(n)]
+    made = set()
+    while len(made) < texts:
+        words = list(base)
+        for k in rng.integers(0, n, rng.integers(0, most)).tolist():
+            words[k] = f"x{rng.integers(0, 3)}"
+        made.add(" ".join(words))
+    return list(enumerate(sorted(made)))
+
+
+@pytest.mark.parametrize("chunk", [2048, 60])
+def test_no_link_is_lost_within_a_family(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = edits(150, 200, 25) + [(1000 + i, t) for i, t in edits(40, 100, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = smallest_of_copies(rows)
+    assert 20 < len(want) < 280
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == want
+
+
+@pytest.mark.parametrize("radius", [3, 15, 20])
+def test_bit_sliced_distances(radius):
+    rng = np.random.default_rng(radius)
+    prints = rng.integers(0, 2**64, 200, dtype=np.uint64) & rng.integers(0, 2**64, 200, dtype=np.uint64)
+    over = simhash.beyond(simhash._spread(prints), simhash.planes(prints)[:, None, :], list(range(64)), radius)
+    bits = np.unpackbits(over.view(np.uint8), axis=1, bitorder="little")[:, :200]
+    assert (bits == (np.bitwise_count(prints[:, None] ^ prints) > radius)).all()
+
+
 @pytest.mark.parametrize("n", [2, 17, 300, 2500])
 def test_simhash_links_join_every_group(spark, n):
     rng = np.random.default_rng(n)

@@ -9,8 +9,9 @@ and a block is abandoned as soon as every counter has passed the radius. A bucke
 for each group it finds, so no group emits its pairs; buckets above `CHUNK` are dealt out as pairs of chunks.
 Groups are then joined across buckets by alternating large-star and small-star rounds.
 
-Three bits are few: texts that share 0.8 of their shingles mostly differ in more. `near_copies` finds those, with a
-radius of 15 bits among texts that agree in a band of shingle minima, and holds each link against the texts.
+Three bits are few: texts that share 0.8 of their shingles mostly differ in more. `near_copies` finds those: a radius
+of 20 bits among texts that agree in a band of shingle minima makes families, and within a family the whole sets of
+shingles decide which texts are linked.
 
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; equal rows are in one group;
 a null doc_id is linked, but is never the smallest of a group that has another; an empty table gives no rows.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -80,18 +81,21 @@ def planes(fingerprints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def beyond(left: np.ndarray, right: np.ndarray, bits: list[int], counters: int = 2) -> np.ndarray:
-    """Bit-sliced distances over `bits` of two arrays of planes that broadcast: set where 2**counters or more differ.
+def beyond(left: np.ndarray, right: np.ndarray, bits: list[int], radius: int = RADIUS) -> np.ndarray:
+    """Bit-sliced distances over `bits` of two arrays of planes that broadcast: set where more than `radius` differ.
 
     Each plane of differences is added by carry-save: a counter holds one bit of all distances, its carry goes to
-    the next, and what leaves the last one stays.
+    the next, and what leaves the last one stays. Counting starts so high that this is the radius plus one.
     """
+    counters = radius.bit_length()
+    start = (1 << counters) - 1 - radius
     sums: list[np.ndarray] = []
     over = None
     for k, b in enumerate(bits):
         carry = left[b] ^ right[b]
         if over is None:
-            sums, over = [np.zeros_like(carry) for _ in range(counters)], np.zeros_like(carry)
+            sums = [np.full_like(carry, 2**64 - 1 if start >> c & 1 else 0) for c in range(counters)]
+            over = np.zeros_like(carry)
         for c in range(counters):
             sums[c], carry = sums[c] ^ carry, sums[c] & carry
         over |= carry
@@ -106,13 +110,13 @@ def _spread(queries: np.ndarray) -> np.ndarray:
     return (np.uint64(0) - bits)[:, :, None]
 
 
-def trees(fingerprints: np.ndarray, bits: list[int], counters: int = 2) -> list[tuple[int, int]]:
+def trees(fingerprints: np.ndarray, bits: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """For distinct fingerprints: links (position, position) that join each group of linked ones, one less than its size."""
     n = len(fingerprints)
     block = planes(fingerprints)[:, None, :]
     near = np.zeros((n, block.shape[2]), np.uint64)
     for a in range(0, n, 256):
-        near[a : a + 256] = ~beyond(_spread(fingerprints[a : a + 256]), block, bits, counters)
+        near[a : a + 256] = ~beyond(_spread(fingerprints[a : a + 256]), block, bits, radius)
     real = np.zeros(block.shape[2] * 64, np.uint8)
     real[:n] = 1
     todo = np.packbits(real, bitorder="little").view("<u8").copy()
@@ -130,7 +134,7 @@ def trees(fingerprints: np.ndarray, bits: list[int], counters: int = 2) -> list[
     return links
 
 
-def _small_links(key: np.ndarray, fps: np.ndarray, most: int, counters: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def _small_links(key: np.ndarray, fps: np.ndarray, most: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs inside buckets of at most `most`, all buckets together: the planes hold pairs instead of fingerprints."""
     left, right = [], []
     for step in range(1, most):
@@ -138,7 +142,7 @@ def _small_links(key: np.ndarray, fps: np.ndarray, most: int, counters: int = 2)
         if not len(i):
             break
         differ = fps[i] ^ fps[i + step]
-        over = beyond(planes(differ), np.zeros((64, 1), np.uint64), list(range(64)), counters)
+        over = beyond(planes(differ), np.zeros((64, 1), np.uint64), list(range(64)), radius)
         hit = i[np.unpackbits(over.view(np.uint8), bitorder="little")[: len(i)] == 0]
         left.append(hit)
         right.append(hit + step)
@@ -152,11 +156,11 @@ def bucket_links(fingerprints: DataFrame) -> DataFrame:
         "node", "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
     )
     # the bits of a key are equal in its bucket
-    return links_in_buckets(keyed, [[k for k in range(64) if not m >> k & 1] for m in MASKS], 2)
+    return links_in_buckets(keyed, [[k for k in range(64) if not m >> k & 1] for m in MASKS], RADIUS)
 
 
-def links_in_buckets(keyed: DataFrame, bits: list[list[int]], counters: int) -> DataFrame:
-    """`a, b`: nodes of a bucket (`node, fp, choice, key`) whose fingerprints differ in fewer than 2**counters of the choice's bits."""
+def links_in_buckets(keyed: DataFrame, bits: list[list[int]], radius: int) -> DataFrame:
+    """`a, b`: nodes of a bucket (`node, fp, choice, key`) whose fingerprints differ in at most `radius` of the choice's bits."""
     counts = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     counts = counts.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     shared = keyed.join(counts, ["choice", "key"])
@@ -176,10 +180,10 @@ def links_in_buckets(keyed: DataFrame, bits: list[list[int]], counters: int) ->
             unsigned = fps.view(np.uint64)
             number = np.repeat(np.arange(len(starts)), sizes)
             small = np.repeat(sizes <= 16, sizes)
-            i, j = _small_links(number[small], unsigned[small], 16, counters)
+            i, j = _small_links(number[small], unsigned[small], 16, radius)
             a, b = [nodes[small][i]], [nodes[small][j]]
             for at, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-                found = trees(unsigned[at : at + size], bits[int(choice[at])], counters)
+                found = trees(unsigned[at : at + size], bits[int(choice[at])], radius)
                 links = np.array(found or np.zeros((0, 2)), np.int64).reshape(-1, 2) + at
                 a.append(nodes[links[:, 0]])
                 b.append(nodes[links[:, 1]])
@@ -263,8 +267,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return prints.join(fingerprint_groups(prints), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: For copies of a stated similarity: minima of shingle hashes, in bands of so many, and counters for the radius of 15.
-BANDS, ROWS_IN_BAND, COPY_COUNTERS = 12, 2, 4
+#: For copies of a stated similarity: minima of shingle hashes, in bands of so many, and the radius.
+BANDS, ROWS_IN_BAND, COPY_RADIUS = 12, 2, 20
+#: Bytes of shingle hashes that one part of a family may hold; a cell holds two parts.
+CHUNK_BYTES = 16 << 20
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(BANDS * ROWS_IN_BAND)], np.uint64)
 
 
@@ -274,12 +280,53 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return (least[:, 0] * np.uint64(31) + (least[:, 1] >> np.uint64(7))).view(np.int64).tolist()
 
 
+def similar_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (position, position) that join all sets with at least `similarity` in common, through others as well.
+
+    Where the sets come from two parts, only those of different parts are compared. A set is held against all that
+    it is not joined with yet by going through the owners of each of its members.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    _, number, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(number, kind="stable")]
+    first = np.cumsum(held) - held
+    crossing = bool((parts != parts[0]).any())
+    label = np.arange(n)
+    links: list[tuple[int, int]] = []
+    for x in range(n - 1):
+        apart = label != label[x]
+        apart[: x + 1] = False
+        apart &= np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x])
+        if crossing:
+            apart &= parts != parts[x]
+        if not apart.any():
+            continue
+        mine = number[ends[x] - sizes[x] : ends[x]]
+        many = held[mine]
+        at = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(owners[at], minlength=n)
+        for y in np.flatnonzero(apart & (both >= similarity * (sizes + sizes[x] - both))).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                links.append((x, y))
+    return links
+
+
+def _members(links: DataFrame) -> DataFrame:
+    """`node, root` of all nodes of `links`, roots included."""
+    rooted = join_groups(links)
+    return rooted.union(rooted.select("root", "root").distinct())
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`node, root` of texts (by their hash) that share at least `similarity` of their shingles, through others as well.
 
-    Candidates are texts that agree in a band of shingle minima and whose fingerprints, compared bit-sliced, differ in
-    at most 15 bits; a bucket answers with trees again. Each link is then held against the two texts' whole sets of
-    shingles, so that no link between unlike texts remains.
+    Texts that agree in a band of shingle minima and whose fingerprints, compared bit-sliced, differ in at most
+    `COPY_RADIUS` bits are of one family. Each family gathers its texts' whole sets of shingles once, dealt out as
+    pairs of parts if it is large, and `similar_links` finds the links in it: none between unlike texts, and none
+    lost for lying on no tree of the bit-sliced comparison.
     """
     keyed = docs.select(or_empty("text").alias("text")).withColumn("node", F.xxhash64("text")).filter("text <> ''")
 
@@ -291,30 +338,37 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     sketches = materialise(map_arrow(keyed, ["node", "text"], sketch, "node long, fp long, bands array<bigint>").dropDuplicates(["node"]))
     buckets = sketches.select("node", "fp", F.posexplode("bands").alias("choice", "key"))
-    links = materialise(links_in_buckets(buckets, [list(range(64))] * BANDS, COPY_COUNTERS).filter("a <> b"))
-    asked = materialise(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct())
+    families = materialise(_members(links_in_buckets(buckets, [list(range(64))] * BANDS, COPY_RADIUS)).withColumnRenamed("root", "family"))
 
     def sets(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        for nodes, texts in batches:
-            yield {"node": nodes, "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]}
-
-    texts = keyed.join(asked.hint("merge"), "node", "left_semi")
-    sets_ = materialise(map_arrow(texts, ["node", "text"], sets, "node long, shingles binary").dropDuplicates(["node"]))
-    side = lambda c: sets_.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    pairs = links.join(side("a"), "a").join(side("b"), "b")
+        for nodes, owners, texts in batches:
+            yield {"node": nodes, "family": owners, "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]}
+
+    texts = keyed.join(families.hint("merge"), "node")
+    sets_ = materialise(map_arrow(texts, ["node", "family", "text"], sets, "node long, family long, shingles binary").dropDuplicates(["node"]))
+    return join_groups(links_in_families(sets_, similarity))
+
+
+def links_in_families(sets: DataFrame, similarity: float) -> DataFrame:
+    """`a, b`: nodes of a family (`node, family, shingles`) with `similarity` in common, enough of them to join every group."""
+    sizes = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("long")
+    placed = sets.join(sizes.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # as with buckets: each pair of parts is a cell, and a row goes to the cells of its part
+    other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    cells = F.transform(other, lambda o: F.least(o, F.col("part")) * F.col("parts") + F.greatest(o, F.col("part")))
+    dealt = placed.select("family", F.explode(cells).alias("cell"), "part", "node", "shingles")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(n, "family", "cell").sortWithinPartitions("family", "cell", "node")
 
     def hold(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        for a, b, a_sets, b_sets in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for x, y, p, q in zip(a, b, a_sets, b_sets, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both >= similarity * (len(p) + len(q) - both):
-                    out["a"].append(x)
-                    out["b"].append(y)
-            yield out
-
-    return join_groups(map_arrow(pairs, ["a", "b", "a_set", "b_set"], hold, "a long, b long"))
+        rows = (row for columns in batches for row in zip(*columns, strict=True))
+        for _, cell in groupby(rows, key=lambda row: row[:2]):
+            parts, nodes, texts = zip(*(row[2:] for row in cell), strict=True)
+            found = similar_links([np.frombuffer(t, np.uint64) for t in texts], np.array(parts), similarity)
+            yield {"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}
+
+    return map_arrow(sorted_, ["family", "cell", "part", "node", "shingles"], hold, "a long, b long")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
