@@ -48,6 +48,8 @@ class ContextTrees:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
+        if not samples:
+            return  # nothing was learned: every prediction is undetermined
         counted = [np.unique(np.concatenate([grams(t) for t in samples[x]]), return_counts=True) for x in self.languages]
         width = len(self.languages)
         self.known: list[np.ndarray] = []  # by order: grams of so many bytes before the last
