@@ -105,3 +105,11 @@ def test_recommendations_put_what_is_no_number_last(spark):
     assert [r["strategy_id"] for r in ranked_recommendations(df).orderBy("rank").collect()][:2] == ["e", "a"]
     with pytest.raises(ValueError):
         ranked_recommendations(df, 0)
+
+
+def test_runs_take_all_customers(spark, tmp_path):
+    from tidemark.plans import derive
+
+    keys = [1, 150_000, 150_001, 1_500_000]
+    spark.createDataFrame([(k, k % 25, 1.0) for k in keys], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(r["row_id"] for r in derive.runs(spark, str(tmp_path)).collect()) == keys

@@ -109,7 +109,7 @@ def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive of experiment runs, one per customer bucket: names, factors and metrics."""
-    c = _read(spark, sf_dir, "customer").filter("c_custkey <= 150000")
+    c = _read(spark, sf_dir, "customer")
     return c.select(
         F.concat(F.lit("run_"), F.lpad((F.col("c_custkey") % 48).cast("string"), 3, "0"), F.lit("_"), F.when(F.col("c_custkey") % 2 == 0, "dl").otherwise("baseline")).alias("run_id"),
         F.element_at(F.array(F.lit("gen1"), F.lit("gen2")), (F.col("c_custkey") % 48 % 2 + 1).cast("int")).alias("generation"),
