@@ -224,6 +224,17 @@ def test_no_link_is_lost_within_a_family(spark, monkeypatch, chunk):
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == want
 
 
+@pytest.mark.parametrize("shared,apart", [(4, 0), (40, 5), (160, 20)])
+def test_bands_miss_no_pair_of_stated_similarity(shared, apart):
+    rng = np.random.default_rng(shared)
+    missed = 0
+    for _ in range(5000):
+        hashes = rng.integers(0, 2**64, shared + max(2 * apart, 1), dtype=np.uint64)
+        left, right = hashes[: shared + apart], np.r_[hashes[:shared], hashes[shared + apart :]]
+        missed += not any(a == b for a, b in zip(simhash.band_keys(left), simhash.band_keys(right), strict=True))
+    assert missed == 0
+
+
 @pytest.mark.parametrize("radius", [3, 15, 20])
 def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)
