@@ -224,6 +224,20 @@ def test_no_link_is_lost_within_a_family(spark, monkeypatch, chunk):
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == want
 
 
+def test_repeated_lines_and_short_texts_are_copies(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    rows = []
+    for k in range(20):
+        line, rest = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(200))
+        rows += [(2 * k, f"{line} {rest}"), (2 * k + 1, f"{line} " * 60 + rest)]
+    for k in range(20, 1020):
+        words = [word() for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {2 * k for k in range(1020)}
+
+
 @pytest.mark.parametrize("shared,apart", [(4, 0), (40, 5), (160, 20)])
 def test_bands_miss_no_pair_of_stated_similarity(shared, apart):
     rng = np.random.default_rng(shared)

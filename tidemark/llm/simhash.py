@@ -9,9 +9,9 @@ and a block is abandoned as soon as every counter has passed the radius. A bucke
 for each group it finds, so no group emits its pairs; buckets above `CHUNK` are dealt out as pairs of chunks.
 Groups are then joined across buckets by alternating large-star and small-star rounds.
 
-Three bits are few: texts that share 0.8 of their shingles mostly differ in more. `near_copies` finds those: a radius
-of 20 bits among texts that agree in a band of shingle minima makes families, and within a family the whole sets of
-shingles decide which texts are linked.
+Three bits are few: texts that share 0.8 of their shingles mostly differ in more. `near_copies` finds those: texts
+that agree in a band of shingle minima, or whose fingerprints are linked, make families, and within a family the whole
+sets of shingles decide which texts are linked. No number of bits keeps a text out of a family.
 
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; equal rows are in one group;
 a null doc_id is linked, but is never the smallest of a group that has another; an empty table gives no rows.
@@ -267,8 +267,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return prints.join(fingerprint_groups(prints), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: For copies of a stated similarity: minima of shingle hashes, in bands of so many, and the radius.
-BANDS, ROWS_IN_BAND, COPY_RADIUS = 12, 2, 20
+#: For copies of a stated similarity: minima of shingle hashes, in bands of so many.
+BANDS, ROWS_IN_BAND = 12, 2
 #: Bytes of shingle hashes that one part of a family may hold; a cell holds two parts.
 CHUNK_BYTES = 16 << 20
 #: A factor for each row of minima, drawn independently: factors in a fixed proportion have their minima at the same shingle.
@@ -334,25 +334,40 @@ def _members(links: DataFrame) -> DataFrame:
     return rooted.union(rooted.select("root", "root").distinct())
 
 
+def family_links(sketches: DataFrame) -> DataFrame:
+    """`a, b`: nodes (`node, fp, bands`) of one family, enough of them to join it; texts without a word are in none.
+
+    Each bucket of equal band keys hangs on its smallest node, and so do texts of equal fingerprints; of fingerprints
+    that `bucket_links` finds, those smallest nodes are linked.
+    """
+    worded = sketches.filter(F.size("bands") > 0)
+    buckets = worded.select("node", F.posexplode("bands").alias("choice", "key"))
+    least = buckets.groupBy("choice", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    agreeing = buckets.join(least.hint("merge"), ["choice", "key"]).select(F.col("node").alias("a"), "b")
+    prints = materialise(worded.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = worded.join(prints.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = bucket_links(prints.select("fp"))
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
+    return agreeing.union(equal).union(near.select("u", "v"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`node, root` of texts (by their hash) that share at least `similarity` of their shingles, through others as well.
 
-    Texts that agree in a band of shingle minima and whose fingerprints, compared bit-sliced, differ in at most
-    `COPY_RADIUS` bits are of one family. Each family gathers its texts' whole sets of shingles once, dealt out as
-    pairs of parts if it is large, and `similar_links` finds the links in it: none between unlike texts, and none
-    lost for lying on no tree of the bit-sliced comparison.
+    Texts that agree in a band of shingle minima, or whose fingerprints (of distinct shingles) are linked, are of one
+    family. Each family gathers its texts' whole sets of shingles once, dealt out as pairs of parts if it is large,
+    and `similar_links` finds the links in it: none between unlike texts, and none lost inside a family.
     """
     keyed = docs.select(or_empty("text").alias("text")).withColumn("node", F.xxhash64("text")).filter("text <> ''")
 
     def sketch(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for nodes, texts in batches:
-            hashes = [shingle_hashes(t, words) for t in texts]
+            hashes = [np.unique(shingle_hashes(t, words)) for t in texts]
             fps = [int(np.uint64(fingerprint_of(h)).view(np.int64)) for h in hashes]
             yield {"node": nodes, "fp": fps, "bands": [band_keys(h) if len(h) else [] for h in hashes]}
 
     sketches = materialise(map_arrow(keyed, ["node", "text"], sketch, "node long, fp long, bands array<bigint>").dropDuplicates(["node"]))
-    buckets = sketches.select("node", "fp", F.posexplode("bands").alias("choice", "key"))
-    families = materialise(_members(links_in_buckets(buckets, [list(range(64))] * BANDS, COPY_RADIUS)).withColumnRenamed("root", "family"))
+    families = materialise(_members(family_links(sketches)).withColumnRenamed("root", "family"))
 
     def sets(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for nodes, owners, texts in batches:
