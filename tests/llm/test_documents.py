@@ -71,6 +71,29 @@ def test_the_fullest_closes_first():
     assert [bins.place(n) for n in (6, 7, 5, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
 
 
+def test_open_bins_meet_all_lengths():
+    rng = np.random.default_rng(3)
+    lengths = [*rng.integers(1100, 1301, 25_000).tolist(), *rng.integers(700, 801, 25_000).tolist()]
+    order = packing.in_rounds(lengths, 4096)
+    assert sorted(order) == list(range(len(lengths)))
+    bins = packing.OpenBins(2048, 4096)
+    for i in order:
+        bins.place(lengths[i])
+    assert bins.made < 1.02 * 25_000
+
+
+def test_small_partitions_share_sequences(spark):
+    texts = [(k, "a b c d e f g h " * (20 + k)) for k in range(60)]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(30), VOCABULARY).collect()
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = np.cumsum([0, *(n for _, n in sorted(parts))])
+        assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 2048
+    assert len(sequences) <= -(-sum(r["length"] for r in got) // 2048) + 1
+
+
 def test_prefix_hash_spans_and_extensions():
     text = "abracadabra" * 20_000
     whole = prefix_hash.PrefixHash(prefix_hash.code_points(text))
