@@ -340,20 +340,91 @@ def test_patterns_are_scanned_in_linear_time(spark):
     assert got[0] == got[1] == sha("")
 
 
-def test_terms_that_disclose_an_entity(spark):
-    near = [f"{w} our Zanzibar office writes from bob@corp.example.com {w} today" for w in ("one", "first", "other", "more")]
-    # seen everywhere, "today" tells nothing
-    far = [f"today was a day like number {k} of them" for k in range(60)]
-    df = spark.createDataFrame(list(enumerate(near + far)), "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in disclosure.find_personal_data(df).collect()}
-    start = near[0].index("Zanzibar")
-    assert f"term:{start}:{start + 8}" in got[0]
-    at = near[0].index("today")
-    assert f"term:{at}:" not in got[0]
-    assert all(got[k] == "" for k in range(4, 64))
-    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(df).collect()}
-    assert "bob@" not in clean[0] and "[EMAIL]" in clean[0] and "Zanzibar" not in clean[0]
-    assert clean[10] == far[6]
+def disclosing_by_definition(texts: list[str], guess: float, prior: float) -> list[set[tuple[int, int, str]]]:
+    """For each text the spans of terms to mask and their masks: counted pair by pair."""
+    bare, entities = [], []
+    for t in texts:
+        found = base_spans(t)
+        blank = list(t)
+        for span in found:
+            _, a, b = span.split(":")
+            blank[int(a) : int(b)] = " " * (int(b) - int(a))
+        bare.append("".join(blank))
+        entities.append({f"{k}:{t[int(a):int(b)].lower()}" for k, a, b in (x.split(":") for x in found)})
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    terms = lambda t: words(t) | {w[:3] + "*" for w in words(t)}
+    counted = [k for k, t in enumerate(texts) if not entities[k] or texts.index(t) == k]
+    inside = {k: terms(bare[k] if entities[k] else texts[k]) for k in counted}
+    # words inside personal data count in how often a term occurs, not in what stands beside an entity
+    n_term = Counter(t for k in counted for t in terms(texts[k]))
+    n_entity = Counter(e for k in counted for e in entities[k])
+    n_both = Counter((t, e) for k in counted for t in inside[k] for e in entities[k])
+    out = []
+    for k, t in enumerate(texts):
+        def tells(term: str, k: int = k) -> bool:
+            for e in entities[k]:
+                chance = n_entity[e] / len(counted)
+                p = (n_both[term, e] + prior * chance) / (n_term[term] + prior)
+                if p >= guess and p >= 2 * chance:
+                    return True
+            return False
+
+        found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", bare[k])]
+        out.append({(a, b, "" if tells(w[:3] + "*") else w[:3] + "*") for a, b, w in found if tells(w)})
+    return out
+
+
+def test_terms_that_disclose_an_entity_by_definition(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [f"p{k}@mail.example.com" for k in range(6)]
+    secret = {n: [f"{'Quv' if k % 2 else 'Zor'}{c}lin{'xyzuvw'[k]}" for c in "abc"] for k, n in enumerate(names)}
+    common = ["River", "stone", "rivet", "quart", "Zone", "mail", "example", "stony", "ʼnaïve", "größe"]
+    texts = []
+    for k in range(150):
+        said = rng.choices(common, k=6)
+        if k % 3 == 0:
+            name = rng.choice(names)
+            said += [name, *rng.sample(secret[name], 2)] + ([rng.choice(names), "10.0.0.7"] if k % 9 == 0 else [])
+        rng.shuffle(said)
+        texts.append(" ".join(said))
+    texts += [texts[0]] * 4 + [texts[1]] * 3 + [f"{w} alone" for w in secret[names[0]]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for guess, prior in ((0.5, 2.0), (0.8, 0.5)):
+        want = disclosing_by_definition(texts, guess, prior)
+        assert 20 < sum(map(len, want)) < 300
+        got = {r["doc_id"]: r["spans"] for r in disclosure.find_personal_data(df, guess, prior).collect()}
+        assert {k: {x for x in v.split(",") if x.startswith("term")} for k, v in got.items()} == {k: {f"term:{a}:{b}" for a, b, _ in x} for k, x in enumerate(want)}
+        clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(df, guess, prior).collect()}
+        for k, t in enumerate(texts):
+            masks = want[k] | {(int(a), int(b), f"[{kind.upper()}]") for kind, a, b in (x.split(":") for x in base_spans(t))}
+            for a, b, mask in sorted(masks, reverse=True):
+                t = t[:a] + mask + t[b:]
+            assert clean[k] == t
+
+
+def test_sums_and_masks_of_long_arrays(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    for n in (0, 1, 127, 128, 129, 600):
+        values = [rng.randrange(9) for _ in range(n)]
+        text = "".join(rng.choice("abé\U0001f600 ") for _ in range(3 * n + 5))
+        masks = sorted((a := rng.randrange(len(text)), min(len(text), a + rng.randrange(1, 6)), f"[{k}]") for k in range(n))
+        at, want, blank = 0, [], list(text)
+        for a, b, mask in masks:
+            blank[a:b] = " " * (b - a)
+            if a >= at:
+                want += [text[at:a], mask]
+            at = max(at, b)
+        df = spark.createDataFrame([(values, text, masks)], "v array<int>, t string, m array<struct<start:int,end:int,mask:string>>")
+        sums, largest = disclosure.running(F.col("v"), lambda x, y: x + y), disclosure.running(F.col("v"), F.greatest)
+        got = df.select(sums, largest, disclosure.masked(F.col("t"), F.col("m")), disclosure.masked(F.col("t"), F.col("m"), blank=True)).first()
+        assert list(got) == [list(itertools.accumulate(values)), list(itertools.accumulate(values, max)), "".join([*want, text[at:]]), "".join(blank)]
 
 
 def test_sanitised_columns_and_clean_rows(odd_docs):
