@@ -34,6 +34,77 @@ def test_differencing_where_markup_says_nothing(spark):
     assert got[10] == "Site title\n\nalone" and got[11] == got[12] == "same"
 
 
+def test_names_of_layouts_and_headlines(spark):
+    bodies = [
+        ('<div class="layout has-sidebar"><article><p>text</p></article><div class="sidebar">S</div></div>', "text"),
+        ('<div class="post comments-open"><article><p>text</p></article><section id="comments"><article>c</article></section></div>', "text"),
+        ('<div class="sidebar-left"><div class="menu">M</div><main><p>text</p></main></div>', "text"),
+        ('<article><header class="entry-header"><h1>T</h1></header><h2 id="social-history">H</h2><section id="search-methods"><p>text</p></section></article>', "T\n\nH\n\ntext"),
+        ('<article><p>text</p><div class="ad-slot">A</div><div class="site-notice">N</div><footer>F</footer></article>', "text"),
+        ('<aside><article>A</article></aside><div role="search">S</div><p hidden>x</p><article>text</article>', "text"),
+    ]
+    got = extracted(spark, [(k, f"http://h{k}/", page(b)) for k, (b, _) in enumerate(bodies)])
+    assert got == {k: want for k, (_, want) in enumerate(bodies)}
+
+
+def sites(rng, articles: bool):
+    """Pages of three hosts with a template each, runs of copies among them, and the text that each should give."""
+    pages, want = [], {}
+    for host in ("a.example", "b.example", None):
+        url = (lambda k, h=host: f"http://{h}/{k // 10}/{k % 10}?q=1") if host else (lambda k: None if k % 2 else "no url")
+        for k in range(60):
+            body = [f"<p>{host} {n} of page {k if k % 15 > 4 else 0}</p>" for n in range(rng.randrange(1, 5))] if k % 15 in (0, 5) else body if k % 15 < 4 else [f"<p>{host} line {n} of {k}</p>" for n in range(3)]
+            inner = "<article>" + "".join(body) + "</article>" if articles else "".join(body)
+            top = "".join(f"<div>{host} menu {n}</div>" for n in range(4) if articles is False or n < 2)
+            chrome = f"<nav>{k}</nav>" if articles else ""
+            i = len(pages)
+            pages.append((i, url(k), page(top + chrome + inner + f"<div>All rights of {host}</div>")))
+            want[i] = "\n\n".join(x[3:-4] for x in body)
+    return pages, want
+
+
+@pytest.mark.parametrize("articles", [True, False])
+def test_differencing_of_whole_sites(spark, articles):
+    import random
+
+    pages, want = sites(random.Random(2), articles)
+    df = spark.createDataFrame(pages + pages[:3], "page_id long, url string, html string").repartition(4)
+    got = html_diff.extract(df).collect()
+    assert len(got) == len(pages) + 3
+    assert {r["page_id"]: r["text"] for r in got} == want
+    # the template's lines went by differencing; without partners they stay
+    assert sum(r["n_shared"] for r in got) >= 3 * len(got)
+    alone = {r["page_id"]: r["text"] for r in html_diff.extract(df, nearest=0).collect()}
+    assert all(alone[k] != want[k] for k in want)
+
+
+def test_differencing_by_definition(spark):
+    import random
+
+    rng = random.Random(4)
+    pages = [(k, f"http://h{k % 2}/{rng.randrange(30)}", "".join(f"<p>{rng.choice('abcdefgh')}</p>" for _ in range(rng.randrange(6)))) for k in range(80)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    lines = lambda h: [html_diff._line_hash(x) for x in html_diff.text_lines(h)[0]]
+    name = lambda ls: hashlib.sha256(b"".join(x.to_bytes(8, "little", signed=True) for x in ls)).hexdigest()
+    for nearest in (1, 2, 5):
+        paths = {}
+        for _, url, h in pages:
+            key = url[7:9], tuple(lines(h))
+            paths[key] = min(paths.get(key, "~"), url[9:])
+        order = sorted(paths, key=lambda x: (x[0], paths[x], name(x[1])))
+        want = {}
+        for k, (host, own) in enumerate(order):
+            near = order[max(0, k - nearest) : k] + order[k + 1 : k + 1 + nearest]
+            want[host, own] = {i for h, other in near if h == host for i in html_diff.shared_lines(list(own), list(other))}
+        got = {r["page_id"]: r["text"] for r in html_diff.extract(df, nearest).collect()}
+        assert got == {i: html_diff.main_text(h, want[url[7:9], tuple(lines(h))])[0] for i, url, h in pages}
+
+
+def test_pages_without_rows(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text long")
+    assert html_diff.extract(none).count() == 0 and arc_convert.convert_pages(none).count() == 0
+
+
 def naive_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):

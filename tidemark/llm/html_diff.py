@@ -1,18 +1,22 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Within a host, pages are ordered by URL path; a page's nearest page is the neighbour in that order whose path
-shares the longer prefix (of equals the one before). The text lines of both are aligned by longest common
-subsequence, and the lines they share are deleted: what a site's template repeats goes, what a page says itself
-stays. Differencing alone keeps menus and adverts that differ from page to page, and deletes sentences that two
-articles share, so markup has the last word where it speaks: lines in navigation, headers, footers, asides, forms
-or elements named as adverts, notices or comments go in any case, and lines in an article or main element stay.
+Within a host, pages are ordered by URL path; a page's partners are the `NEAREST` pages on either side of it in that
+order. The text lines of page and partner are aligned by longest common subsequence, and the lines they share are
+deleted: what a site's template repeats goes, what a page says itself stays. Pages of a host with the same lines are one
+in that order, so copies are compared with the next page that differs from them.
+
+Differencing decides about every line; markup settles two cases that it cannot see. Lines in an article or main element
+stay although another page has them too (two articles may share a sentence), and lines in navigation, headers, footers,
+asides, forms or elements named as adverts, notices or comments go although no partner has them (a menu or an advert
+may differ from page to page). `extract` counts what either did.
 
 Only hashes of lines are ordered and compared; the pages themselves do not move, unless so many of them have
 deleted lines that the planner must join the two by a shuffle.
 
-Defined cases: a null page counts as empty and has the empty text; a page without a host is compared with others
-without one; a page is never compared with one of the same lines, so copies keep their text; a page that would
-lose every line of its own keeps them; repeated rows get equal results; extra columns are not read.
+Defined cases: a null page counts as empty and has the empty text; pages without a host are compared with each other;
+the only page of a host with its lines is compared with nothing; a page that would lose every line by differencing, in
+no article, keeps those that markup does not delete; repeated rows get equal results; an empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from tidemark.llm.common import map_arrow, materialise, or_empty
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select iframe noscript template svg object canvas".split())
 RAW_TAGS = frozenset("script style textarea title".split())
 MAIN_TAGS = frozenset("article main".split())
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
@@ -45,22 +50,32 @@ CHROME_NAMES = frozenset(
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ANY_NAME = "|".join(sorted(CHROME_NAMES))
+# these speak of a layout, as in `has-sidebar` and `comments-open`, not of the element itself
+_LAYOUT = "has|no|with|is|open|closed|enabled|disabled|none|on|off"
+_ENDS = re.compile(rf"(?!(?:{_LAYOUT})[-_]).+[-_](?:{_ANY_NAME})$")
+_BEGINS = re.compile(rf"(?!.*[-_](?:{_LAYOUT})$)(?:{_ANY_NAME})[-_].+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
 
 ARTICLE, OTHER, CHROME = "a", "o", "c"
+#: Partners on either side.
+NEAREST = 2
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
-    if tag in CHROME_TAGS:
-        return True
-    if not attributes or tag in ("html", "body") or tag in MAIN_TAGS:
+def _named_chrome(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element's class, id or role says that it is no part of an article."""
+    if not attributes or tag in ("html", "body") or tag in HEADING_TAGS:
         return False
-    names = " ".join("".join(m) for m in _NAMED.findall(attributes)).lower()
-    if names and not CHROME_NAMES.isdisjoint(re.split(r"[^a-z]+", names)):
-        return True
+    for kind, *values in _NAMED.findall(attributes):
+        for name in "".join(values).lower().split():
+            if in_article and name.endswith("header"):
+                continue  # it holds the headline
+            # in an article the id of a section may begin with any word
+            if name in CHROME_NAMES or _ENDS.match(name) or (_BEGINS.match(name) and not (in_article and kind.lower() == "id")):
+                return True
     role = _ROLE.search(attributes)
     return bool(role and role[1].lower() in CHROME_ROLES) or bool(_HIDDEN.search(attributes))
 
@@ -72,6 +87,7 @@ def text_lines(page: str) -> tuple[list[str], str]:
     parts: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements that are not inline, each with the zone inside it
     zone = OTHER
+    found_article = False
 
     def close_block() -> None:
         if parts:
@@ -109,7 +125,9 @@ def text_lines(page: str) -> tuple[list[str], str]:
         if tag == "br":
             parts.append(" ")
             continue
-        chrome = _is_chrome(tag, token[3])
+        named = _named_chrome(tag, token[3], zone == ARTICLE)
+        # a header inside an article holds its headline
+        chrome = named or (tag in CHROME_TAGS and not (tag == "header" and zone == ARTICLE))
         if tag in INLINE_TAGS and not chrome:
             if stack and stack[-1][0] == tag and tag not in VOID_TAGS:
                 stack.append((tag, zone))  # so that its end tag does not end the one around it
@@ -122,8 +140,9 @@ def text_lines(page: str) -> tuple[list[str], str]:
             zone = stack[-1][1] if stack else OTHER
         if chrome:
             zone = CHROME
-        elif tag in MAIN_TAGS and zone != CHROME:
-            zone = ARTICLE
+        elif tag in MAIN_TAGS and (zone != CHROME or not (found_article or any(t in CHROME_TAGS for t, _ in stack))):
+            # the first article stays one inside an element that only a name gives away: the name is the layout's
+            zone, found_article = ARTICLE, True
         stack.append((tag, zone))
     parts.append(page[at:])
     close_block()
@@ -197,94 +216,94 @@ def _line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _page_key() -> Column:
-    return F.xxhash64("page_id", "url", "html")
-
-
-def with_neighbours(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """`df` with the columns `before` and `after`: the struct column `value` of the rows next to each in `order`.
+def with_neighbours(df: DataFrame, order: list[str], value: str, nearest: int) -> DataFrame:
+    """`df` with the column `near`: the struct column `value` of the `nearest` rows on either side in `order`.
 
-    A range sort deals the rows out evenly whatever their keys; only each range's two end rows are looked up
-    across ranges, in a table as long as there are ranges.
+    A range sort deals the rows out evenly whatever their keys; only the rows at the ends of each range are looked up
+    across ranges, in a table of 2 x `nearest` rows for each range.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialise(
         df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
     )
-    inside = Window.partitionBy("part").orderBy("place")
-    across = Window.orderBy("part")
-    ends = placed.groupBy("part").agg(F.min_by(value, "place").alias("first"), F.max_by(value, "place").alias("last"))
-    ends = ends.select("part", F.lag("last").over(across).alias("prior"), F.lead("first").over(across).alias("next"))
-    return (
-        placed.withColumn("before", F.lag(value).over(inside)).withColumn("after", F.lead(value).over(inside))
-        .join(ends, "part").withColumn("before", F.coalesce("before", "prior")).withColumn("after", F.coalesce("after", "next"))
-        .drop("part", "place", "prior", "next")
-    )
+    inside, back = Window.partitionBy("part").orderBy("place"), Window.partitionBy("part").orderBy(F.desc("place"))
+    steps = [f(value, k) for f in (F.lag, F.lead) for k in range(1, nearest + 1)]
+    ends = placed.select("part", "place", value, F.row_number().over(inside).alias("from_first"), F.row_number().over(back).alias("from_last"))
+    ends = ends.filter(F.least("from_first", "from_last") <= nearest)
+    across = Window.orderBy("place")  # places grow with the ranges
+    ends = ends.select("part", "place", *[x.over(across).alias(f"__across{k}") for k, x in enumerate(steps)])
+    found = placed.withColumns({f"__inside{k}": x.over(inside) for k, x in enumerate(steps)}).join(ends, ["part", "place"], "left")
+    near = F.array_compact(F.array(*[F.coalesce(f"__inside{k}", f"__across{k}") for k in range(len(steps))]))
+    return found.select(*df.columns, near.alias("near"))
 
 
-def template_lines(pages: DataFrame) -> DataFrame:
-    """`key, shared` of the pages that lose lines to differencing: the numbers of those lines, little-endian 32 bits."""
+def _host(url: str) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
-    def lines(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        for keys, pages_ in batches:
-            out = [text_lines(p) for p in pages_]
-            yield {
-                "key": keys,
-                "hashes": [np.array([_line_hash(x) for x in ls], "<i8").tobytes() for ls, _ in out],
-                "zones": [z for _, z in out],
-            }
 
-    where = pages.select(
-        _page_key().alias("key"), F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("host"),
-        F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), "page_id",
-    ).dropDuplicates(["key"])
-    read = map_arrow(pages.select(_page_key().alias("key"), or_empty("html").alias("html")), ["key", "html"], lines, "key long, hashes binary, zones string")
-    # a page without a line that differencing may delete still serves its neighbours
-    rows = read.dropDuplicates(["key"]).join(where, "key").withColumn("value", F.struct("host", "path", "hashes"))
-    near = with_neighbours(rows, ["host", "path", "page_id", "key"], "value")
+def read_lines(pages: DataFrame) -> DataFrame:
+    """`sha, host, path, list, lines` of each distinct page of a host: its lines' hashes, and their digest."""
 
-    def compare(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        for keys, hashes, zones, hosts, paths, before, after in batches:
-            out: dict[str, list] = {"key": [], "shared": []}
-            for key, own, zone, host, path, *sides in zip(keys, hashes, zones, hosts, paths, before, after, strict=True):
-                sides = [s for s in sides if s and s["host"] == host and s["hashes"] != own]
-                if OTHER not in zone or not sides:
-                    continue
-                nearest = max(sides, key=lambda s: _common_prefix(s["path"] or "", path or ""))
-                mine, theirs = (np.frombuffer(x, "<i8").tolist() for x in (own, nearest["hashes"]))
-                gone = [i for i in shared_lines(mine, theirs) if zone[i] == OTHER]
-                left = zone.count(OTHER) - len(gone) + zone.count(ARTICLE)
-                if gone and left:
-                    out["key"].append(key)
-                    out["shared"].append(np.array(gone, "<u4").tobytes())
-            yield out
-
-    compared = ["key", "hashes", "zones", "host", "path", "before", "after"]
-    return map_arrow(near, compared, compare, "key long, shared binary")
+    def read(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for shas, hosts, paths, pages_ in batches:
+            lines = [np.array([_line_hash(x) for x in text_lines(p)[0]], "<i8").tobytes() for p in pages_]
+            yield {"sha": shas, "host": hosts, "path": paths, "list": [hashlib.sha256(x).hexdigest() for x in lines], "lines": lines}
 
+    path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    named = pages.select(F.sha2(or_empty("html"), 256).alias("sha"), _host("url").alias("host"), path.alias("path"), or_empty("html").alias("html"))
+    return map_arrow(named, ["sha", "host", "path", "html"], read, "sha string, host string, path string, list string, lines binary")
 
-def _common_prefix(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
 
+def shared_by_lists(lists: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """`host, list, shared`: for each list of lines of a host the numbers of those that partners share, little-endian 32 bits."""
+    near = with_neighbours(lists.withColumn("value", F.struct("host", "lines")), ["host", "path", "list"], "value", nearest)
 
-def extract(pages: DataFrame) -> DataFrame:
-    """One row per row of `pages`: `page_id, url, text, n_chars` (see the module's docstring)."""
-    shared = materialise(template_lines(pages))
-    joined = pages.select("page_id", "url", or_empty("html").alias("html"), _page_key().alias("key")).join(shared, "key", "left")
+    def compare(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for hosts, lists_, lines, partners in batches:
+            shared = []
+            for host, own, others in zip(hosts, lines, partners, strict=True):
+                mine = np.frombuffer(own, "<i8").tolist()
+                found: set[int] = set()
+                for other in others:
+                    if other["host"] == host:
+                        found.update(shared_lines(mine, np.frombuffer(other["lines"], "<i8").tolist()))
+                shared.append(np.array(sorted(found), "<u4").tobytes())
+            yield {"host": hosts, "list": lists_, "shared": shared}
+
+    found = map_arrow(near, ["host", "list", "lines", "near"], compare, "host string, list string, shared binary")
+    return found.filter(F.length("shared") > 0)
+
+
+def template_lines(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """`sha, host, shared` of the pages (by their digest) that share lines with partners."""
+    read = materialise(read_lines(pages))
+    lists = read.groupBy("host", "list").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
+    shared = materialise(shared_by_lists(lists, nearest))
+    return materialise(read.select("sha", "host", "list").distinct().join(shared, ["host", "list"]).select("sha", "host", "shared"))
+
+
+def main_text(page: str, shared: set[int]) -> tuple[str, int, int, int]:
+    """The text of a page, some of whose lines partners share, and the numbers of lines that went by differencing, went by
+    markup alone, and were kept by markup against differencing."""
+    lines, zones = text_lines(page)
+    if len(shared) == len(lines) and ARTICLE not in zones:
+        shared = set()
+    text = "\n\n".join(x for i, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == ARTICLE or (z == OTHER and i not in shared))
+    kept = sum(zones[i] == ARTICLE for i in shared)
+    return text, len(shared) - kept, sum(z == CHROME and i not in shared for i, z in enumerate(zones)), kept
+
+
+def extract(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """One row per row of `pages`: `page_id, url, text, n_chars, n_shared, n_marked, n_restored` (see the module and `main_text`)."""
+    shared = template_lines(pages, nearest)
+    named = pages.select("page_id", "url", or_empty("html").alias("html"), F.sha2(or_empty("html"), 256).alias("sha"), _host("url").alias("host"))
+    joined = named.join(shared, ["sha", "host"], "left")
 
     def keep(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for page_ids, urls, pages_, gone in batches:
-            texts = []
-            for page, cut in zip(pages_, gone, strict=True):
-                lines, zones = text_lines(page)
-                drop = set(np.frombuffer(cut or b"", "<u4").tolist())
-                texts.append("\n\n".join(x for i, (x, z) in enumerate(zip(lines, zones, strict=True)) if z != CHROME and i not in drop))
-            yield {"page_id": page_ids, "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
-
-    return map_arrow(joined, ["page_id", "url", "html", "shared"], keep, "page_id long, url string, text string, n_chars long")
+            found = [main_text(page, set(np.frombuffer(cut or b"", "<u4").tolist())) for page, cut in zip(pages_, gone, strict=True)]
+            counts = {c: [f[k] for f in found] for k, c in enumerate(("n_shared", "n_marked", "n_restored"), 1)}
+            yield {"page_id": page_ids, "url": urls, "text": [f[0] for f in found], "n_chars": [len(f[0]) for f in found], **counts}
+
+    return map_arrow(joined, ["page_id", "url", "html", "shared"], keep, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long, n_restored long")
