@@ -6,8 +6,9 @@ different followers) is paid and the next shorter context asked, down to eight b
 statistics are frozen after learning, so the code length of a text is a sum over its 4-grams, and the language with
 the shortest code is predicted. Bytes are those of the lower-cased text, with ASCII that is no letter as spaces.
 
-Learning reads at most `SAMPLES` rows of each language, and of each at most `SAMPLE_CHARS` code points: a bound that
-does not depend on the table. Prediction reads whole texts.
+Learning reads at most `samples` rows of each language, a bound that does not depend on the table, and their whole
+texts; their 4-grams are counted where the rows are, and only the counts come to the driver. Prediction reads whole
+texts. A letter is what Unicode calls one (categories L).
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; if no language could be learned, all
 texts are; a null doc_id is neither held out nor learned from; languages with equal code lengths: the first by name.
@@ -15,10 +16,10 @@ texts are; a null doc_id is neither held out nor learned from; languages with eq
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,10 @@ from tidemark.llm.common import map_arrow
 
 ORDER = 3
 SAMPLES = 256
-SAMPLE_CHARS = 20_000
 UNDETERMINED = "und"
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -46,11 +46,11 @@ def grams(text: str) -> np.ndarray:
 class ContextTrees:
     """Frozen code lengths: for each order the known grams, and the bits each costs in each language."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
-        if not samples:
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(counts)
+        if not counts:
             return  # nothing was learned: every prediction is undetermined
-        counted = [np.unique(np.concatenate([grams(t) for t in samples[x]]), return_counts=True) for x in self.languages]
+        counted = [counts[x] for x in self.languages]
         width = len(self.languages)
         self.known: list[np.ndarray] = []  # by order: grams of so many bytes before the last
         self.bits: list[np.ndarray] = []
@@ -119,23 +119,28 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(inverse, counts, len(distinct))
 
 
-def learn(docs: DataFrame) -> ContextTrees:
+def learn(docs: DataFrame, samples: int = SAMPLES) -> ContextTrees:
     """Trees from a bounded sample of `docs` (`doc_id, text, lang`), whose rows with doc_ids to hold out are not read."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != 2))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != 2) & F.col("text").isNotNull())
     mix = F.xxhash64("doc_id")
-    named = rows.select("lang", "doc_id", F.pmod(mix, F.lit(SAMPLES)).alias("bucket"), mix.alias("mix"))
+    named = rows.select("lang", F.pmod(mix, F.lit(samples)).alias("bucket"), mix.alias("mix"))
     chosen = named.groupBy("lang", "bucket").agg(F.min("mix").alias("mix"))
-    # at most SAMPLES rows a language; repeated rows of a chosen doc_id give one
+    # at most `samples` rows a language; repeated rows of a chosen doc_id give one
     picked = (
-        rows.withColumn("bucket", F.pmod(mix, F.lit(SAMPLES))).withColumn("mix", mix).join(F.broadcast(chosen), ["lang", "bucket", "mix"])
-        .filter("text is not null").select("lang", "bucket", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        rows.withColumn("bucket", F.pmod(mix, F.lit(samples))).withColumn("mix", mix).join(F.broadcast(chosen), ["lang", "bucket", "mix"])
         .groupBy("lang", "bucket").agg(F.min("text").alias("text"))
     )
-    samples: dict[str, list[str]] = {}
-    for row in picked.orderBy("lang", "bucket").toLocalIterator():
-        samples.setdefault(row["lang"], []).append(row["text"])
-    return ContextTrees({k: v for k, v in samples.items() if any(map(len, v))})
+
+    def count(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for languages, texts in batches:
+            for lang, text in zip(languages, texts, strict=True):
+                found, n = np.unique(grams(text), return_counts=True)
+                yield {"lang": [lang] * len(found), "gram": found.astype(np.int64).tolist(), "n": n.tolist()}
+
+    summed = map_arrow(picked, ["lang", "text"], count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = summed.toPandas().sort_values("gram")
+    return ContextTrees({lang: (of["gram"].to_numpy(np.uint32), of["n"].to_numpy(np.int64)) for lang, of in table.groupby("lang")})
 
 
 def identify(docs: DataFrame, columns: list[str], trees: ContextTrees) -> DataFrame:
