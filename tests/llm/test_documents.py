@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import odd_documents
@@ -71,27 +72,49 @@ def test_the_fullest_closes_first():
     assert [bins.place(n) for n in (6, 7, 5, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
 
 
-def test_open_bins_meet_all_lengths():
+def naive_best_fit(lengths: list[int], capacity: int, most: int) -> list[tuple[int, int]]:
+    """By looking at every open sequence for every piece; of equal ones the last that got to this free space."""
+    free: list[list[int]] = []  # number, free space, in the order in which they got it
+    made, out = 0, []
+    for n in lengths:
+        fits = [b for b in free if b[1] >= n]
+        if fits:
+            least = min(b[1] for b in fits)
+            best = [b for b in fits if b[1] == least][-1]
+            free.remove(best)
+        else:
+            if len(free) == most:
+                fullest = min(b[1] for b in free)
+                free.remove([b for b in free if b[1] == fullest][-1])
+            best, made = [made, capacity], made + 1
+        out.append((best[0], capacity - best[1]))
+        if best[1] > n:
+            free.append([best[0], best[1] - n])
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_best_fit_by_definition(most):
+    rng = np.random.default_rng(most)
+    lengths = rng.integers(1, 65, 600).tolist()
+    bins = packing.OpenBins(64, most)
+    assert [bins.place(n) for n in lengths] == naive_best_fit(lengths, 64, most)
+    assert bins.open <= most
+
+
+def test_pieces_in_any_order_and_partition_share_sequences(spark):
     rng = np.random.default_rng(3)
-    lengths = [*rng.integers(1100, 1301, 25_000).tolist(), *rng.integers(700, 801, 25_000).tolist()]
-    order = packing.in_rounds(lengths, 4096)
-    assert sorted(order) == list(range(len(lengths)))
-    bins = packing.OpenBins(2048, 4096)
-    for i in order:
-        bins.place(lengths[i])
-    assert bins.made < 1.02 * 25_000
-
-
-def test_small_partitions_share_sequences(spark):
-    texts = [(k, "a b c d e f g h " * (20 + k)) for k in range(60)]
-    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(30), VOCABULARY).collect()
-    sequences = defaultdict(list)
-    for r in got:
-        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
-    for parts in sequences.values():
-        ends = np.cumsum([0, *(n for _, n in sorted(parts))])
-        assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 2048
-    assert len(sequences) <= -(-sum(r["length"] for r in got) // 2048) + 1
+    lengths = [*rng.integers(1100, 1301, 3000).tolist(), *rng.integers(700, 801, 3000).tolist()]
+    for partitions in (1, 200):
+        df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").withColumn("piece", F.lit(0)).repartitionByRange(partitions, "doc_id")
+        got = packing.place(df, 2048, 4096, 65_536).collect()
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in sequences.values():
+            ends = np.cumsum([0, *(n for _, n in sorted(parts))])
+            assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 2048
+        assert sum(map(len, sequences.values())) == len(lengths) and len(sequences) < 1.03 * 3000
 
 
 def test_prefix_hash_spans_and_extensions():
@@ -146,16 +169,67 @@ def test_exact_duplicates(odd_docs):
     assert sorted((r["text"] or "") for r in kept.collect()) == sorted(groups)
 
 
+def naive_quotient_filter(counts: dict[int, int], bits: int) -> dict[int, tuple[int, int, int]]:
+    """Slots by linear probing, one fingerprint after another: quotient, remainder and count of each slot in use."""
+    slots: dict = {}
+    at = -1
+    for fp in sorted(counts):
+        quotient, remainder = divmod(fp, 1 << (64 - bits))
+        at = max(at + 1, quotient)
+        slots[at] = (quotient, remainder, counts[fp])
+    return slots
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500, 3000])
+def test_quotient_filter_slots(n):
+    rng = np.random.default_rng(n)
+    drawn = rng.integers(0, 2**64, n, dtype=np.uint64)
+    drawn[: n // 2] >>= np.uint64(9)  # many low quotients: long runs and clusters
+    drawn = np.r_[drawn, drawn[: n // 3], np.repeat(drawn[:1], 700)]
+    counts = Counter(drawn.tolist())
+    f = quotient_filter.CountingQuotientFilter.of(drawn)
+    slots = naive_quotient_filter(counts, f.bits)
+    for at in range(len(f.counts)):
+        quotient, remainder, count = slots.get(at, (None, None, None))
+        before = slots.get(at - 1, (None,))[0]
+        assert f.occupied[at] == any(q == at for q, _, _ in slots.values())
+        assert f.continued[at] == (quotient is not None and quotient == before) and f.shifted[at] == (quotient is not None and quotient != at)
+        if quotient is not None:
+            assert int.from_bytes(f.remainders[at].tobytes(), "little") == remainder and f.counts[at] == min(count, 255)
+    g = quotient_filter.CountingQuotientFilter.from_bytes(f.to_bytes())
+    held, held_counts = g.contents()
+    assert dict(zip(held.tolist(), held_counts.tolist(), strict=True)) == counts and (np.diff(held.astype(object)) > 0).all()
+    assert all(g.count(x) == c for x, c in counts.items()) and g.count(12345) == counts[12345]
+    assert len(f.to_bytes()) < 20 * len(counts) + 100
+
+
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(3)
-    parts = [rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(3)]
-    parts[1][:100] = parts[0][:100]
-    parts[2][:7] = 0
+    parts = [rng.integers(0, 2**64, 500 * k, dtype=np.uint64) for k in range(4)]
+    parts[1][:100] = parts[2][:100]
+    parts[3][:307] = 0
     cqf = quotient_filter.CountingQuotientFilter
-    merged = cqf.of(parts[0]).merge(cqf.of(parts[1])).merge(cqf.from_bytes(*cqf.of(parts[2]).to_bytes()))
     want = Counter(np.concatenate(parts).tolist())
-    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist(), strict=True)) == want
-    assert sum(len(f.counts) for _, f in merged.ranges(16)) == len(want)
+    merged = cqf.merged([cqf.of(p) for p in parts])
+    whole, counts = merged.contents()
+    assert dict(zip(whole.tolist(), counts.tolist(), strict=True)) == want
+    # in ranges, and these in ranges again, nothing is lost either
+    found = Counter()
+    for a, outer in merged.ranges():
+        for b, inner in cqf.from_bytes(outer.to_bytes()).ranges():
+            own, n = inner.contents()
+            found.update(dict(zip([(a << 58 | b << 52) + x for x in own.tolist()], n.tolist(), strict=True)))
+    assert found == want
+
+
+@pytest.mark.parametrize("parts", [1, 3, 70])
+def test_filters_of_many_partitions(spark, parts):
+    rng = np.random.default_rng(parts)
+    fps = rng.integers(-(2**63), 2**63, 400)
+    fps = np.r_[fps, fps[:150], fps[:20], np.repeat(fps[-1:], 300), [-1, -1, 0, 0, 0, 5]]
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(parts)
+    got = {r["fp"]: r["n"] for r in quotient_filter.counted_fingerprints(df).collect()}
+    assert got == {x: n for x, n in Counter(fps.tolist()).items() if n > 1}
 
 
 def naive_fingerprint(text: str) -> int:
@@ -408,8 +482,6 @@ def test_sums_and_masks_of_long_arrays(spark):
     import itertools
     import random
 
-    from pyspark.sql import functions as F
-
     rng = random.Random(3)
     for n in (0, 1, 127, 128, 129, 600):
         values = [rng.randrange(9) for _ in range(n)]
@@ -448,22 +520,35 @@ def test_language_of_held_out_texts(spark):
         lang = ("en", "de", "fr")[k % 3]
         words = LANGUAGES[lang].split()
         made.append((k, " ".join(rng.choice(words) for _ in range(12)), lang))
-    made += [(900, None, "en"), (901, "123 ...", "de"), (902, "", None), (None, made[0][1], None)]
+    made += [(900, None, "en"), (901, "123 ...", "de"), (902, "", None), (903, "½ ² Ⅷ ① 5_", None), (904, "½ ª", None), (None, made[0][1], None)]
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in ppm_language.predict_languages(df).collect()}
     truth = {k: lang for k, _, lang in made[:240]}
     held = [k for k in truth if got[k]["held_out"]]
     assert held and all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k in truth)
     assert sum(got[k]["lang_pred"] == truth[k] for k in held) / len(held) > 0.95
-    assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3
+    assert [got[k]["lang_pred"] for k in (900, 901, 902, 903)] == ["und"] * 4
+    assert got[904]["lang_pred"] != "und"  # an ordinal indicator is a letter
     assert not got[None]["held_out"] and got[None]["lang_pred"] == "en"
     assert all(0 <= r["score"] <= 1 for r in got.values())
     kept = ppm_language.keep_identified(df)
-    assert kept.columns == df.columns and kept.count() == 241
+    assert kept.columns == df.columns and kept.count() == 242
+
+
+def test_languages_are_learned_from_whole_texts(spark):
+    long = "x" * 50_000 + " quux quux"
+    df = spark.createDataFrame([(k, long + str(k), "xx") for k in range(4)] + [(9, "abc", "yy"), (10, "abd", "yy"), (11, "abe", "yy")], "doc_id long, text string, lang string").repartition(3)
+    trees = ppm_language.learn(df)
+    known = [k for k in range(4) if zlib.crc32(str(k).encode()) % 4 != 2]
+    want = Counter(g for k in known for g in ppm_language.grams(long + str(k)).tolist())
+    assert trees.languages == ["xx", "yy"] and len(want)
+    assert np.isin(np.unique(ppm_language.grams(long)), trees.known[3]).all()
+    assert trees.predict("quux")[0] == "xx"
 
 
 def test_code_lengths_equal_a_slow_coder():
-    trees = ppm_language.ContextTrees({"en": [LANGUAGES["en"]], "de": [LANGUAGES["de"]]})
+    counted = {x: np.unique(ppm_language.grams(LANGUAGES[x]), return_counts=True) for x in ("en", "de")}
+    trees = ppm_language.ContextTrees(counted)
     counts: dict = defaultdict(Counter)
     data = b"   " + LANGUAGES["en"].encode()
     for i in range(3, len(data)):

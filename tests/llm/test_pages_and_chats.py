@@ -97,7 +97,8 @@ def test_differencing_by_definition(spark):
             near = order[max(0, k - nearest) : k] + order[k + 1 : k + 1 + nearest]
             want[host, own] = {i for h, other in near if h == host for i in html_diff.shared_lines(list(own), list(other))}
         got = {r["page_id"]: r["text"] for r in html_diff.extract(df, nearest).collect()}
-        assert got == {i: html_diff.main_text(h, want[url[7:9], tuple(lines(h))])[0] for i, url, h in pages}
+        parsed = {i: html_diff.text_lines(h) for i, _, h in pages}
+        assert got == {i: html_diff.kept_lines(*parsed[i], want[url[7:9], tuple(lines(h))])[0] for i, url, h in pages}
 
 
 def test_pages_without_rows(spark):

@@ -242,17 +242,22 @@ def _host(url: str) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
+def _digest(name: str) -> Column:
+    """The first 16 bytes of the SHA-256 of a text column; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(or_empty(name), 256), 1, 32))
+
+
 def read_lines(pages: DataFrame) -> DataFrame:
     """`sha, host, path, list, lines` of each distinct page of a host: its lines' hashes, and their digest."""
 
     def read(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for shas, hosts, paths, pages_ in batches:
             lines = [np.array([_line_hash(x) for x in text_lines(p)[0]], "<i8").tobytes() for p in pages_]
-            yield {"sha": shas, "host": hosts, "path": paths, "list": [hashlib.sha256(x).hexdigest() for x in lines], "lines": lines}
+            yield {"sha": shas, "host": hosts, "path": paths, "list": [hashlib.sha256(x).digest()[:16] for x in lines], "lines": lines}
 
     path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
-    named = pages.select(F.sha2(or_empty("html"), 256).alias("sha"), _host("url").alias("host"), path.alias("path"), or_empty("html").alias("html"))
-    return map_arrow(named, ["sha", "host", "path", "html"], read, "sha string, host string, path string, list string, lines binary")
+    named = pages.select(_digest("html").alias("sha"), _host("url").alias("host"), path.alias("path"), or_empty("html").alias("html"))
+    return map_arrow(named, ["sha", "host", "path", "html"], read, "sha binary, host string, path string, list binary, lines binary")
 
 
 def shared_by_lists(lists: DataFrame, nearest: int = NEAREST) -> DataFrame:
@@ -271,7 +276,7 @@ def shared_by_lists(lists: DataFrame, nearest: int = NEAREST) -> DataFrame:
                 shared.append(np.array(sorted(found), "<u4").tobytes())
             yield {"host": hosts, "list": lists_, "shared": shared}
 
-    found = map_arrow(near, ["host", "list", "lines", "near"], compare, "host string, list string, shared binary")
+    found = map_arrow(near, ["host", "list", "lines", "near"], compare, "host string, list binary, shared binary")
     return found.filter(F.length("shared") > 0)
 
 
@@ -283,27 +288,39 @@ def template_lines(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
     return materialise(read.select("sha", "host", "list").distinct().join(shared, ["host", "list"]).select("sha", "host", "shared"))
 
 
-def main_text(page: str, shared: set[int]) -> tuple[str, int, int, int]:
+def kept_lines(lines: list[str], zones: str, shared: set[int]) -> tuple[str, int, int, int]:
     """The text of a page, some of whose lines partners share, and the numbers of lines that went by differencing, went by
-    markup alone, and were kept by markup against differencing."""
-    lines, zones = text_lines(page)
-    if len(shared) == len(lines) and ARTICLE not in zones:
+    markup alone, and were kept by markup against differencing. `lines` are those that `zones` does not call chrome."""
+    if len(shared) == len(zones) and ARTICLE not in zones:
         shared = set()
-    text = "\n\n".join(x for i, (x, z) in enumerate(zip(lines, zones, strict=True)) if z == ARTICLE or (z == OTHER and i not in shared))
+    places = [i for i, z in enumerate(zones) if z != CHROME]
+    text = "\n\n".join(x for i, x in zip(places, lines, strict=True) if zones[i] == ARTICLE or i not in shared)
     kept = sum(zones[i] == ARTICLE for i in shared)
     return text, len(shared) - kept, sum(z == CHROME and i not in shared for i, z in enumerate(zones)), kept
 
 
 def extract(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """One row per row of `pages`: `page_id, url, text, n_chars, n_shared, n_marked, n_restored` (see the module and `main_text`)."""
+    """One row per row of `pages`: `page_id, url, text, n_chars, n_shared, n_marked, n_restored` (see `kept_lines`).
+
+    What meets the shared lines in a join is the pages' text, not their markup.
+    """
     shared = template_lines(pages, nearest)
-    named = pages.select("page_id", "url", or_empty("html").alias("html"), F.sha2(or_empty("html"), 256).alias("sha"), _host("url").alias("host"))
-    joined = named.join(shared, ["sha", "host"], "left")
+    named = pages.select("page_id", "url", or_empty("html").alias("html"), _digest("html").alias("sha"), _host("url").alias("host"))
+
+    def read(batches: Iterator[list]) -> Iterator[dict[str, list]]:
+        for *kept, pages_ in batches:
+            found = [text_lines(p) for p in pages_]
+            texts = ["\n".join(x for x, z in zip(lines, zones, strict=True) if z != CHROME) for lines, zones in found]
+            yield dict(zip(("page_id", "url", "sha", "host"), kept, strict=True)) | {"lines": texts, "zones": [z for _, z in found]}
+
+    parsed = map_arrow(named, ["page_id", "url", "sha", "host", "html"], read, "page_id long, url string, sha binary, host string, lines string, zones string")
+    joined = parsed.join(shared, ["sha", "host"], "left")
 
     def keep(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        for page_ids, urls, pages_, gone in batches:
-            found = [main_text(page, set(np.frombuffer(cut or b"", "<u4").tolist())) for page, cut in zip(pages_, gone, strict=True)]
+        for page_ids, urls, texts, zones, gone in batches:
+            # a line holds no line break
+            found = [kept_lines(t.split("\n") if t else [], z, set(np.frombuffer(g or b"", "<u4").tolist())) for t, z, g in zip(texts, zones, gone, strict=True)]
             counts = {c: [f[k] for f in found] for k, c in enumerate(("n_shared", "n_marked", "n_restored"), 1)}
             yield {"page_id": page_ids, "url": urls, "text": [f[0] for f in found], "n_chars": [len(f[0]) for f in found], **counts}
 
-    return map_arrow(joined, ["page_id", "url", "html", "shared"], keep, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long, n_restored long")
+    return map_arrow(joined, ["page_id", "url", "lines", "zones", "shared"], keep, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long, n_restored long")

@@ -1,17 +1,17 @@
 """Bounded-space online best-fit packing of token pieces into sequences.
 
-A document's ids, followed by one separator id, are cut into pieces of at most `capacity` ids. Full pieces are
-sequences by themselves. Every other piece goes to the open sequence whose free space exceeds it least; the
-open sequences are found in a bitset keyed by free space, so a choice costs one shift and one lowest bit. Only
-`open_bins` sequences stay open: beyond that the fullest closes first. Each partition packs its own pieces, fed in
-rounds of at most as many pieces as sequences may be open; a round is a sample of all lengths, longest first, so that
-no sequence closes for want of the short pieces that come later. No task holds more than its partition's piece lengths.
-
-What the partitions leave unfilled is packed once more: whole sequences, by their lengths, in tasks of `REPACKED`
-sequences, by the same rule. So a table in many small partitions takes hardly more sequences than in few.
-
-Defined cases: a null or empty text is the separator alone, one piece of length 1; repeated rows are packed
-each; an empty table gives no rows; columns other than `doc_id` and `text` are not read.
+A document's ids, followed by one separator id, are cut into pieces of at most `capacity` ids. Each piece is placed as
+it arrives and stays where it is: in the open sequence whose free space exceeds it least, found in a bitset keyed by
+free space, so a choice costs one shift and one lowest bit. Only `open_bins` sequences stay open: beyond that the
+fullest closes first. These are all that a task remembers, whatever the number of pieces.
+
+Cutting comes first, where the texts are; then only the pieces' places and lengths travel, to one packing task for each
+`per_task` pieces. They arrive there in the order of a hash, so that lengths come mixed even if the table is sorted by
+them, and small partitions of the table do not each leave sequences unfilled.
+
+Defined cases: a null or empty text is the separator alone, one piece of length 1; repeated rows are packed each; a
+null doc_id is packed like any other; of sequences with equal free space the one that got to it last is taken; an empty
+table gives no rows; columns other than `doc_id` and `text` are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encoder
 from tidemark.llm.common import map_arrow, materialise
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, local_id long, offset long"
-#: Unfilled sequences that one task of the second packing takes.
-REPACKED = 8192
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class OpenBins:
-    """The open sequences of one partition: numbers from 0, free space in a bitset."""
+    """The open sequences of one task: numbers from 0, free space in a bitset."""
 
     def __init__(self, capacity: int, most: int):
         self.capacity, self.most = capacity, most
@@ -64,66 +62,47 @@ class OpenBins:
         return number
 
 
-def in_rounds(lengths: list[int], most: int) -> list[int]:
-    """The places of `lengths` in the order in which they are packed: rounds of at most `most`, each of all lengths, longest first."""
-    longest = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    rounds = -(-len(longest) // most)
-    return [i for r in range(rounds) for i in longest[r::rounds]]
-
-
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: int = 0, open_bins: int = 4096) -> DataFrame:
-    """One row per piece: `doc_id, piece, start, length, ids_crc32, sequence_id, offset` (see the module)."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, separator: int) -> DataFrame:
+    """One row per piece: `doc_id, piece, start, length, ids_crc32`."""
 
     def work(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         enc, end = encoder(vocabulary), separator.to_bytes(4, "little")
-        pieces: list[tuple] = []
         for doc_ids, texts in batches:
             split = [enc.chunks(t or "") for t in texts]
             known = enc.learn(split)
+            cut = []
             for doc_id, chunks in zip(doc_ids, split, strict=True):
                 ids = b"".join([known[c] for c in chunks]) + end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
-                    pieces.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
-        bins = OpenBins(capacity, open_bins)
-        order = in_rounds([p[3] for p in pieces], open_bins)
-        for a in range(0, len(order), 50_000):
-            rows = [(*p, *bins.place(p[3])) for p in map(pieces.__getitem__, order[a : a + 50_000])]
-            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "local_id", "offset"), map(list, zip(*rows, strict=True)), strict=True))
+                    cut.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
+            if cut:
+                yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*cut, strict=True)), strict=True))
 
-    packed = map_arrow(docs, ["doc_id", "text"], work, SCHEMA)
-    # a sequence's number: its partition's, then its own
-    sequence = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("local_id")
-    packed = materialise(packed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset"))
-    moved = repacked(packed, capacity, open_bins)
-    joined = packed.join(moved, "sequence_id", "left")
-    return joined.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "sequence_id").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-    )
+    return map_arrow(docs, ["doc_id", "text"], work, PIECES)
 
 
-def repacked(packed: DataFrame, capacity: int, open_bins: int) -> DataFrame:
-    """`sequence_id, into, shift` of the sequences that move behind another one, with what is added to their offsets."""
-    filled = packed.groupBy("sequence_id").agg(F.sum("length").alias("length")).filter(F.col("length") < capacity)
-    unfilled = materialise(filled)
-    tasks = -(-unfilled.count() // REPACKED)
+def place(cut: DataFrame, capacity: int, open_bins: int, per_task: int) -> DataFrame:
+    """`cut` (`doc_id, piece, length` and more) with `sequence_id` and `offset`."""
+    tasks = max(1, -(-cut.count() // per_task))
+    arriving = cut.withColumn("__at", F.xxhash64("doc_id", "piece")).repartition(tasks, "__at").sortWithinPartitions("__at", "doc_id", "piece")
+    kept = cut.columns
+    types = dict(cut.dtypes)
 
     def work(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        numbers: list[int] = []
-        lengths: list[int] = []
-        for some, their in batches:
-            numbers += some
-            lengths += their
-        bins, roots = OpenBins(capacity, open_bins), {}
-        out: dict[str, list] = {"sequence_id": [], "into": [], "shift": []}
-        for i in in_rounds(lengths, open_bins):
-            number, shift = bins.place(lengths[i])
-            root = roots.setdefault(number, numbers[i])
-            if shift:
-                for name, value in zip(out, (numbers[i], root, shift), strict=True):
-                    out[name].append(value)
-        yield out
-
-    dealt = unfilled.repartition(max(tasks, 1), F.xxhash64("sequence_id"))
-    return materialise(map_arrow(dealt, ["sequence_id", "length"], work, "sequence_id long, into long, shift long"))
+        bins = OpenBins(capacity, open_bins)
+        for columns in batches:
+            rows = dict(zip(kept, columns, strict=True))
+            placed = [bins.place(n) for n in rows["length"]]
+            yield rows | {"local_id": [p[0] for p in placed], "offset": [p[1] for p in placed]}
+
+    schema = ", ".join(f"{c} {'long' if types[c] == 'bigint' else types[c]}" for c in kept)
+    packed = map_arrow(arriving, kept, work, f"{schema}, local_id long, offset long")
+    # a sequence's number: its task's, then its own
+    sequence = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("local_id")
+    return packed.select(*kept, sequence.alias("sequence_id"), "offset")
+
+
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: int = 0, open_bins: int = 4096, per_task: int = 65_536) -> DataFrame:
+    """One row per piece: `doc_id, piece, start, length, ids_crc32, sequence_id, offset` (see the module)."""
+    return place(materialise(pieces(docs, vocabulary, capacity, separator)), capacity, open_bins, per_task)
