@@ -129,23 +129,69 @@ def test_longest_common_subsequence(monkeypatch):
                 at = b.index(a[i], at + 1)
 
 
-def test_arc_versions_round_trip():
-    records = [("http://a/x", "20240102030405", "text/html", b"<p>\nbody\n\n</p>"), ("http://b/", "20240102030406", "text/plain", b"")]
-    for version in (1, 2):
-        read = list(arc_convert.read_arc(arc_convert.write_arc(records, version, "f.arc")))
-        assert [(r.fields["url"], r.fields["date"], r.fields["mime"], r.body) for r in read] == records
-        warc = b"".join(map(arc_convert.to_warc, read))
-        fields, block = next(arc_convert.read_warc(warc))
-        assert fields["WARC-Date"] == "2024-01-02T03:04:05Z" and block.endswith(records[0][3])
-        assert fields["WARC-Record-ID"].startswith("<urn:uuid:")
+RESPONSE = b"HTTP/1.0 301 Moved\r\nContent-Type: text/html\r\nX: y\r\n\r\n<p>\nbody\n\n</p>"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_versions(version):
+    records = [
+        ("http://a/x", "20240102030405", "text/html; charset=utf-8", RESPONSE), ("https://b/", "20240102030406", "text/plain", b"no headers"),
+        ("dns:a.example", "20240102030407", "text/dns", b"20240102030407\na.example. 3600 IN A 1.2.3.4\n"), ("ftp://c/f", "1999", "x/y", b""), ("http://d/", "20240102030408", "a b c", RESPONSE.replace(b"\r", b"")),
+    ]
+    data = arc_convert.write_arc(records, version, "f.arc")
+    first, *read = arc_convert.read_arc(data, "f.arc")
+    assert first.fields["url"] == "filedesc://f.arc"
+    assert [(r.fields["url"], r.fields["date"], r.fields["mime"], r.body) for r in read] == records
+    assert all(data[r.at :].startswith(r.fields["url"].encode()) for r in read)
+    warc = list(arc_convert.read_warc(b"".join(arc_convert.to_warc(r) for r in [first, *read, read[0]])))
+    assert [f["WARC-Type"] for f, _ in warc] == ["warcinfo", "response", "resource", "resource", "resource", "response", "response"]
+    assert [f["Content-Type"] for f, _ in warc[1:5]] == ["application/http; msgtype=response", "text/plain", "text/dns", "x/y"]
+    # the response is as it was: nothing stands before it, and the payload is what follows its own headers
+    assert warc[1][1] == RESPONSE and warc[5][1] == RESPONSE.replace(b"\r", b"")
+    payload = "sha256:" + hashlib.sha256(b"<p>\nbody\n\n</p>").hexdigest()
+    assert warc[1][0]["WARC-Payload-Digest"] == warc[5][0]["WARC-Payload-Digest"] == payload
+    assert [f["WARC-Date"] for f, _ in (warc[1], warc[4])] == ["2024-01-02T03:04:05Z", "1999-01-01T00:00:00Z"]
+    assert all(f["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(b).hexdigest() and int(f["Content-Length"]) == len(b) for f, b in warc)
+    assert len({f["WARC-Record-ID"] for f, _ in warc[:6]}) == 6 and warc[6][0]["WARC-Record-ID"] == warc[1][0]["WARC-Record-ID"]
     with pytest.raises(ValueError):
-        list(arc_convert.read_arc(arc_convert.write_arc(records, 1, "f")[:-5]))
+        list(arc_convert.read_arc(data[:-5]))
+    with pytest.raises(ValueError):
+        arc_convert.header_fields("http://a 1.2.3.4 20240102030405 5", version)
+
+
+def test_a_real_file_of_version_1():
+    """As crawlers wrote them: the file's description has a header line of version 1, and bodies end in line breaks."""
+    about = b"1 0 AlexaInternet\nURL IP-address Archive-date Content-type Archive-length\n"
+    body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello\n"
+    data = b"filedesc://IA-1.arc 0.0.0.0 19960923142103 text/plain %d\n%s\n" % (len(about), about) + b"http://www.dryswamp.edu:80/index.html 127.10.100.2 19961104142103 text/html %d\n%s\n\n" % (len(body), body)
+    _, record = arc_convert.read_arc(data)
+    ((fields, block),) = arc_convert.read_warc(arc_convert.to_warc(record))
+    assert (block, fields["WARC-IP-Address"], fields["WARC-Date"]) == (body, "127.10.100.2", "1996-11-04T14:21:03Z")
+
+
+def test_archives_are_bounded_by_rows_and_bytes(monkeypatch):
+    rows = [(k, b"x" * n) for k, n in enumerate([5, 5, 50, 5, 5, 5, 5])]
+    monkeypatch.setattr(arc_convert, "BYTES_PER_ARCHIVE", 12)
+    assert [[k for k, _ in part] for part in arc_convert._in_archives(iter(rows))] == [[0, 1], [2], [3, 4], [5, 6]]
+    monkeypatch.setattr(arc_convert, "ROWS_PER_ARCHIVE", 1)
+    assert len(list(arc_convert._in_archives(iter(rows)))) == 7
+
+
+def test_identifiers_and_references(spark):
+    text = "z" * 200
+    rows = [(5, "http://a/ b", text), (9, "https://c/", text), (9, "https://c/", text), (2, "http://first/x?y=1#z", text), (2, "http://first/x?y=1#z", text), (None, None, text)]
+    got = arc_convert.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len({r["warc_id"] for r in got}) == len(rows)
+    uris = {r["uri"] for r in got if r["record_type"] == "response"}
+    revisits = [r for r in got if r["record_type"] == "revisit"]
+    assert uris == {"http://first/x?y=1#z#page=2"} and len(revisits) == 4
+    assert all(r["refers_to_uri"] in uris for r in revisits)
 
 
 def test_revisits(spark):
     long, short = "x" * 100, "y" * 99
     rows = [(3, "u v", long), (1, None, long), (2, "w", long), (4, "a", short), (5, "b", short), (6, "c", None), (7, "d", ""), (None, "e", long), (1, None, long)]
-    got = sorted(map(tuple, arc_convert.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("warc_id", "warc_date").collect()), key=str)
+    got = sorted(map(tuple, arc_convert.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("warc_id", "warc_date", "uri", "refers_to_uri").collect()), key=str)
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = []
     for i, _, t in rows:

@@ -60,7 +60,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives and read back."""
-    return arc_convert.convert_pages(table(spark, sf_dir, "pages")).drop("warc_id", "warc_date")
+    return arc_convert.convert_pages(table(spark, sf_dir, "pages")).drop("warc_id", "warc_date", "uri", "refers_to_uri")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
