@@ -103,6 +103,6 @@ def place(cut: DataFrame, capacity: int, open_bins: int, per_task: int) -> DataF
     return packed.select(*kept, sequence.alias("sequence_id"), "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: int = 0, open_bins: int = 4096, per_task: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: int = 0, open_bins: int = 4096, per_task: int = 1 << 18) -> DataFrame:
     """One row per piece: `doc_id, piece, start, length, ids_crc32, sequence_id, offset` (see the module)."""
     return place(materialise(pieces(docs, vocabulary, capacity, separator)), capacity, open_bins, per_task)
