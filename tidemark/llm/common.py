@@ -13,13 +13,17 @@ from tidemark.storage import materialise
 
 __all__ = ["batch_rows", "documents", "map_arrow", "materialise", "or_empty", "table"]
 
-#: Rows in an Arrow batch sent to Python: a bound on what one task holds, since texts may be long.
-ROWS_PER_BATCH = 500
+#: Rows and bytes in an Arrow batch sent to Python: a bound on what one task holds, since texts may be long.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, "32m"
 
 
 def batch_rows(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a task's memory follows a few long texts, not ten thousand."""
+    """Keep Arrow batches small, so that a task's memory follows a few long texts, not ten thousand.
+
+    Both are settings of the session and stay so: the plan is made only when the caller runs it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

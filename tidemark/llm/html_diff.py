@@ -314,7 +314,8 @@ def extract(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
             yield dict(zip(("page_id", "url", "sha", "host"), kept, strict=True)) | {"lines": texts, "zones": [z for _, z in found]}
 
     parsed = map_arrow(named, ["page_id", "url", "sha", "host", "html"], read, "page_id long, url string, sha binary, host string, lines string, zones string")
-    joined = parsed.join(shared, ["sha", "host"], "left")
+    # joined by sorting whatever the size, so that a larger table has no other plan
+    joined = parsed.join(shared.hint("merge"), ["sha", "host"], "left")
 
     def keep(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for page_ids, urls, texts, zones, gone in batches:
