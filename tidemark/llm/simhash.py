@@ -36,6 +36,8 @@ WORDS = 3
 SEED = 42
 #: Fingerprints that one comparison holds as a block.
 CHUNK = 2048
+#: Groups over which the rows of one key are dealt out.
+DEALT = 64
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -210,6 +212,19 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
         yield rest
 
 
+def with_least(rows: DataFrame, keys: list[str], value: str, least: str) -> DataFrame:
+    """`rows` with the column `least`: the smallest `value` of the rows with equal `keys`.
+
+    A key's rows are dealt out over `DEALT` groups and meet one row of their group, so that a key which holds a third
+    of all rows is in no task as a whole.
+    """
+    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(value), F.lit(DEALT)))
+    groups = dealt.groupBy(*keys, "__group").agg(F.min(value).alias(least))
+    whole = groups.groupBy(*keys).agg(F.min(least).alias(least))
+    found = groups.select(*keys, "__group").join(whole, keys)
+    return dealt.join(found.hint("merge"), [*keys, "__group"]).drop("__group")
+
+
 def join_groups(links: DataFrame) -> DataFrame:
     """`node, root` for every node of `links` (`a`, `b`): the smallest node it is connected with, itself included.
 
@@ -221,12 +236,9 @@ def join_groups(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        large = with_least(both, ["u"], "v", "m").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = materialise(large.distinct())
+        small = with_least(large, ["u"], "v", "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialise(small.filter("u <> v").distinct())
         # the sum of what nodes hang on falls in every round until all hang on their roots
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -341,41 +353,49 @@ def family_links(sketches: DataFrame) -> DataFrame:
     that `bucket_links` finds, those smallest nodes are linked.
     """
     worded = sketches.filter(F.size("bands") > 0)
-    buckets = worded.select("node", F.posexplode("bands").alias("choice", "key"))
-    least = buckets.groupBy("choice", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    agreeing = buckets.join(least.hint("merge"), ["choice", "key"]).select(F.col("node").alias("a"), "b")
-    prints = materialise(worded.groupBy("fp").agg(F.min("node").alias("first")))
-    equal = worded.join(prints.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = bucket_links(prints.select("fp"))
-    near = near.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
-    return agreeing.union(equal).union(near.select("u", "v"))
+    buckets = worded.select(F.col("node").alias("a"), F.posexplode("bands").alias("choice", "key"))
+    agreeing = with_least(buckets, ["choice", "key"], "a", "b").filter("a <> b").select("a", "b")
+    prints = materialise(with_least(worded.select(F.col("node").alias("a"), "fp"), ["fp"], "a", "b"))
+    first = prints.filter("a = b").select("fp", F.col("a").alias("first"))
+    near = bucket_links(first.select("fp"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
+    return agreeing.union(prints.filter("a <> b").select("a", "b")).union(near.select("u", "v"))
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`node, root` of texts (by their hash) that share at least `similarity` of their shingles, through others as well.
+    """`sha, root` of texts (by their SHA-256) that share at least `similarity` of their shingles, through others as well.
 
     Texts that agree in a band of shingle minima, or whose fingerprints (of distinct shingles) are linked, are of one
     family. Each family gathers its texts' whole sets of shingles once, dealt out as pairs of parts if it is large,
     and `similar_links` finds the links in it: none between unlike texts, and none lost inside a family.
     """
-    keyed = docs.select(or_empty("text").alias("text")).withColumn("node", F.xxhash64("text")).filter("text <> ''")
+    keyed = docs.select(or_empty("text").alias("text")).filter("text <> ''").withColumn("sha", _sha(F.col("text")))
 
     def sketch(batches: Iterator[list]) -> Iterator[dict[str, list]]:
-        for nodes, texts in batches:
+        for shas, texts in batches:
             hashes = [np.unique(shingle_hashes(t, words)) for t in texts]
             fps = [int(np.uint64(fingerprint_of(h)).view(np.int64)) for h in hashes]
-            yield {"node": nodes, "fp": fps, "bands": [band_keys(h) if len(h) else [] for h in hashes]}
+            yield {"sha": shas, "fp": fps, "bands": [band_keys(h) if len(h) else [] for h in hashes]}
 
-    sketches = materialise(map_arrow(keyed, ["node", "text"], sketch, "node long, fp long, bands array<bigint>").dropDuplicates(["node"]))
-    families = materialise(_members(family_links(sketches)).withColumnRenamed("root", "family"))
+    distinct = map_arrow(keyed, ["sha", "text"], sketch, "sha binary, fp long, bands array<bigint>").dropDuplicates(["sha"])
+    # a number for each distinct text, which no two texts share
+    sketches = materialise(distinct.withColumn("node", F.monotonically_increasing_id()))
+    families = _members(family_links(sketches)).withColumnRenamed("root", "family")
+    families = materialise(sketches.select("node", "sha").join(families, "node"))
 
     def sets(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for nodes, owners, texts in batches:
             yield {"node": nodes, "family": owners, "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]}
 
-    texts = keyed.join(families.hint("merge"), "node")
+    texts = keyed.join(families.hint("merge"), "sha")
     sets_ = materialise(map_arrow(texts, ["node", "family", "text"], sets, "node long, family long, shingles binary").dropDuplicates(["node"]))
-    return join_groups(links_in_families(sets_, similarity))
+    rooted = join_groups(links_in_families(sets_, similarity))
+    named = families.select("node", "sha")
+    return rooted.join(named, "node").join(named.select(F.col("node").alias("root"), F.col("sha").alias("root_sha")), "root").select("sha", F.col("root_sha").alias("root"))
 
 
 def links_in_families(sets: DataFrame, similarity: float) -> DataFrame:
@@ -406,11 +426,10 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     Equal texts are one group; of their rows all that have the smallest doc_id stay. Empty texts are a group.
     """
     roots = near_copies(docs, words, similarity)
-    ids = docs.select("doc_id", F.xxhash64(or_empty("text")).alias("node"))
-    rooted = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    ids = docs.select("doc_id", _sha(or_empty("text")).alias("sha"))
+    rooted = ids.join(roots, "sha", "left").withColumn("root", F.coalesce("root", "sha"))
     # what goes: as most documents are alone, this is the smaller table; joined by sorting, however small it is
-    gone = materialise(rooted.join(least, "root").filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "node").distinct())
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).hint("merge")
-    named = docs.withColumn("__n", F.xxhash64(or_empty("text")))
-    return named.join(gone, (F.col("__n") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").drop("__n")
+    gone = with_least(rooted, ["root"], "doc_id", "least").filter(~F.col("doc_id").eqNullSafe(F.col("least")))
+    gone = materialise(gone.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()).hint("merge")
+    named = docs.withColumn("__n", _sha(or_empty("text")))
+    return named.join(gone, (F.col("__n") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").drop("__n")
