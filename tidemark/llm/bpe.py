@@ -40,7 +40,7 @@ class Encoder:
     """A word-end BPE vocabulary read from a tokenizer file (its path is a parameter)."""
 
     #: Words whose tokens are remembered; beyond it the memory is emptied, which only costs time.
-    REMEMBERED = 400_000
+    REMEMBERED = 700_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
