@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, a single machine), one of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset on a single machine, as in tests, one of our own.
+
+    On a cluster the setting is demanded: a folder of the driver's machine would not be there for executors.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = getattr(spark, "_tidemark_folder", None) or tempfile.mkdtemp(prefix="tidemark-")
         spark._tidemark_folder = named
     return named.rstrip("/")
