@@ -146,6 +146,52 @@ def test_fingerprints_and_edits(spark, odd_docs):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def naive_sketch(text: str) -> list[int]:
+    """Span by span with Python's integers."""
+    symbols = [1] * (prefix_hash.WIDTH - 1) + [ord(c) + 1 for c in text]
+    least: dict[int, int] = {}
+    for i in range(len(text)):
+        span = symbols[i : i + prefix_hash.WIDTH]
+        a, b = (sum(x * pow(base, j, m) for j, x in enumerate(span)) % m for base, m in zip(prefix_hash.BASES, prefix_hash.MODULI, strict=True))
+        mixed = int(prefix_hash._mix(np.array([a << 32 ^ b], np.uint64))[0])
+        row = mixed % prefix_hash.ROWS
+        least[row] = min(least.get(row, 2**64), mixed >> 7)
+    return [int(prefix_hash._mix(np.array([least[r]], np.uint64))[0]) % 65535 + 1 if r in least else 0 for r in range(prefix_hash.ROWS)]
+
+
+def test_fingerprints_by_definition(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    texts = ["", "a", "abc", "x" * 40, "é\U0001f600" * 30] + ["".join(rng.choices("abcdefgh \n", k=rng.randrange(400))) for _ in range(40)]
+    texts += [texts[9], texts[9] + "z", texts[9][:-1]]
+    ids = [*rng.sample(range(1000), len(texts) - 1), None]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in prefix_hash.fingerprint_documents(df).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: -1 if r[0] is None else r[0])
+    as_hex = lambda rows: b"".join(x.to_bytes(2, "big") for x in rows).hex()
+    like = lambda a, b: sum(x == y != 0 for x, y in zip(a, b, strict=True)) / n if (n := sum(bool(x or y) for x, y in zip(a, b, strict=True))) else 1.0
+    for (doc_id, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        quarter = len(text) // 4
+        changed = text[: len(text) - quarter] + following[:quarter]
+        own, other, after = map(naive_sketch, (text, changed, following))
+        r = got[doc_id]
+        common = next((i for i, (x, y) in enumerate(zip(text, changed, strict=False)) if x != y), min(len(text), len(changed)))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["common_prefix"]) == (len(text), sha(changed), as_hex(own), as_hex(other), common)
+        assert (r["near_edited"], r["near_next"]) == (like(own, other), like(own, after))
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 1000)))
+    want = prefix_hash.Fingerprinted(text)
+    changed = text[:750] + text[:250]
+    want_edited = want.edited(changed)
+    monkeypatch.setattr(prefix_hash, "BLOCK", 64)
+    got = prefix_hash.Fingerprinted(text)
+    assert (got.sketch == want.sketch).all() and got.sketch.tolist() == naive_sketch(text)
+    assert (got.edited(changed)[0] == want_edited[0]).all() and got.edited(changed)[1] == want_edited[1] == 750
+
+
 def test_prefix_hash_of_one_row(spark):
     one = spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")
     r = prefix_hash.fingerprint_documents(one).collect()

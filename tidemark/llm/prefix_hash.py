@@ -4,11 +4,13 @@
 two prefixes, so spans are compared in constant time, and the longest common extension of two positions is found
 by binary search. A document's fingerprint is a one-permutation MinHash of the hashes of all spans of `WIDTH`
 code points that end at some position of the text (the first ones reach into a constant margin before it), so
-that a text whose tail was replaced keeps the rows that its head decided.
+that a text whose tail was replaced keeps the rows that its head decided. An edited text's prefixes are its original's
+as far as they agree, and so are the minima of its spans there.
 
 Defined cases: a null text counts as empty; the empty text's fingerprint is all zeros and is like itself only;
-equal texts have equal fingerprints; repeated rows are fingerprinted each, and count as next documents too;
-a null doc_id comes before all others.
+equal texts have equal fingerprints; repeated rows are fingerprinted each, and count as next documents too; rows of
+one doc_id are ordered by a hash of the text; a null doc_id comes before all others; an empty table gives no rows;
+columns other than `doc_id` and `text` are not read.
 """
 
 from __future__ import annotations
@@ -52,15 +54,18 @@ _DOWN = [_powers(pow(b, -1, m), m, BLOCK + WIDTH) for b, m in zip(BASES, MODULI,
 class PrefixHash:
     """prefix[k][i]: sum of symbol j times base_k**j over j < i, modulo the k-th prime. Eight bytes a code point."""
 
-    def __init__(self, codes: np.ndarray):
-        self.n = len(codes)
+    def __init__(self, codes: np.ndarray, head: PrefixHash | None = None, kept: int = 0):
+        """Of the symbols `codes`, after the first `kept` ones of `head` if there is one."""
+        self.n = kept + len(codes)
         self.prefix = []
         for k, m in enumerate(MODULI):
             out = np.zeros(self.n + 1, np.uint32)
-            for a in range(0, self.n, BLOCK):
-                part = codes[a : a + BLOCK]
+            if head:
+                out[: kept + 1] = head.prefix[k][: kept + 1]
+            for a in range(0, len(codes), BLOCK):
+                part, at = codes[a : a + BLOCK], kept + a
                 local = np.cumsum(part * _UP[k][: len(part)] % m) % m
-                out[a + 1 : a + 1 + len(part)] = (int(out[a]) + local * pow(BASES[k], a, m) % m) % m
+                out[at + 1 : at + 1 + len(part)] = (int(out[at]) + local * pow(BASES[k], at, m) % m) % m
             self.prefix.append(out)
 
     def span(self, start: int, end: int) -> tuple[int, ...]:
@@ -69,6 +74,16 @@ class PrefixHash:
             (int(p[end]) - int(p[start])) * pow(BASES[k], -start, MODULI[k]) % MODULI[k] for k, p in enumerate(self.prefix)
         )
 
+    def spans(self, start: int, end: int) -> Iterator[np.ndarray]:
+        """The hashes of all spans of WIDTH symbols that begin from `start` to before `end`, both moduli in one number, in blocks."""
+        for a in range(start, end, BLOCK):
+            n = min(BLOCK, end - a)
+            sides = []
+            for k, (p, m) in enumerate(zip(self.prefix, MODULI, strict=True)):
+                side = (p[a + WIDTH : a + WIDTH + n].astype(np.int64) - p[a : a + n]) % m * _DOWN[k][:n] % m
+                sides.append((side * pow(BASES[k], -a, m) % m if a else side).astype(np.uint64))
+            yield (sides[0] << np.uint64(32)) ^ sides[1]
+
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """How many code points from `i` here equal those from `j` there: binary search over span equality."""
         low, high = 0, min(self.n - i, other.n - j)
@@ -81,22 +96,17 @@ class PrefixHash:
         return low
 
 
-def span_minima(codes: np.ndarray) -> np.ndarray:
-    """For each sketch row the least 53-bit value of its spans' mixed hashes; rows without a span hold the maximum."""
+#: Stands before a text, so that a span ends at each of its code points.
+MARGIN = np.ones(WIDTH - 1, np.int64)
+
+
+def span_minima(whole: PrefixHash, start: int, end: int) -> np.ndarray:
+    """For each sketch row the least 57-bit value of the mixed hashes of the spans that end at code points from `start` to
+    before `end` of a text with its margin; rows without a span hold the maximum."""
     least = np.full(ROWS, np.iinfo(np.uint64).max, np.uint64)
-    margin = np.full(WIDTH - 1, 1, np.int64)
-    for a in range(0, len(codes), BLOCK):
-        before = codes[max(0, a - WIDTH + 1) : a]
-        part = np.concatenate([margin[len(before) :], before, codes[a : a + BLOCK]])
-        n = len(part) - WIDTH + 1
-        sides = []
-        for k, m in enumerate(MODULI):
-            p = np.zeros(len(part) + 1, np.int64)
-            np.cumsum(part * _UP[k][: len(part)] % m, out=p[1:])
-            sides.append((p[WIDTH:] - p[:n]) % m * _DOWN[k][:n] % m)
-        mixed = _mix((sides[0].astype(np.uint64) << np.uint64(32)) ^ sides[1].astype(np.uint64))
-        row = (mixed & np.uint64(ROWS - 1)).astype(np.int64)
-        np.minimum.at(least, row, mixed >> np.uint64(7))
+    for hashes in whole.spans(start, end):
+        mixed = _mix(hashes)
+        np.minimum.at(least, (mixed & np.uint64(ROWS - 1)).astype(np.int64), mixed >> np.uint64(7))
     return least
 
 
@@ -107,13 +117,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def sketch(text: str) -> np.ndarray:
-    """16 bits for each row: zero for a row without a span."""
-    least = span_minima(code_points(text))
+def sketch(least: np.ndarray) -> np.ndarray:
+    """16 bits for each row of minima: zero for a row without a span."""
     filled = least != np.iinfo(np.uint64).max
     return np.where(filled, _mix(least) % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0)).astype(">u2")
 
 
+class Fingerprinted:
+    """A text with its prefix hashes and its fingerprint; the minima of the part that an edit keeps stand by themselves."""
+
+    def __init__(self, text: str):
+        self.text, self.kept = text, len(text) - len(text) // 4
+        self.hashes = PrefixHash(np.concatenate([MARGIN, code_points(text)]))
+        self.head = span_minima(self.hashes, 0, self.kept)
+        self.sketch = sketch(np.minimum(self.head, span_minima(self.hashes, self.kept, len(text))))
+
+    def edited(self, changed: str) -> tuple[np.ndarray, int]:
+        """The fingerprint of a text that begins as this one does up to `kept`, and the length of their common prefix."""
+        other = PrefixHash(code_points(changed[self.kept :]), self.hashes, len(MARGIN) + self.kept)
+        return sketch(np.minimum(self.head, span_minima(other, self.kept, len(changed)))), self.hashes.extension(0, other, 0) - len(MARGIN)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Rows that agree among those that hold a span of either text; 1 for two empty texts."""
     held = (a != 0) | (b != 0)
@@ -126,19 +150,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-def _row(doc_id: int | None, text: str, own: np.ndarray, following: str, next_sketch: np.ndarray) -> dict:
-    changed = edited(text, following)
-    other = own if changed == text else sketch(changed)
-    a, b = PrefixHash(code_points(text)), PrefixHash(code_points(changed))
+def _row(doc_id: int | None, own: Fingerprinted, following: Fingerprinted) -> dict:
+    changed = edited(own.text, following.text)
+    other, common = own.edited(changed)
     return {
         "doc_id": doc_id,
-        "n_chars": len(text),
+        "n_chars": len(own.text),
         "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(),
-        "fingerprint": own.tobytes(),
+        "fingerprint": own.sketch.tobytes(),
         "edited_fingerprint": other.tobytes(),
-        "near_edited": likeness(own, other),
-        "near_next": likeness(own, next_sketch),
-        "common_prefix": a.extension(0, b, 0),
+        "near_edited": likeness(own.sketch, other),
+        "near_next": likeness(own.sketch, following.sketch),
+        "common_prefix": common,
     }
 
 
@@ -169,17 +192,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         for doc_ids, texts, parts in batches:
             rows = []
             for doc_id, text in zip(doc_ids, texts, strict=True):
-                text = text or ""
-                now = sketch(text)
+                now = Fingerprinted(text or "")
                 if held is None:
-                    first = (doc_id, text)
+                    first = (doc_id, now.text)
                 else:
-                    rows.append(_row(*held, text, now))
-                held, part = (doc_id, text, now), parts[0]
+                    rows.append(_row(*held, now))
+                held, part = (doc_id, now), parts[0]
             if rows:
                 yield {c: [r[c] for r in rows] for c in _COLUMNS} | {c: [None] * len(rows) for c in _EDGE}
         if held is not None:
-            yield {c: [None] for c in _COLUMNS} | {"part": [part], "first_id": [first[0]], "first_text": [first[1]], "last_id": [held[0]], "last_text": [held[1]]}
+            yield {c: [None] for c in _COLUMNS} | {"part": [part], "first_id": [first[0]], "first_text": [first[1]], "last_id": [held[0]], "last_text": [held[1].text]}
 
     out = materialise(map_arrow(sorted_docs, ["doc_id", "text", "part"], work, schema))
     inner = out.filter("part is null").select(*_COLUMNS)
@@ -197,7 +219,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     def last(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for ids, texts, following in batches:
-            rows = [_row(i, t, sketch(t), f, sketch(f)) for i, t, f in zip(ids, texts, following, strict=True)]
+            rows = [_row(i, Fingerprinted(t), Fingerprinted(f)) for i, t, f in zip(ids, texts, following, strict=True)]
             if rows:
                 yield {c: [r[c] for r in rows] for c in _COLUMNS}
 
