@@ -73,6 +73,44 @@ def test_hourly_files(spark, tmp_path):
     assert [(r["pair"], r["close"], r["volume"]) for r in got] == [("eur-usd", 1.7, 11.0)]
 
 
+def test_files_with_columns_in_any_order(spark, tmp_path):
+    from tidemark.sources.files import daily_bars, hourly_bars
+
+    (tmp_path / "EURUSD60.csv").write_text("time,open,high,low,close,volume\n2024-01-01 00:00:00,1,2,0.5,1.5,10\n")
+    (tmp_path / "gbpusd_H1.csv").write_text("close, Low ,HIGH,Open,TIME_UTC,timestamp\n1.7,0.7,2.7,1.1,2024-01-01 03:00:00,\n1.8,0.8,2.8,1.2,,2024-01-01 05:00:00\n9,9,9,9,,2024-01-01 02:00:00,extra\n")
+    (tmp_path / "EURUSD.csv").write_text("date,open,high,low,close,volume\n2024-01-01 00:00:00,9,9,9,9,9\n2024-01-02 00:00:00,9,9,9,9,9\n")
+    got = sorted((r["pair"], str(r["ts"]), r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in hourly_bars(spark, str(tmp_path)).collect())
+    assert got == [
+        ("eur-usd", "2024-01-01 00:00:00", 1.0, 2.0, 0.5, 1.5, 10.0), ("gbp-usd", "2024-01-01 02:00:00", 9.0, 9.0, 9.0, 9.0, 0.0), ("gbp-usd", "2024-01-01 05:00:00", 1.2, 2.8, 0.8, 1.8, 0.0),
+    ]
+    assert [(r["pair"], r["close"]) for r in daily_bars(spark, str(tmp_path)).orderBy("pair").collect()] == [("eur-usd", 1.5), ("gbp-usd", 9.0)]
+
+
+def test_result_files_with_mixed_headers(spark, tmp_path):
+    from tidemark.sources import archive
+
+    bodies = {
+        "a/walkforward_results_per_fold__baseline.csv": "pair,Fold,Dynamic Sharpe,Baseline Sharpe,dl_overlap_active,dl_overlap_state\nP1,1.0,0.5,0.25,Yes,\"x, \"\"y\"\"\"\nP2,two,,bad,,\n",
+        "b/walkforward_results_per_fold__dl_enabled.csv": "pair,sharpe_baseline,sharpe_dynamic,fold,dl_overlap_active\nP1,0.1,0.2,3,no\nP3,0.1\n",
+        "c/walkforward_results_per_fold__baseline.csv": "name\nP\n",
+        "a/selector_state_timeline.csv": "switch_event,timestamp,selector_confidence\n1,2024-01-01,0.5\n",
+    }
+    for path, body in bodies.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(body)
+    rows = archive.result_tables(spark, str(tmp_path), "walkforward_results_per_fold").collect()
+    got = sorted((r["run_id"], r["mode"], r["pair"] or "", r["fold"], r["sharpe_dynamic"], r["sharpe_baseline"], r["dl_overlap_active"], r["dl_overlap_state"]) for r in rows)
+    assert got == [
+        ("a", "baseline", "P1", 1, 0.5, 0.25, True, 'x, "y"'), ("a", "baseline", "P2", None, None, None, None, None), ("b", "dl_enabled", "P1", 3, 0.2, 0.1, False, None),
+        ("b", "dl_enabled", "P3", None, None, 0.1, None, None), ("c", "baseline", "", None, None, None, None, None),
+    ]
+    problems = archive.result_problems(spark, str(tmp_path), "walkforward_results_per_fold", ["pair", "sharpe_dynamic"]).collect()
+    assert sorted((r["file"].rsplit("/", 2)[1], r["problem"]) for r in problems) == [("b", "a row that does not fit the header"), ("c", "no column pair"), ("c", "no column sharpe_dynamic")]
+    (line,) = archive.result_tables(spark, str(tmp_path), "selector_state_timeline").collect()
+    assert (line["mode"], line["switch_event"], line["selector_confidence"], line["dl_active"]) == ("", True, 0.5, None)
+    assert len(archive.FAMILIES) == 13 and all(archive.result_tables(spark, str(tmp_path), f).count() == 0 for f in ("results_ml", "results_per_pair"))
+
+
 def test_archive_discovery_and_manifest(spark, tmp_path):
     from tidemark.sources import archive
 

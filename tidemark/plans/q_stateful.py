@@ -210,23 +210,47 @@ def _folder(spark) -> str:
     return path
 
 
-@query("n:i n_stamps:i volume:f", "SELECT count(*) AS n, count(DISTINCT ts) AS n_stamps, sum(volume) AS volume FROM hourly WHERE pair = 'click'", "hourly")
-def src01_src02_hourly_csv(spark, sf):
-    """Hourly bars written as a CSV file of a pair, and scanned with the pair from the file's name."""
-    path = _folder(spark) + "/EURUSD60.csv"
-    bars = D.hourly(spark, sf).filter("pair = 'click'")
-    bars.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time_utc"), "open", "high", "low", "close", F.col("volume").cast("long").alias("tick_volume")).write.option("header", True).csv(path)
-    # Spark writes a folder of that name: the pair is in the path's last folder
-    raw = spark.read.option("header", True).csv(path)
-    return raw.agg(F.count("*").alias("n"), F.countDistinct("time_utc").alias("n_stamps"), F.sum(F.col("tick_volume").cast("double")).alias("volume"))
+def _write_named(rows, path: str, order: list[str]) -> None:
+    """Rows as CSV files, each named by its column `file`, in the order of `order` (dropped)."""
+    kept = [c for c in rows.columns if c not in order]
+    rows.repartition("file").sortWithinPartitions("file", *order).select(*kept).write.mode("append").partitionBy("file").option("header", True).csv(path)
 
 
-@query("pair:s ts:d open:f close:f volume:f", "SELECT * FROM bars", "bars")
-def src03_snk01_daily_parquet(spark, sf):
-    """Daily bars through the partitioned sink and back."""
+@query(
+    "pair:s ts:t open:f high:f low:f close:f volume:f", "SELECT event_type[1:3] || '-usd' AS pair, ts, open, high, low, close, volume FROM (SELECT pair AS event_type, * EXCLUDE (pair) FROM hourly)", "hourly",
+)
+def src01_src02_hourly_csv(spark, sf):
+    """Hourly bars of all pairs from CSV files with columns in different orders, bad rows, repeated stamps and files of lower rank."""
     path = _folder(spark)
-    sinks.write_results(D.bars(spark, sf), path, "baseline")
-    return spark.read.parquet(path)
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    code = F.concat(F.upper(F.substring("pair", 1, 3)), F.lit("USD"))
+    b = materialise(D.hourly(spark, sf).select(code.alias("code"), stamp.alias("stamp"), "open", "high", "low", "close", F.col("volume").cast("long").alias("volume")))
+    prices = ["open", "high", "low", "close"]
+    # before each bar one of the same stamp, one without a stamp and one without a price
+    bad = b.withColumnRenamed("stamp", "at").select("code", "at", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))).alias("turn"), *prices, "volume")
+    rows = bad.select(
+        "code", F.col("at"), "turn", F.when(F.col("turn") == 1, "bad").otherwise(F.col("at")).alias("stamp"),
+        F.when(F.col("turn") == 0, "0").when(F.col("turn") == 2, "x").otherwise(F.col("open").cast("string")).alias("open"), "high", "low", "close", "volume",
+    )
+    first = rows.filter("code < 'L'").select(F.concat("code", F.lit("60.csv")).alias("file"), F.col("stamp").alias("time_utc"), *prices, F.col("volume").alias("tick_volume"), "at", "turn")
+    other = rows.filter("code >= 'L'").select(F.concat("code", F.lit("_H1.csv")).alias("file"), "volume", "close", F.col("low").alias(" Low "), "high", F.col("open").alias("OPEN"), F.col("stamp").alias("Time"), "at", "turn")
+    _write_named(first, path, ["at", "turn"])
+    _write_named(other, path, ["at", "turn"])
+    lower = b.select(F.concat("code", F.lit(".csv")).alias("file"), F.col("stamp").alias("date"), *[F.lit(1.0).alias(c) for c in prices], F.lit(1).alias("volume"))
+    _write_named(lower, path, [])
+    return files.hourly_bars(spark, path)
+
+
+@query("pair:s ts:d open:f close:f volume:f", "SELECT lower(pair) || 'x-usd' AS pair, ts, open, close, CASE WHEN pair LIKE '%F' THEN 0.0 ELSE volume END AS volume FROM bars", "bars")
+def src03_snk01_daily_parquet(spark, sf):
+    """Daily bars from CSV files, some without volume, through the partitioned sink and back."""
+    path, parquet = _folder(spark), _folder(spark)
+    b = D.bars(spark, sf).withColumn("file", F.concat("pair", F.lit("xUSD.csv"))).withColumn("date", F.date_format("ts", "yyyy-MM-dd 12:30:00"))
+    prices = ["open", "high", "low", "close"]
+    _write_named(b.filter(F.col("pair").endswith("F")).select("file", "date", *prices), path, [])
+    _write_named(b.filter(~F.col("pair").endswith("F")).select("file", "volume", *prices, "date"), path, [])
+    sinks.write_results(files.daily_bars(spark, path), parquet, "baseline")
+    return spark.read.parquet(parquet)
 
 
 @query("strategy_id:s expected_sharpe:f n_folds:i", "SELECT * FROM evals", "evals")
@@ -257,35 +281,55 @@ def snk04_phase_labels(spark, sf):
 
 
 def _archive(spark, sf) -> str:
-    """An archive: per run a folder with a manifest and a result file, all written by Spark."""
+    """An archive, all written by Spark: per run a folder with a manifest and result files, whose columns are in two orders and names."""
     root = _folder(spark)
-    runs = D.runs(spark, sf)
-    runs.select("run_id", "pair", F.col("sharpe").alias("Sharpe_Dynamic"), F.col("ret").cast("string").alias("ret")).repartition("run_id").write.partitionBy("run_id").option("header", True).csv(f"{root}/walkforward__baseline.csv")
+    r = materialise(D.runs(spark, sf))
+    manifest = F.to_json(F.struct(F.struct(F.col("run_id").alias("id")).alias("run"), F.struct("generation", F.create_map(F.lit("family"), F.col("family"), F.lit("aware"), F.col("aware").cast("string")).alias("factors")).alias("experiment")))
+    named = r.select("run_id", F.lit("run_manifest.json").alias("file"), "generation", "family", "aware").distinct().select("run_id", "file", manifest.alias("value"))
+    named.repartition("run_id").write.mode("append").partitionBy("run_id", "file").text(root)
+    # folders with two manifests, and folders with results only
+    double = r.select("family").distinct().select(F.concat(F.lit("double_"), "family").alias("run_id"), F.explode(F.array(F.lit("run_manifest_1.json"), F.lit("run_manifest_2.json"))).alias("file"), F.lit("{}").alias("value"))
+    double.write.mode("append").partitionBy("run_id", "file").text(root)
+    strategy = F.when(F.col("row_id") % 3 == 0, "PhaseAware_TF4").otherwise("TF1").alias("strategy")
+    rows = r.select("run_id", F.lit("walkforward_results_per_pair__baseline.csv").alias("file"), "pair", "sharpe", "ret", strategy, (F.col("generation") == "gen1").alias("older"))
+    older = rows.filter("older").select("run_id", "file", "pair", F.col("sharpe").alias("Dynamic Sharpe"), F.col("ret").alias("Baseline Sharpe"), "strategy")
+    newer = rows.filter("not older").select("run_id", "file", "strategy", F.col("ret").alias("Sharpe_Baseline"), F.col("sharpe").alias("Sharpe_Dynamic"), F.col("pair").alias("Pair"))
+    legacy = r.select("generation", "pair").distinct().select(F.concat(F.lit("old_"), "generation").alias("run_id"), F.lit("results.csv").alias("file"), "pair")
+    for part in (older, newer, legacy):
+        part.repartition("run_id").write.mode("append").partitionBy("run_id", "file").option("header", True).csv(root)
     return root
 
 
-@query("n_files_kind:s folders:i")
+@query(
+    "n_files_kind:s folders:i manifests:i",
+    "SELECT 'run' AS n_files_kind, count(DISTINCT run_id) AS folders, count(DISTINCT run_id) AS manifests FROM runs UNION ALL SELECT 'several manifests', count(DISTINCT family), 2 * count(DISTINCT family) FROM runs UNION ALL SELECT 'legacy', count(DISTINCT generation), 0 FROM runs", "runs",
+)
 def src10_discovery(spark, sf):
     """Folders of an archive by kind."""
     d = archive.discover(spark, _archive(spark, sf))
-    return d.groupBy(F.col("kind").alias("n_files_kind")).agg(F.count("*").alias("folders"))
+    return d.groupBy(F.col("kind").alias("n_files_kind")).agg(F.count("*").alias("folders"), F.sum("manifests").alias("manifests"))
+
 
+_RESULTS = {"pair": "string", "strategy": "string", "sharpe_dynamic": "double", "sharpe_baseline": "double", "return_dynamic": "double"}
 
-@query("run_id:s n:i mean_sharpe:f", "SELECT run_id, count(*) AS n, avg(sharpe) AS mean_sharpe FROM runs GROUP BY run_id", "runs")
+
+@query(
+    "run_id:s mode:s n:i mean_sharpe:f mean_baseline:f n_returns:i n_ambiguous:i",
+    """SELECT run_id, 'baseline' AS mode, count(*) AS n, avg(sharpe) AS mean_sharpe, avg(ret) AS mean_baseline, 0 AS n_returns, coalesce(any_value(k), 0) AS n_ambiguous
+       FROM runs LEFT JOIN (SELECT run_id, sum(c) AS k FROM (SELECT run_id, count(*) AS c FROM runs WHERE row_id % 3 = 0 GROUP BY run_id, pair HAVING count(*) > 1) GROUP BY run_id) USING (run_id) GROUP BY run_id""", "runs",
+)
 def src12_src14_result_tables(spark, sf):
-    """Result files of all runs in one scan, an older column name mapped."""
-    raw = spark.read.option("header", True).csv(f"{_archive(spark, sf)}/walkforward__baseline.csv")
-    named = raw.withColumnsRenamed(archive.RENAMED)
-    return named.groupBy("run_id").agg(F.count("*").alias("n"), F.avg(F.col("sharpe_dynamic").try_cast("double")).alias("mean_sharpe"))
+    """Result files of all runs in one scan, by column name and older names, and the phase-aware rows that are not one for a pair."""
+    rows = archive.result_tables(spark, _archive(spark, sf), "walkforward_results_per_pair", _RESULTS)
+    unsure = archive.one_router_row(rows).filter("ambiguous").groupBy("run_id").agg(F.count("*").alias("n_ambiguous"))
+    means = rows.groupBy("run_id", "mode").agg(F.count("*").alias("n"), F.avg("sharpe_dynamic").alias("mean_sharpe"), F.avg("sharpe_baseline").alias("mean_baseline"), F.count("return_dynamic").alias("n_returns"))
+    return means.join(unsure, "run_id", "left").fillna(0, ["n_ambiguous"])
 
 
 @query("run_id:s generation:s family:s aware:b", "SELECT DISTINCT run_id, generation, family, aware FROM runs", "runs")
 def src11_manifests(spark, sf):
-    """Manifests as JSON, and back as flat rows."""
-    r = D.runs(spark, sf).select("run_id", "generation", "family", "aware").distinct()
-    j = r.select(F.to_json(F.struct(F.struct(F.col("run_id").alias("id")).alias("run"), F.struct("generation", F.create_map(F.lit("family"), F.col("family"), F.lit("aware"), F.col("aware").cast("string")).alias("factors")).alias("experiment"))).alias("j"))
-    m = j.select(F.from_json("j", archive.MANIFEST).alias("m")).select("m.*")
-    return m.select(F.col("run.id").alias("run_id"), F.col("experiment.generation").alias("generation"), F.element_at("experiment.factors", F.lit("family")).alias("family"), F.element_at("experiment.factors", F.lit("aware")).cast("boolean").alias("aware"))
+    """Manifests of an archive as flat rows; empty ones have no run."""
+    return archive.manifests(spark, _archive(spark, sf)).filter("generation is not null")
 
 
 @query("pair:s metric:s value:f", "SELECT pair, 'sharpe' AS metric, round(avg(sharpe), 3) AS value FROM runs GROUP BY pair", "runs")
@@ -303,12 +347,13 @@ def src15_names(spark, sf):
     return archive.experiments_from_names(n)
 
 
-@query("pair:s fold:i n:i", "SELECT pair, fold, count(*) AS n FROM folds GROUP BY 1, 2", "folds")
+@query("pair:s fold:i n_bars:i sharpe:f", "SELECT pair, fold, n_bars, sharpe_dynamic AS sharpe FROM folds", "folds")
 def src16_debug_series(spark, sf):
-    """Series per pair and fold, named by partition folders."""
+    """Series of single folds, named by pair and fold."""
     path = _folder(spark)
-    D.folds(spark, sf).select("pair", "fold", "n_bars").write.partitionBy("pair", "fold").option("header", True).csv(path)
-    return spark.read.option("header", True).csv(path).groupBy("pair", "fold").agg(F.count("*").alias("n"))
+    named = F.concat(F.lit("debug_"), "pair", F.lit("_fold"), "fold", F.lit(".csv"))
+    _write_named(D.folds(spark, sf).select(named.alias("file"), "n_bars", "sharpe_dynamic"), path, [])
+    return files.debug_series(spark, path).select("pair", "fold", F.col("row")["n_bars"].alias("n_bars"), F.col("row")["sharpe_dynamic"].cast("double").alias("sharpe"))
 
 
 # streams: read once to the end, each the twin of a batch query

@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.delimited import file_problems, folder_of, logical_path, name_of, read_by_name, value_of
+
 MANIFEST = "run struct<id:string,seed:long,timestamp:string>, experiment struct<generation:string,variant:string,factors:map<string,string>>, walkforward map<string,string>, feature_ordering array<string>"
-#: Names under which older results have the same columns.
-RENAMED = {"Sharpe_Dynamic": "sharpe_dynamic", "Dynamic Sharpe": "sharpe_dynamic", "Sharpe_Baseline": "sharpe_baseline", "Baseline Sharpe": "sharpe_baseline", "dl_available": "dl_active"}
+# Names under which older results have the same columns.
+RENAMED = {
+    "sharpe_dynamic": ("Sharpe_Dynamic", "Dynamic Sharpe"), "sharpe_baseline": ("Sharpe_Baseline", "Baseline Sharpe"), "sharpe_delta": ("Sharpe_Delta", "Sharpe Δ"),
+    "return_dynamic": ("Return_Dynamic", "Dynamic Return"), "return_baseline": ("Return_Baseline", "Baseline Return"), "return_delta": ("Return_Delta", "Return Δ"),
+    "maxdd_dynamic": ("MaxDD_Dynamic", "Dynamic Max DD"), "maxdd_baseline": ("MaxDD_Baseline", "Baseline Max DD"), "maxdd_delta": ("MaxDD_Delta", "DD Δ"),
+    "total_return": ("Total Return (%)",), "sharpe": ("Sharpe Ratio", "Sharpe"), "max_drawdown": ("Max Drawdown (%)", "Max DD (%)"), "win_rate": ("Win Rate (%)",),
+    "profit_factor": ("Profit Factor",), "total_trades": ("Total Trades", "Num Trades"), "n_samples": ("N Samples",), "dl_active": ("dl_available",),
+}
+_DELTAS = dict.fromkeys(("sharpe_dynamic", "sharpe_baseline", "sharpe_delta", "return_dynamic", "return_baseline", "return_delta", "maxdd_dynamic", "maxdd_baseline", "maxdd_delta"), "double")
+_FOLDS = {"pair": "string", **_DELTAS, "n_folds": "int"}
+_METRICS = {"pair": "string", "strategy": "string", **dict.fromkeys(("total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor"), "double"), "total_trades": "int"}
+_ABLATION = {"model": "string", **dict.fromkeys(("accuracy", "std", "improvement"), "double"), "n_samples": "int"}
+_GUARD = {**dict.fromkeys(("guard_rate", "atr_quantile", "vol_threshold"), "double"), "n_suppressed": "int", "n_total": "int"}
+# The families of result files, and the columns of each.
+FAMILIES = {
+    "results_ml": {"model": "string", "accuracy": "double", "std": "double", "n_samples": "int", "pair": "string"},
+    "results_ml_backtest": _METRICS,
+    "walkforward_results_summary": _FOLDS,
+    "walkforward_results_per_pair": _FOLDS,
+    "walkforward_results_per_fold": {
+        "pair": "string", "fold": "int", **_DELTAS, "dl_overlap_pct": "double", "dl_overlap_active": "boolean", "dl_overlap_state": "string", "dl_overlap_window": "string",
+        "fold_test_start": "string", "fold_test_end": "string",
+    },
+    "baseline_vs_dynamic_comparison": {"pair": "string", **_DELTAS, "winrate_baseline": "double", "winrate_dynamic": "double", "trades_baseline": "int", "trades_dynamic": "int"},
+    "ablation_summary_aggregate": {**_ABLATION, "n_pairs": "int"},
+    "ablation_summary_per_pair": {"pair": "string", **_ABLATION},
+    "vol_guard_diagnostics_summary": {**_GUARD, "n_folds": "int"},
+    "vol_guard_diagnostics_per_fold": {"pair": "string", "fold": "int", **_GUARD},
+    "results_summary": {**_METRICS, "dl_coverage_pct": "double"},
+    "results_per_pair": {**_METRICS, "dl_coverage_pct": "double"},
+    "selector_state_timeline": {
+        "timestamp": "string", "pair": "string", "selected_strategy": "string", "selector_confidence": "double",
+        **dict.fromkeys(("phaseaware_active", "volatility_guard_active", "dl_active", "dl_missing", "fallback_active", "switch_event"), "boolean"),
+        "imputation_state": "string", "previous_strategy": "string", "current_strategy": "string",
+    },
+}
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Per folder: manifests and CSV files, whether it is a run, and what is wrong if it is not; nothing below a run counts."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    named = files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(logical_path(F.col("path")).alias("path")).distinct()
+    named = files.select(folder_of(F.col("path")).alias("folder"), name_of(F.col("path")).alias("file"))
     counts = named.groupBy("folder").agg(F.count_if(F.col("file").rlike(r"^run_manifest.*\.json$")).alias("manifests"), F.count_if(F.col("file").endswith(".csv")).alias("csvs"))
     kind = F.when(F.col("manifests") == 1, "run").when(F.col("manifests") > 1, "several manifests").when(F.col("csvs") > 0, "legacy").otherwise("other")
     found = counts.withColumn("kind", kind)
@@ -28,19 +64,39 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """One flat row per manifest, absent blocks as NULL."""
-    read = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "run_manifest*.json").json(root)
-    return read.withColumn("folder", F.regexp_extract(F.input_file_name(), "^(.*)/[^/]+$", 1)).select(
-        "folder", F.coalesce("run.id", F.regexp_extract("folder", "([^/]+)$", 1)).alias("run_id"), F.col("run.seed").alias("seed"), F.col("experiment.generation").alias("generation"),
+    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root).select(logical_path(F.col("_metadata.file_path")).alias("file"), "value")
+    read = raw.filter(name_of(F.col("file")).rlike(r"^run_manifest.*\.json$")).select(folder_of(F.col("file")).alias("folder"), F.from_json("value", MANIFEST).alias("m")).select("folder", "m.*")
+    return read.select(
+        "folder", F.coalesce("run.id", F.regexp_extract("folder", "([^/=]+)$", 1)).alias("run_id"), F.col("run.seed").alias("seed"), F.col("experiment.generation").alias("generation"),
         F.element_at("experiment.factors", F.lit("family")).alias("family"), F.coalesce(F.element_at("experiment.factors", F.lit("aware")).try_cast("boolean"), F.lit(False)).alias("aware"), "feature_ordering",
-    )
+    )
+
+
+def _family_files(spark: SparkSession, root: str, family: str) -> DataFrame:
+    # the timeline has one file and no mode
+    return read_by_name(spark, root, rf"^{family}\.csv$" if family == "selector_state_timeline" else rf"^{family}__[^/]*\.csv$")
+
+
+def _typed(column: str, kind: str) -> Column:
+    value = value_of((column, *RENAMED.get(column, ())))
+    if kind == "int":
+        return value.try_cast("double").try_cast("int")
+    if kind == "boolean":
+        return F.lower(F.trim(value)).isin("true", "1", "yes")  # absent stays absent
+    return value.try_cast(kind)
+
+
+def result_tables(spark: SparkSession, root: str, family: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """All runs' rows of one family of result files (`<family>__<mode>.csv`): by name, with tolerant casts, older names mapped."""
+    raw = _family_files(spark, root, family)
+    picked = [_typed(c, kind).alias(c) for c, kind in (columns or FAMILIES[family]).items()]
+    run = F.regexp_extract(folder_of(F.col("file")), "([^/=]+)$", 1)
+    return raw.select(run.alias("run_id"), F.regexp_extract(name_of(F.col("file")), r"__([a-z_]+)\.csv$", 1).alias("mode"), *picked)
 
 
-def result_tables(spark: SparkSession, root: str, family: str, columns: dict[str, str]) -> DataFrame:
-    """All runs' rows of one family of result files (`<family>__<mode>.csv`): tolerant casts, older names mapped."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"{family}__*.csv").csv(root).withColumn("__file", F.input_file_name())
-    have = {RENAMED.get(c, c): c for c in raw.columns}
-    picked = [(F.col(f"`{have[c]}`").try_cast(kind) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in columns.items()]
-    return raw.select(F.regexp_extract("__file", "([^/]+)/[^/]+$", 1).alias("run_id"), F.regexp_extract("__file", r"__([a-z_]+)[^/]*\.csv$", 1).alias("mode"), *picked)
+def result_problems(spark: SparkSession, root: str, family: str, required: list[str]) -> DataFrame:
+    """`file, problem` of the files of a family that are not as they should be; nothing is raised."""
+    return file_problems(_family_files(spark, root, family), [(c, *RENAMED.get(c, ())) for c in required])
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
