@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.joins import as_of
 from tidemark.operators.windows import by_time, islands, with_position
 
 
 def walk_forward(bars: DataFrame, train_months: int = 84, test_months: int = 6, step_months: int = 6) -> DataFrame:
     """Folds of each pair: training grows from the first bar, the test span follows it, all snapped to bars.
 
-    Boundaries are months from the pair's first day; a boundary stands for the last bar at or before it. Only
-    boundaries and bar dates meet: per pair they are few and sorted, and the snap is one as-of pass.
+    Boundaries are months from the pair's first day; a boundary stands for the last bar at or before it, found by an
+    as-of pass over bars and boundaries in one sort.
     """
     placed = with_position(bars.select("pair", "ts"))
     span = placed.groupBy("pair").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -24,14 +25,16 @@ def walk_forward(bars: DataFrame, train_months: int = 84, test_months: int = 6,
         F.add_months("first", F.lit(train_months) + F.col("fold") * step_months).alias("train_until"),
         F.add_months("first", F.lit(train_months + test_months) + F.col("fold") * step_months).alias("test_until"),
     ).filter("test_until <= last")
-    until = placed.join(ends, "pair").groupBy("pair", "fold").agg(
-        F.max(F.when(F.col("ts") <= F.col("train_until"), F.col("pos"))).alias("train_end"), F.max(F.when(F.col("ts") <= F.col("test_until"), F.col("pos"))).alias("test_end")
-    )
-    return until.withColumn("test_start", F.col("train_end") + 1).filter("test_start <= test_end")
+    for until, end in (("train_until", "train_end"), ("test_until", "test_end")):
+        ends = as_of(ends, placed, "pos", ["pair"], until, "ts").withColumnRenamed("pos", end).drop("pos_time")
+    return ends.select("pair", "fold", "train_end", "test_end", (F.col("train_end") + 1).alias("test_start")).filter("test_start <= test_end")
 
 
 def labels_inside(labelled: DataFrame, folds: DataFrame, horizon: int) -> DataFrame:
-    """Training rows of each fold whose label looks no further than the training span (`pos`, `train_end`)."""
+    """Training rows of each fold whose label looks no further than the training span (`pos`, `train_end`).
+
+    Training spans grow from the first bar, so a row belongs to all later folds: the result is as large as half of rows times folds.
+    """
     return labelled.join(folds, "pair").filter(F.col("pos") <= F.col("train_end") - horizon - 1)
 
 

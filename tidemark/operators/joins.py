@@ -31,11 +31,13 @@ def as_of(left: DataFrame, right: DataFrame, value: str, keys: list[str], left_t
 
 
 def in_spans(rows: DataFrame, spans: DataFrame, key: str, position: str, low: str, high: str) -> DataFrame:
-    """Rows with each span of their key that holds their position: an equality join on the key, never a product.
+    """Rows with the span of their key that holds their position; a key's spans do not overlap.
 
-    Spans are few for a key (folds), and the planner broadcasts them if the table is known to be small.
+    The last span that begins at or before the position is found as of it, in one sort, and kept if it reaches so far.
     """
-    return rows.join(spans, key).filter(F.col(position).between(F.col(low), F.col(high)))
+    whole = spans.withColumn("__span", F.struct(*[c for c in spans.columns if c != key]))
+    found = as_of(rows, whole, "__span", [key], position, low).drop("__span_time")
+    return found.filter(F.col(position) <= F.col("__span")[high]).select(*rows.columns, "__span.*")
 
 
 def complete_grid(counts: DataFrame, keys: list[str], column: str, values: list[str]) -> DataFrame:

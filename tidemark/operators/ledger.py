@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
+from tidemark.operators.folding import fold_sorted
+from tidemark.operators.windows import by_time, islands
 
 def executed(df: DataFrame) -> DataFrame:
     """`executed`: the signal of the bar before; flat on the first."""
-    from tidemark.operators.windows import by_time  # not on the executors, where `ledger_rows` is imported
-
     return df.withColumn("executed", F.coalesce(F.lag("signal").over(by_time()), F.lit(0)))
 
 
 def island_trades(df: DataFrame) -> DataFrame:
     """Trades without stops: each stretch of one executed position, closed at the next stretch's first close."""
-    from tidemark.operators.windows import islands
-
     stretch = islands(df, "executed").groupBy("pair", "island").agg(
         F.first("executed").alias("direction"), F.min("ts").alias("entry_date"), F.max("ts").alias("last_date"), F.count("*").alias("bars"),
         F.min_by("close", "ts").alias("entry_price"), F.max_by("close", "ts").alias("last_price"), F.min_by("phase", "ts").alias("phase"),
@@ -33,57 +27,60 @@ def island_trades(df: DataFrame) -> DataFrame:
 
 
 TRADE_SCHEMA = (
-    "pair string, strategy_id string, entry_date date, exit_date date, direction int, entry_price double, exit_price double, "
-    "size double, pnl double, pnl_pct double, exit_reason string, phase string"
+    "entry_date date, exit_date date, direction int, entry_price double, exit_price double, size double, pnl double, pnl_pct double, exit_reason string, phase string"
 )
 
 
-def ledger_rows(bars: pd.DataFrame, capital: float = 10_000.0, cost: float = 0.0) -> Iterator[dict]:
-    """The trades of one key's bars in time order; stops are looked at before targets, and both before the signal."""
-    held: dict | None = None
-    before = 0.0
-    last = None
-    for bar in bars.itertuples(index=False):
-        wanted, before = before, bar.signal
-        if held:
-            side = held["direction"]
-            stop = held["entry_price"] * (1 - side * held["sl"]) if held["sl"] > 0 else None
-            goal = held["entry_price"] * (1 + side * held["tp"]) if held["tp"] > 0 else None
-            out = None
-            if stop is not None and (bar.low <= stop if side > 0 else bar.high >= stop):
-                out = (stop, "stop_loss")
-            elif goal is not None and (bar.high >= goal if side > 0 else bar.low <= goal):
-                out = (goal, "take_profit")
-            elif wanted == 0 or (wanted > 0) != (side > 0):
-                out = (bar.close, "signal")
-            if out:
-                trade = _closed(held, bar.ts, *out, capital)
-                capital += trade["pnl"]
-                yield trade
-                held = None
-        if held is None and wanted != 0:
-            capital -= capital * cost
-            held = {"direction": 1 if wanted > 0 else -1, "size": abs(wanted), "entry_date": bar.ts, "entry_price": bar.close, "sl": bar.sl_pct, "tp": bar.tp_pct, "phase": bar.phase}
-        last = bar
-    if held and last is not None:
-        yield _closed(held, last.ts, last.close, "end", capital)
-
-
-def _closed(held: dict, ts, price: float, reason: str, capital: float) -> dict:
-    pct = held["direction"] * (price / held["entry_price"] - 1)
-    kept = {k: held[k] for k in ("direction", "size", "entry_date", "entry_price", "phase")}
-    return kept | {"exit_date": ts, "exit_price": price, "exit_reason": reason, "pnl_pct": pct, "pnl": capital * pct * held["size"]}
-
-
-def ledger_trades(signals: DataFrame, capital: float = 10_000.0, cost: float = 0.0) -> DataFrame:
-    """Trades with stops, of rows `pair, strategy_id, ts, high, low, close, signal, sl_pct, tp_pct, phase`.
-
-    Whether a bar enters depends on how the bar before left, so each key is folded in order; keys run in parallel.
+class Ledger:
+    """One key's open trade and capital; stops are looked at before targets, and both before the signal of the bar before."""
+
+    def __init__(self, capital: float = 10_000.0, cost: float = 0.0):
+        self.capital, self.cost = capital, cost
+        self.held: dict | None = None
+        self.wanted = 0.0
+        self.last: dict | None = None
+
+    def step(self, bar: dict) -> list[tuple]:
+        """The trade that the bar closes, if it closes one; then an entry, if one is wanted."""
+        wanted, self.wanted, self.last = self.wanted, bar["signal"], bar
+        trades = []
+        if self.held and (out := self._exit(bar, wanted)):
+            trades.append(self._closed(bar["ts"], *out))
+            self.capital += trades[0][6]
+            self.held = None
+        if self.held is None and wanted != 0:
+            self.capital -= self.capital * self.cost
+            self.held = {"direction": 1 if wanted > 0 else -1, "size": abs(wanted), "entry_date": bar["ts"], "entry_price": bar["close"], "sl": bar["sl_pct"], "tp": bar["tp_pct"], "phase": bar["phase"]}
+        return trades
+
+    def finish(self) -> list[tuple]:
+        """The trade that the last bar leaves open, closed there."""
+        return [self._closed(self.last["ts"], self.last["close"], "end")] if self.held else []
+
+    def _exit(self, bar: dict, wanted: float) -> tuple[float, str] | None:
+        h = self.held
+        side = h["direction"]
+        stop = h["entry_price"] * (1 - side * h["sl"]) if h["sl"] > 0 else None
+        goal = h["entry_price"] * (1 + side * h["tp"]) if h["tp"] > 0 else None
+        if stop is not None and (bar["low"] <= stop if side > 0 else bar["high"] >= stop):
+            return stop, "stop_loss"
+        if goal is not None and (bar["high"] >= goal if side > 0 else bar["low"] <= goal):
+            return goal, "take_profit"
+        return (bar["close"], "signal") if wanted == 0 or (wanted > 0) != (side > 0) else None
+
+    def _closed(self, ts, price: float, reason: str) -> tuple:
+        h = self.held
+        pct = h["direction"] * (price / h["entry_price"] - 1)
+        return h["entry_date"], ts, h["direction"], h["entry_price"], price, float(h["size"]), self.capital * pct * h["size"], pct, reason, h["phase"]
+
+
+def ledger_trades(signals: DataFrame, capital: float = 10_000.0, cost: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+    """Trades with stops, of rows `pair, strategy_id, ts, high, low, close, signal, sl_pct, tp_pct, phase`; `keys` may be more.
+
+    Whether a bar enters depends on how the bar before left, so each key is folded in order, in a stream; keys run in parallel.
     """
-    names = [f.split()[0] for f in TRADE_SCHEMA.split(", ")]
-
-    def fold(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
-        rows = list(ledger_rows(bars.sort_values("ts"), capital, cost))
-        return pd.DataFrame(rows).assign(pair=key[0], strategy_id=key[1])[names] if rows else pd.DataFrame(columns=names)
-
-    return signals.groupBy("pair", "strategy_id").applyInPandas(fold, TRADE_SCHEMA)
+    keys = keys or ["pair", "strategy_id"]
+    types = dict(signals.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), TRADE_SCHEMA])
+    needed = ["ts", "high", "low", "close", "signal", "sl_pct", "tp_pct", "phase"]
+    return fold_sorted(signals.select(*keys, *needed), keys, ["ts"], lambda key: Ledger(capital, cost), schema)

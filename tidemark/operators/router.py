@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.folding import fold_sorted
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -21,12 +21,17 @@ class Policy:
     max_hold: int = 60
 
 
-def route_rows(rows: pd.DataFrame, policy: Policy) -> Iterator[tuple[str, bool, float]]:
-    """For each row in time order: the type in force, whether it changed, and the signal."""
-    now, held = "none", 0
-    for r in rows.itertuples(index=False):
-        best, other = ("trend", "reversion") if r.p_trend >= r.p_reversion else ("reversion", "trend")
-        p = {"trend": r.p_trend, "reversion": r.p_reversion, "none": 0.0}
+class Router:
+    """The type in force and how long it has been."""
+
+    def __init__(self, policy: Policy):
+        self.policy, self.now, self.held = policy, "none", 0
+
+    def step(self, r: dict) -> list[tuple]:
+        """The row's time, the type in force, whether it changed, and the signal."""
+        policy, now = self.policy, self.now
+        best, other = ("trend", "reversion") if r["p_trend"] >= r["p_reversion"] else ("reversion", "trend")
+        p = {"trend": r["p_trend"], "reversion": r["p_reversion"], "none": 0.0}
         wanted = now
         if now == "none":
             if p[best] >= policy.enter and p[best] - p[other] >= policy.margin:
@@ -35,29 +40,31 @@ def route_rows(rows: pd.DataFrame, policy: Policy) -> Iterator[tuple[str, bool,
             wanted = best if p[best] >= policy.enter and best != now else "none"
         elif best != now and p[best] >= policy.enter and p[best] - p[now] >= policy.margin:
             wanted = best
-        if r.spike:  # a volatile bar asks for trend where USD is the quote, and lets go of reversion elsewhere
-            wanted = "trend" if r.usd_quote else ("none" if wanted == "reversion" else wanted)
-        if wanted != now and held < policy.min_hold and now != "none" and wanted != "none":
+        if r["spike"]:  # a volatile bar asks for trend where USD is the quote, and lets go of reversion elsewhere
+            wanted = "trend" if r["usd_quote"] else ("none" if wanted == "reversion" else wanted)
+        if wanted != now and self.held < policy.min_hold and now != "none" and wanted != "none":
             wanted = now
-        signal = {"trend": r.trend_signal, "reversion": r.reversion_signal, "none": 0}[wanted]
-        if held >= policy.max_hold and signal == 0:
+        signal = {"trend": r["trend_signal"], "reversion": r["reversion_signal"], "none": 0}[wanted]
+        if self.held >= policy.max_hold and signal == 0:
             wanted = "none"
         changed = wanted != now
-        held = 0 if changed else held + 1
-        now = wanted
-        yield now, changed, float(signal if now != "none" else 0)
+        self.held = 0 if changed else self.held + 1
+        self.now = wanted
+        return [(r["ts"], wanted, changed, float(signal if wanted != "none" else 0))]
 
+    def finish(self) -> list[tuple]:
+        """Nothing is left over."""
+        return []
 
-ROUTED = "pair string, policy string, ts date, selected string, switched boolean, signal double"
 
+ROUTED = "ts date, selected string, switched boolean, signal double"
 
-def route(rows: DataFrame, policies: dict[str, Policy]) -> DataFrame:
-    """Each pair under each policy, in one pass: the policy is part of the key, so a sweep adds keys, not jobs."""
-    swept = rows.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in policies])))
-
-    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts")
-        made = list(route_rows(part, policies[key[1]]))
-        return pd.DataFrame({"pair": key[0], "policy": key[1], "ts": part["ts"], "selected": [m[0] for m in made], "switched": [m[1] for m in made], "signal": [m[2] for m in made]})
 
-    return swept.groupBy("pair", "policy").applyInPandas(fold, ROUTED)
+def route(rows: DataFrame, policies: dict[str, Policy], keys: list[str] | None = None) -> DataFrame:
+    """Each key (pair; pair and fold) under each policy, in one pass: the policy is part of the key, so a sweep adds keys, not jobs."""
+    keys = [*(keys or ["pair"]), "policy"]
+    swept = rows.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in policies])))
+    types = dict(swept.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), ROUTED])
+    needed = ["ts", "p_trend", "p_reversion", "spike", "usd_quote", "trend_signal", "reversion_signal"]
+    return fold_sorted(swept.select(*keys, *needed), keys, ["ts"], lambda key: Router(policies[key[-1]]), schema)

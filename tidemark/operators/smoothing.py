@@ -21,7 +21,7 @@ BLOCK = 256
 def wilder(df: DataFrame, columns: dict[str, str], n: int) -> DataFrame:
     """`df` with each of `columns` (input: output) smoothed; NULL until `n` values came, NULL where there is no value.
 
-    What leads up to the blocks' ends is written once, as both the ends and the rows are made from it.
+    What leads up to the blocks' ends is written once, as both the ends and the rows are made from it: calling this runs a job.
     """
     decay = F.lit(1 - 1 / n)
     upto = W.by_time().rowsBetween(Window.unboundedPreceding, 0)

@@ -93,12 +93,12 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategy evaluations from folds, two strategies a pair."""
     f = folds(spark, sf_dir)
-    two = f.select("pair", "fold", "n_bars", F.lit("dynamic").alias("kind"), F.col("return_dynamic").alias("ret"), F.col("sharpe_dynamic").alias("sharpe")).unionByName(
-        f.select("pair", "fold", "n_bars", F.lit("baseline").alias("kind"), F.col("return_baseline").alias("ret"), F.col("sharpe_baseline").alias("sharpe"))
+    two = f.select("pair", "fold", "n_bars", F.lit("dynamic").alias("kind"), F.col("return_dynamic").alias("ret"), F.col("sharpe_dynamic").alias("sharpe"), F.col("maxdd_dynamic").alias("drawdown")).unionByName(
+        f.select("pair", "fold", "n_bars", F.lit("baseline").alias("kind"), F.col("return_baseline").alias("ret"), F.col("sharpe_baseline").alias("sharpe"), F.lit(None).cast("double").alias("drawdown"))
     )
     return two.groupBy(F.concat_ws("_", "kind", "pair").alias("strategy_id")).agg(
         F.avg("ret").alias("expected_return"), F.avg("sharpe").alias("expected_sharpe"), F.stddev_pop("sharpe").alias("stability"),
-        F.count("*").alias("n_folds"), F.sum("n_bars").alias("n_trades"),
+        F.avg("drawdown").alias("expected_drawdown"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.count("*").alias("n_folds"), F.sum("n_bars").alias("n_trades"),
     )
 
 
@@ -159,8 +159,8 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         min(signal * next_return) AS maxdd_dynamic, avg(CASE WHEN volume > 60 THEN 100.0 ELSE 0.0 END) AS overlap_pct FROM smac GROUP BY 1, 2"""),
     "timeline": (("enriched",), """SELECT pair, ts, (['TF','MR','none'])[CAST(volume AS BIGINT) % 3 + 1] AS selected, CASE WHEN CAST(volume AS BIGINT) % 7 = 0 THEN NULL ELSE (CAST(volume AS BIGINT) % 50) / 50 END AS confidence,
         CAST(volume AS BIGINT) % 5 < 2 AS dl_active, CAST(volume AS BIGINT) % 11 = 0 AS fallback_active, phase, atr_pct, next_return FROM enriched"""),
-    "evals": (("folds",), """SELECT kind || '_' || pair AS strategy_id, avg(ret) AS expected_return, avg(sharpe) AS expected_sharpe, stddev_pop(sharpe) AS stability, count(*) AS n_folds, CAST(sum(n_bars) AS BIGINT) AS n_trades FROM (
-        SELECT pair, n_bars, 'dynamic' AS kind, return_dynamic AS ret, sharpe_dynamic AS sharpe FROM folds UNION ALL SELECT pair, n_bars, 'baseline', return_baseline, sharpe_baseline FROM folds) GROUP BY 1"""),
+    "evals": (("folds",), """SELECT kind || '_' || pair AS strategy_id, avg(ret) AS expected_return, avg(sharpe) AS expected_sharpe, stddev_pop(sharpe) AS stability, avg(drawdown) AS expected_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END) AS win_rate, count(*) AS n_folds, CAST(sum(n_bars) AS BIGINT) AS n_trades FROM (
+        SELECT pair, n_bars, 'dynamic' AS kind, return_dynamic AS ret, sharpe_dynamic AS sharpe, maxdd_dynamic AS drawdown FROM folds UNION ALL SELECT pair, n_bars, 'baseline', return_baseline, sharpe_baseline, NULL FROM folds) GROUP BY 1"""),
     "sent0": (("hourly",), "SELECT *, least(100.0, abs(close / open - 1) * 200) AS abs_sentiment, lead(close, 12) OVER w / close - 1 AS ret_12b, lead(close, 48) OVER w / close - 1 AS ret_48b FROM hourly WINDOW w AS (PARTITION BY pair ORDER BY ts)"),
     "sentiment": (("sent0",), """SELECT pair, ts AS entry_time, abs_sentiment, CAST(CASE WHEN abs_sentiment >= 70 THEN row_number() OVER (PARTITION BY pair, g, abs_sentiment >= 70 ORDER BY ts) ELSE 0 END AS INTEGER) AS streak, ret_12b, ret_48b FROM (
         SELECT *, sum(CASE WHEN abs_sentiment >= 70 THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM sent0)"""),
@@ -168,6 +168,8 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         (['gen1','gen2'])[c_custkey % 48 % 2 + 1] AS generation, (['jpy','eur','usd'])[c_custkey % 48 % 3 + 1] AS family, (c_custkey % 48 // 6) % 2 = 0 AS aware, (c_custkey % 48 // 12) % 2 = 0 AS sentiment,
         'P' || c_nationkey AS pair, c_acctbal / 1000 AS sharpe, c_acctbal / 100 AS ret, c_custkey AS row_id FROM customer"""),
 }
+CTE["hrets"] = (("hourly",), CTE["rets"][1].replace("FROM bars", "FROM hourly"))
+CTE["hmoves"] = (("hrets",), CTE["moves"][1].replace("FROM rets", "FROM hrets"))
 
 
 def prelude(names: tuple[str, ...]) -> str:

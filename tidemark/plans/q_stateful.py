@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -43,34 +45,58 @@ def w15_wilder_rsi(spark, sf):
     return X.wilder_indicators(D.bars(spark, sf)).withColumn("n", F.row_number().over(W.by_time())).filter("n > 1")
 
 
-@query("pair:s ts:d plus_di:f minus_di:f adx:f")
+def _directions(bars: str, moves: str) -> str:
+    """Bars with Wilder range, directional indicators and their index, from the tables of those names."""
+    part = lambda c: f"({_wilder(f'SELECT pair, ts, CASE WHEN returns IS NOT NULL THEN {c} END AS x FROM {moves}')})"
+    return f"""SELECT b.*, a.y AS atr, a.y / b.close * 100 AS atr_pct, 100 * u.y / nullif(a.y, 0) AS plus_di, 100 * d.y / nullif(a.y, 0) AS minus_di, 100 * abs(u.y - d.y) / nullif(u.y + d.y, 0) AS dx
+        FROM {bars} b LEFT JOIN ({_wilder(f'SELECT pair, ts, tr AS x FROM {moves}')}) a USING (pair, ts) LEFT JOIN {part('up')} u USING (pair, ts) LEFT JOIN {part('dn')} d USING (pair, ts)"""
+
+
+def _adx(bars: str, moves: str) -> str:
+    return f"SELECT i.*, x.y AS adx FROM ({_directions(bars, moves)}) i LEFT JOIN ({_wilder(f'SELECT pair, ts, dx AS x FROM ({_directions(bars, moves)})')}) x USING (pair, ts)"
+
+
+_PHASE = "CASE WHEN high_vol THEN 'HV' ELSE 'LV' END || CASE WHEN trending THEN '_Trend' ELSE '_Ranging' END"
+_DAILY = f"""SELECT *, CASE phase WHEN 'HV_Trend' THEN 2.5 WHEN 'LV_Trend' THEN 2.0 WHEN 'HV_Ranging' THEN 1.5 ELSE 1.0 END AS stop_atr_mult FROM (SELECT *, {_PHASE} AS phase FROM (
+    SELECT *, coalesce(CASE WHEN count(atr_pct) OVER w >= 126 THEN atr_pct >= quantile_cont(atr_pct, 0.5) OVER w END, false) AS high_vol, coalesce(adx > 25, false) AS trending
+    FROM ({_adx('bars', 'moves')}) WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS 251 PRECEDING)))"""
+_HOURLY = f"""SELECT *, {_PHASE} AS phase FROM (SELECT *, rel_vol >= 1 AS high_vol, coalesce(adx > 20, false) AS trending FROM (
+    SELECT i.*, coalesce(s.y / nullif(l.y, 0), 2.0) AS rel_vol, CASE WHEN count(*) OVER w = 200 THEN avg(i.close) OVER w END AS sma200 FROM ({_adx('hourly', 'hmoves')}) i
+    LEFT JOIN ({_wilder('SELECT pair, ts, tr AS x FROM hmoves', 10)}) s USING (pair, ts) LEFT JOIN ({_wilder('SELECT pair, ts, tr AS x FROM hmoves', 100)}) l USING (pair, ts) WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS 199 PRECEDING)))"""
+
+
+@query("pair:s ts:d plus_di:g minus_di:g adx:g", _adx("bars", "moves"), "moves")
 def w17_wilder_adx(spark, sf):
     """Directional indicators and ADX after Wilder."""
     return X.wilder_indicators(D.bars(spark, sf))
 
 
-@query("pair:s ts:t rel_vol:f")
+@query("pair:s ts:t rel_vol:g", _HOURLY, "hmoves")
 def w18_relative_volatility(spark, sf):
     """Short over long average range, hourly."""
     return X.hourly_regimes(D.hourly(spark, sf))
 
 
-@query("pair:s ts:d atr:f adx:f high_vol:b trending:b phase:s stop_atr_mult:f")
+@query("pair:s ts:d atr:g adx:g high_vol:b trending:b phase:s stop_atr_mult:f", _DAILY, "moves")
 def w35_daily_regimes(spark, sf):
     """Daily regime table."""
     return X.daily_regimes(D.bars(spark, sf))
 
 
-@query("pair:s ts:t rel_vol:f adx:f sma200:f phase:s")
+@query("pair:s ts:t rel_vol:g adx:g sma200:g phase:s", _HOURLY, "hmoves")
 def w36_hourly_regimes(spark, sf):
     """Hourly regime table."""
     return X.hourly_regimes(D.hourly(spark, sf))
 
 
-@query("pair:s ts:d phase:s detector_id:s config_version:s config_hash:s")
+@query(
+    "pair:s ts:d phase:s detector_id:s config_version:s config_hash:s",
+    f"""SELECT *, 'wilder_d1' AS detector_id, '1' AS config_version, sha256('{{"adx":25,"median":252,"n":14}}')[1:16] AS config_hash FROM ({_DAILY}) WHERE pair IN (SELECT pair FROM bars GROUP BY pair HAVING count(*) >= 300)""", "moves",
+)
 def w37_labelled_regimes(spark, sf):
-    """Regimes of pairs with enough bars, with their detector."""
-    return X.labelled(X.daily_regimes(D.bars(spark, sf)), "wilder_d1", "1", "0f3a")
+    """Regimes of pairs with enough bars, with their detector and the digest of its configuration."""
+    config = json.dumps({"n": 14, "median": 252, "adx": 25}, sort_keys=True, separators=(",", ":"))
+    return X.labelled(X.daily_regimes(D.bars(spark, sf)), "wilder_d1", "1", hashlib.sha256(config.encode()).hexdigest()[:16])
 
 
 def _long_signals(spark, sf, names=("TF3", "MR5", "MR1")):
@@ -100,11 +126,22 @@ def s04_router(spark, sf):
     return R.route(_routed_input(spark, sf), {"default": R.Policy()})
 
 
-@query("policy:s pair:s n_switches:i n_active:i")
+#: Enter only, with a holding time, and with a lower threshold to leave as well.
+_POLICIES = {"enter": R.Policy(leave=0.55, min_hold=0), "enter_hold": R.Policy(leave=0.55, min_hold=5), "enter_leave_hold": R.Policy(leave=0.5, min_hold=5)}
+
+
+@query("policy:s pair:s fold:i n_switches:i n_active:i n_trades:i mean_pnl:f")
 def s10_policy_sweep(spark, sf):
-    """Several policies in one pass."""
-    swept = R.route(_routed_input(spark, sf), {f"tau{t}": R.Policy(enter=t / 100, leave=t / 100 - 0.1) for t in (50, 55, 60, 65, 70, 75)})
-    return swept.groupBy("policy", "pair").agg(F.count_if("switched").alias("n_switches"), F.count_if(F.col("signal") != 0).alias("n_active"))
+    """Six thresholds and three policies over the same half-year folds in one pass, routed and traded."""
+    thresholds = {f"tau{t}": R.Policy(enter=t / 100, leave=t / 100 - 0.1) for t in (50, 55, 60, 65, 70, 75)}
+    half = (F.year("ts") * 2 + F.when(F.month("ts") > 6, 1).otherwise(0)).cast("int").alias("fold")
+    keys = ["pair", "fold"]
+    swept = materialise(R.route(_routed_input(spark, sf).select("*", half), thresholds | _POLICIES, keys))
+    bars = D.enriched(spark, sf).select("pair", "ts", "high", "low", "close", "phase", F.lit(0.03).alias("sl_pct"), F.lit(0.06).alias("tp_pct"))
+    trades = L.ledger_trades(swept.join(bars, ["pair", "ts"]), keys=[*keys, "policy"])
+    traded = trades.groupBy(*keys, "policy").agg(F.count("*").alias("n_trades"), F.avg("pnl_pct").alias("mean_pnl"))
+    routed = swept.groupBy(*keys, "policy").agg(F.count_if("switched").alias("n_switches"), F.count_if(F.col("signal") != 0).alias("n_active"))
+    return routed.join(traded, [*keys, "policy"], "left").fillna(0, ["n_trades"])
 
 
 def _weekly(spark, sf):
@@ -137,67 +174,59 @@ def _model_rows(spark, sf):
     return materialise(rows)
 
 
-@query("fold:i accuracy:f n:i")
-def m02_time_series_cv(spark, sf):
-    """Expanding cross-validation of the direction."""
-    rows = _model_rows(spark, sf)
-    from pyspark.sql.window import Window
+_PHASES = ["HV_Trend", "LV_Trend", "HV_Ranging", "LV_Ranging"]
 
-    rows = rows.withColumn("part", F.ntile(6).over(Window.partitionBy("pair").orderBy("ts")))
-    scored = None
-    for k in range(2, 7):
-        model = M.fit_direction(rows.filter(F.col("part") < k), _FEATURES, "up")
-        one = model.transform(rows.filter(F.col("part") == k)).select(F.lit(k - 1).alias("fold"), "prediction", "up")
-        scored = one if scored is None else scored.unionByName(one)
-    return M.accuracy(scored, ["fold"], "up")
 
+@query("fold:i accuracy:f n:i accuracy_mean:f accuracy_std:f")
+def m02_time_series_cv(spark, sf):
+    """Expanding cross-validation of the direction, with mean and deviation over the folds."""
+    return M.cross_validated(_model_rows(spark, sf), _FEATURES, "up")
 
-@query("variant:s accuracy:f n:i")
-def m03_direction_variants(spark, sf):
-    """Direction without and with phases as features."""
-    from tidemark.functions.expr import one_hot
 
-    phases = ["HV_Trend", "LV_Trend", "HV_Ranging"]
-    rows = one_hot(_model_rows(spark, sf), "phase", phases)
-    train, test = rows.filter(F.year("ts") < 2000), rows.filter(F.year("ts") >= 2000)
-    plain = M.fit_direction(train, _FEATURES, "up").transform(test).select(F.lit("none").alias("variant"), "prediction", "up")
-    phased = M.fit_direction(train, [*_FEATURES, *[f"phase_{p}" for p in phases]], "up").transform(test).select(F.lit("phase_feature").alias("variant"), "prediction", "up")
-    return M.accuracy(plain.unionByName(phased), ["variant"], "up")
+@query("variant:s phase:s accuracy_mean:f accuracy_std:f n:i")
+def m03_direction_variants(spark, sf):
+    """Direction without phases, with phases as features, and by a model for each phase."""
+    return M.direction_variants(_model_rows(spark, sf), _FEATURES, _PHASES, "up", splits=3)
 
 
-@query("pair:s ts:d predicted:s")
+@query("pair:s ts:d phase:s predicted:s learned:b")
 def m04_next_phase(spark, sf):
-    """Next phase from one pooled model."""
-    rows = _model_rows(spark, sf).withColumn("next_phase", F.lead("phase").over(W.by_time())).dropna(subset=["next_phase"])
-    model = M.fit_types(rows.filter(F.year("ts") < 2000), _FEATURES, "next_phase")
-    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    return model.transform(rows.filter(F.year("ts") >= 2000)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
+    """Next phase, walking forward."""
+    return M.walk_forward_phases(D.enriched(spark, sf), _FEATURES, _PHASES)
 
 
-@query("pair:s ts:d p_first:f p_second:f")
+def _typed(spark, sf):
+    """Rows with the type that the next bar would have rewarded; none where it hardly moved."""
+    moved = F.abs("next_return") > F.col("atr_pct") / 1000
+    best = F.when(~moved, "none").when(F.col("returns") * F.col("next_return") > 0, "trend").otherwise("reversion")
+    return _model_rows(spark, sf).withColumn("best", best)
+
+
+@query("pair:s ts:d selected:s p_none:f p_reversion:f p_trend:f")
 def m05_type_selector(spark, sf):
-    """Probabilities of the better strategy, for all rows in one pass."""
-    rows = _model_rows(spark, sf).withColumn("best", F.when(F.col("returns") * F.col("next_return") > 0, "trend").otherwise("reversion"))
-    model = M.fit_types(rows.filter(F.year("ts") < 2000), _FEATURES, "best")
-    return M.with_probabilities(model, rows.filter(F.year("ts") >= 2000), ["first", "second"])
+    """Three-class probabilities in one pass, by a selector trained on the first two thirds of each pair's bars."""
+    from pyspark.sql.window import Window
 
+    rows = _typed(spark, sf).withColumn("third", F.ntile(3).over(Window.partitionBy("pair").orderBy("ts")))
+    return M.TypeSelector.train(rows.filter("third < 3"), _FEATURES, "best").probabilities(rows.filter("third = 3"))
 
-@query("year:i accuracy:f n:i")
+
+@query("fold:i accuracy:f n:i")
+def m05_stratified_cv(spark, sf):
+    """Accuracy of the selector over stratified folds."""
+    return M.stratified_accuracy(_typed(spark, sf), _FEATURES, "best")
+
+
+@query("year:i experiment:s accuracy:f mean_return:f hit_rate:f sharpe:f n_trades:i")
 def m06_yearly_regression(spark, sf):
-    """Logistic regression of earlier years, tested on the next."""
-    rows = _model_rows(spark, sf).withColumn("year", F.year("ts"))
-    scored = None
-    for y in (1998, 1999, 2000):
-        one = M.fit_direction(rows.filter(F.col("year") < y), _FEATURES, "up").transform(rows.filter(F.col("year") == y)).select("year", "prediction", "up")
-        scored = one if scored is None else scored.unionByName(one)
-    return M.accuracy(scored, ["year"], "up")
+    """Logistic regression of all earlier years, tested on each year, for three feature sets."""
+    return M.yearly_experiments(_model_rows(spark, sf), {"oscillator": ["rsi", "returns"], "range": ["adx", "atr_pct"], "all": _FEATURES}, "up", "next_return")
 
 
 @query("feature:s importance:f")
 def t08_importances(spark, sf):
     """What the selector looks at."""
-    rows = _model_rows(spark, sf).withColumn("best", F.when(F.col("returns") * F.col("next_return") > 0, "trend").otherwise("reversion"))
-    return M.importances(M.fit_types(rows, _FEATURES, "best"), _FEATURES, spark)
+    return M.importances(M.fit_types(_typed(spark, sf), _FEATURES, "best"), _FEATURES, spark)
 
 
 # files and archives: written from the tables first, then read as they would be found
@@ -253,11 +282,16 @@ def src03_snk01_daily_parquet(spark, sf):
     return spark.read.parquet(parquet)
 
 
-@query("strategy_id:s expected_sharpe:f n_folds:i", "SELECT * FROM evals", "evals")
+@query(
+    "evaluation_id:s surface_id:s surface_version:s state_id:s strategy_id:s expected_return:f expected_sharpe:f expected_drawdown:f win_rate:f confidence:f stability:f n_folds:i n_trades:i metadata:s",
+    """SELECT *, 'eval_' || sha256('{"experiment_id":"exp_half_years","schema_version":"1.0.0","state_id":"all","strategy_id":"' || strategy_id || '","surface_id":"bars","surface_version":"1"}')[1:24] AS evaluation_id,
+       'bars' AS surface_id, '1' AS surface_version, 'all' AS state_id, NULL AS confidence, '{"kind":"' || split_part(strategy_id, '_', 1) || '"}' AS metadata FROM evals""", "evals",
+)
 def snk02_evaluations(spark, sf):
-    """Evaluations written and read."""
+    """Evaluations written in their 14 columns, and read."""
     path = _folder(spark)
-    sinks.write_evaluations(D.evaluations(spark, sf), path)
+    rows = D.evaluations(spark, sf).withColumn("kind", F.split("strategy_id", "_")[0])
+    sinks.write_evaluations(sinks.evaluation_records(rows, "bars", "1", "all", "exp_half_years"), path)
     return spark.read.parquet(path)
 
 

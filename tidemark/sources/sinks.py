@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EVALUATIONS = ["strategy_id", "expected_return", "expected_sharpe", "stability", "n_folds", "n_trades"]
+# The columns of evaluations and recommendations, and the version that an evaluation's identifier holds.
+EVALUATIONS = [
+    "evaluation_id", "surface_id", "surface_version", "state_id", "strategy_id", "expected_return", "expected_sharpe", "expected_drawdown",
+    "win_rate", "confidence", "stability", "n_folds", "n_trades", "metadata",
+]
+EVALUATION_VERSION = "1.0.0"
 RECOMMENDATIONS = ["recommendation_id", "evaluation_id", "rank", "recommendation_policy", "metadata"]
 
 
@@ -18,9 +23,21 @@ def write_results(df: DataFrame, path: str, mode: str, csv: bool = False) -> Non
         tagged.write.mode("append").partitionBy("mode").parquet(path)
 
 
-def write_evaluations(evaluations: DataFrame, path: str) -> None:
-    """Evaluations, sorted within files."""
-    evaluations.select(*EVALUATIONS).sortWithinPartitions("strategy_id").write.mode("overwrite").parquet(path)
+def evaluation_records(evaluations: DataFrame, surface_id: str, surface_version: str, state_id: str, experiment_id: str) -> DataFrame:
+    """Evaluations in their 14 columns: measures that are absent are NULL, the identifier follows from what was evaluated, and further columns are metadata."""
+    fixed = {"surface_id": surface_id, "surface_version": surface_version, "state_id": state_id}
+    named = {"experiment_id": F.lit(experiment_id), "schema_version": F.lit(EVALUATION_VERSION), "strategy_id": F.col("strategy_id"), **{k: F.lit(v) for k, v in fixed.items()}}
+    digest = F.sha2(F.to_json(F.struct(*[named[k].alias(k) for k in sorted(named)])), 256)
+    rows = evaluations.withColumns({"evaluation_id": F.concat(F.lit("eval_"), F.substring(digest, 1, 24)), **{k: F.lit(v) for k, v in fixed.items()}})
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("expected_drawdown", "win_rate", "confidence", "stability") if c not in rows.columns})
+    more = sorted(c for c in evaluations.columns if c not in EVALUATIONS)
+    return rows.withColumn("metadata", F.to_json(F.struct(*more)) if more else F.lit("{}")).select(*EVALUATIONS)
+
+
+def write_evaluations(records: DataFrame, path: str) -> None:
+    """Evaluations in their 14 columns, ordered by surface, state and strategy."""
+    by = ["surface_id", "state_id", "strategy_id"]
+    records.select(*EVALUATIONS).repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
 
 
 def write_recommendations(ranked: DataFrame, path: str, policy: str = "sharpe") -> None:
