@@ -5,7 +5,8 @@ binary search, takes in each word the pair of the lowest rank (the leftmost of e
 words at once; the rounds end when no word has a pair left that can be merged.
 
 Defined cases: a null text encodes as the empty text; the empty text has no tokens and decodes to the empty
-text; a byte outside the vocabulary cannot occur, as the vocabulary holds all 256.
+text; a byte outside the vocabulary cannot occur, as the vocabulary holds all 256; repeated rows are encoded each; an
+empty table gives no rows; columns other than `doc_id` and `text` are not read.
 """
 
 from __future__ import annotations

@@ -180,7 +180,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     schema = ", ".join(f"{k} {v}" for k, v in (_COLUMNS | _EDGE).items())
     spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a range holds about as much as a partition of the input, whatever the setting
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     sorted_docs = (
         docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         .withColumn("part", F.spark_partition_id().cast("long"))
