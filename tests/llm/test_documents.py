@@ -36,6 +36,14 @@ def test_bpe_equals_the_library(odd_docs):
     assert Counter(rows(bpe.encode_documents(odd_docs, VOCABULARY))) == want
 
 
+def test_bpe_of_all_code_points():
+    lib, enc = Tokenizer.from_file(VOCABULARY), bpe.Encoder(VOCABULARY)
+    points = [*range(0xD800), *range(0xE000, 0x20000, 3), *range(0x20000, 0x110000, 97)]
+    for a in range(0, len(points), 20_000):
+        texts = [f"ab{chr(c)}c 1{chr(c)}" for c in points[a : a + 20_000]]
+        assert enc.encode_batch(texts) == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_memory_is_bounded():
     enc = bpe.Encoder(VOCABULARY)
     enc.REMEMBERED = 10

@@ -26,6 +26,16 @@ from tidemark.llm.common import map_arrow
 
 #: Unicode white space as the tokenizer's regular expressions see it.
 SPACE = "\t-\r \x85\xa0  -     　"
+# Letters that the tokenizer library's Unicode tables (version 16) do not know and `regex` may know, and
+# capital letters that the library knows and Python may not.
+NEWER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+).split()
+NEWER_CAPITALS = {"\u1c89": "\u1c8a", "\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7da": "\ua7db", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7dc": "\u019b"}
+NEWER_CAPITALS |= {chr(c): chr(c + 32) for c in range(0x10D50, 0x10D66)} | {chr(c): chr(c + 27) for c in range(0x16EA0, 0x16EB9)}
 _NO_RANK = np.iinfo(np.int64).max
 
 
@@ -53,6 +63,11 @@ class Encoder:
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._word = regex.compile(pattern.replace(r"\s", SPACE))
+        newer = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in NEWER_LETTERS)
+        self._newer = re.compile(f"[{newer}]")
+        older = pattern.replace(r"\s", SPACE).replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]")
+        self._older_word = regex.compile(older, regex.V1)
+        self._capitals = re.compile("[" + "".join(NEWER_CAPITALS) + "]")
         self._space = re.compile(f"[{SPACE}]+")
         end = model["end_of_word_suffix"]
         byte = byte_symbols()
@@ -133,6 +148,8 @@ class Encoder:
         if not text.isascii():
             # one character at a time: no special form of a final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self._capitals.search(text):
+                text = self._capitals.sub(lambda m: NEWER_CAPITALS[m[0]], text)
         if self._separators.search(text):  # str.split() takes these for white space, the vocabulary does not
             return [c for c in self._space.split(text.lower()) if c]
         return text.lower().split()
@@ -142,7 +159,10 @@ class Encoder:
             return [chunk]
         if chunk[-1] in ".,!" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
-        return [] if chunk[0] == " " else self._word.findall(chunk)
+        if chunk[0] == " ":
+            return []
+        word = self._word if chunk.isascii() or not self._newer.search(chunk) else self._older_word
+        return word.findall(chunk)
 
     def learn(self, texts: Iterable[list[str]]) -> dict[str, bytes]:
         """Ids of every chunk as little-endian unsigned 32-bit numbers, from memory or by merge rounds over all new words."""
