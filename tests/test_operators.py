@@ -179,3 +179,12 @@ def test_runs_take_all_customers(spark, tmp_path):
     keys = [1, 150_000, 150_001, 1_500_000]
     spark.createDataFrame([(k, k % 25, 1.0) for k in keys], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(r["row_id"] for r in derive.runs(spark, str(tmp_path)).collect()) == keys
+
+
+def test_positions_by_month_are_those_of_the_whole_pair(spark):
+    from tidemark.operators import windows as W
+
+    df = bars(spark, range(100)).union(bars(spark, range(40), "CD")).union(bars(spark, [1.0], "EF").withColumn("ts", W.F.lit(None).cast("date")))
+    found = {(r.pair, r.ts): r.pos for r in W.position_by_month(df).collect()}
+    assert found == {(r.pair, r.ts): r.pos for r in W.with_position(df).collect()} and len(found) == 141
+    assert W.position_by_month(df.limit(0)).count() == 0

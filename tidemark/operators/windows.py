@@ -209,6 +209,19 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(by_time()) - 1)
 
 
+def position_by_month(df: DataFrame) -> DataFrame:
+    """`pos` as `with_position` gives it, for long pairs: no task sorts more than a month of one.
+
+    Rows are numbered within their month, and months start where the counts of those before end; `df` is read twice.
+    """
+    monthly = df.withColumn("__month", F.date_trunc("month", "ts"))
+    before = F.sum("n").over(Window.partitionBy("pair").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1))
+    starts = monthly.groupBy("pair", "__month").agg(F.count("*").alias("n")).select(F.col("pair").alias("__p"), F.col("__month").alias("__m"), F.coalesce(before, F.lit(0)).alias("__start"))
+    same = F.col("pair").eqNullSafe(F.col("__p")) & F.col("__month").eqNullSafe(F.col("__m"))
+    number = F.row_number().over(Window.partitionBy("pair", "__month").orderBy("ts")) - 1
+    return monthly.withColumn("__number", number).join(starts, same).withColumn("pos", F.col("__start") + F.col("__number")).select(*df.columns, "pos")
+
+
 def previous_mean(column: str, n: int = 5) -> Column:
     """Mean of up to `n` bars before the current one."""
     return F.avg(column).over(by_time().rowsBetween(-n, -1))

@@ -287,8 +287,9 @@ def w38_next_phase(spark, sf):
 @query("pair:s ts:d returns_mean_20:f returns_std_20:f", f"SELECT pair, ts, {_rolling_sql('mean', 'avg(returns)')}, {_rolling_sql('std', 'stddev_samp(returns)')} FROM rets", "rets")
 def w_blocked_rolling(spark, sf):
     """The rolling statistics again, with each pair cut into blocks of 500 bars that run as tasks of their own."""
-    placed = W.with_position(W.returns(D.bars(spark, sf)))
-    return W.in_blocks(placed, 20, 500, lambda d: W.rolling(d, "returns"))
+    placed = W.position_by_month(D.bars(spark, sf))
+    # the frame of 20 returns needs 20 bars before the current one
+    return W.in_blocks(placed, 20, 500, lambda d: W.rolling(W.returns(d), "returns"))
 
 
 # signals
