@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arc_convert, bpe, chat_render, disclosure, html_diff, packing, ppm_language, prefix_hash, quotient_filter, simhash
+from tidemark.llm import arc_convert, bpe, chat_render, disclosure, divergence, html_diff, merkle, packing, ppm_language, prefix_hash, quotient_filter, simhash
 from tidemark.llm.common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -68,15 +68,96 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents: leaves, roots, proofs, and which rows are as the manifest says."""
+    return merkle.prove(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of all documents are apart, language by language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_diff, op2_prefix_hash, op3_quotient_filter, op4_chat_render, op5_simhash,
-        op6_disclosure, op7_ppm_language, op8_packing, op9_arc_convert, op10_bpe,
+        op6_disclosure, op7_ppm_language, op8_packing, op9_arc_convert, op10_bpe, op12_merkle, op13_divergence,
     )
 }
 
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR) END"
+
+
+def _levels(start: str, tree: str, many: int) -> str:
+    """Levels of runs of eight above the table `start` (`k, i, a` and b: two digests a node), as tables start1, start2, ..."""
+    out = []
+    for level in range(1, many + 1):
+        below = f"{start}{level - 1 or ''}"
+        out.append(f"""{start}{level} AS (
+            SELECT {tree}, i // 8 AS i, CASE WHEN any_value(size) = 1 THEN any_value(a) ELSE sha256(string_agg(a, '' ORDER BY i)) END AS a
+            FROM (SELECT *, count(*) OVER (PARTITION BY {tree}) AS size FROM {below}) GROUP BY {tree}, i // 8)""")
+    return ", ".join(out)
+
+
+def _merkle_sql(levels: int = 7, upper: int = 3) -> str:
+    """For at most 8**levels rows a language and 8**upper languages: the levels are written out one by one."""
+    leaf = f"sha256({' || '.join(_field(f) for f in merkle.FIELDS)})"
+    tampered = leaf.replace("CAST(text AS VARCHAR)", _SMALL)
+    walk = []
+    for name, start, tree, node, many in (("low", "leaves", "t.k = s.k", "i", levels), ("high", "tops", "true", "top_i", upper)):
+        for level in range(many):
+            of = f"{start}{level or ''}"
+            before = f"{name}{level - 1}" if level else ("chosen" if name == "low" else f"low{levels - 1}")
+            walk.append(f"""{name}{level} AS (
+                SELECT s.* EXCLUDE (said, folded), any_value(said) || coalesce(string_agg(t.a, '' ORDER BY t.i) FILTER (t.i <> s.{node} // {8**level}), '') AS said,
+                       CASE WHEN count(*) = 1 AND min(t.i) = 0 THEN any_value(folded)
+                            ELSE sha256(string_agg(CASE WHEN t.i = s.{node} // {8**level} THEN folded ELSE t.a END, '' ORDER BY t.i)) END AS folded
+                FROM {before} s JOIN {of} t ON {tree} AND t.i // 8 = s.{node} // {8 ** (level + 1)} GROUP BY ALL)""")
+    return f"""
+        WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+        hashed AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS k, {leaf} AS leaf,
+                   CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                             lambda c, x: xor(crc[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 3 = 0 THEN {tampered} ELSE {leaf} END AS altered
+            FROM documents, crc),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+        leaves AS (SELECT k, i, leaf AS a FROM placed),
+        {_levels("leaves", "k", levels)},
+        tops AS (SELECT true AS k, row_number() OVER (ORDER BY k) - 1 AS i, k AS name, a FROM leaves{levels}),
+        {_levels("tops", "k", upper)},
+        chosen AS (SELECT doc_id, placed.k, placed.i, leaf, tops.i AS top_i, tops.a AS subroot, '' AS said, altered AS folded FROM placed JOIN tops ON placed.k = tops.name),
+        {", ".join(walk)}
+        SELECT doc_id, leaf, subroot, tops{upper}.a AS root, sha256(said) AS proof_sha256, folded AS folded_root, folded = tops{upper}.a AS verified
+        FROM high{upper - 1}, tops{upper}
+    """
+
+
 ORACLE_SQL = {
+    "op12_merkle": _merkle_sql(),
+    "op13_divergence": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        said AS (SELECT d, lang, source, unnest(regexp_extract_all({_SMALL}, '{_TERM}')) AS item FROM docs),
+        kept AS (SELECT lang, item FROM said GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, item, count(*) AS n FROM said JOIN kept USING (lang, item) GROUP BY ALL),
+        cells AS (SELECT g.lang, g.source, k.item, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, item)),
+        shares AS (SELECT lang, source, item, n, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v.v) AS p FROM cells JOIN v USING (lang)),
+        wide AS (SELECT lang, item, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang) + 5 * v.v) AS q
+                 FROM (SELECT lang, item, sum(n) AS n FROM counts GROUP BY ALL) JOIN v USING (lang)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+                 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+        term AS (SELECT lang, source, 'term' AS part, item, CAST(p - q AS BIGINT) AS value FROM shares JOIN wide USING (lang, item) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
     "op3_quotient_filter": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
