@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arc_convert, bpe, chat_render, disclosure, divergence, html_diff, merkle, packing, ppm_language, prefix_hash, quotient_filter, simhash
+from tidemark.llm import arc_convert, bpe, chat_render, disclosure, divergence, html_diff, merkle, packing, ppm_language, prefix_hash, quotient_filter, simhash, toxicity
 from tidemark.llm.common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -68,6 +68,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic all documents are."""
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents: leaves, roots, proofs, and which rows are as the manifest says."""
     return merkle.prove(table(spark, sf_dir, "documents"))
@@ -82,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_diff, op2_prefix_hash, op3_quotient_filter, op4_chat_render, op5_simhash,
-        op6_disclosure, op7_ppm_language, op8_packing, op9_arc_convert, op10_bpe, op12_merkle, op13_divergence,
+        op6_disclosure, op7_ppm_language, op8_packing, op9_arc_convert, op10_bpe, op11_toxicity, op12_merkle, op13_divergence,
     )
 }
 
