@@ -257,7 +257,7 @@ class Network:
 class Learner:
     """Adam for the network's matrices, AdaGrad for the rows of vectors that a step touches."""
 
-    def __init__(self, net: Network, rate: float = 0.01, vector_rate: float = 0.1):
+    def __init__(self, net: Network, rate: float = 0.01, vector_rate: float = 0.03):
         self.net, self.rate, self.vector_rate, self.steps = net, rate, vector_rate, 0
         self.first = {k: np.zeros_like(v) for k, v in net.p.items()}
         self.second = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -276,13 +276,16 @@ class Learner:
             self.net.p[k] -= (self.rate * scaled).astype(np.float32)
 
 
-def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns: int = 4, least_steps: int = 160) -> Network | None:
+def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns: int = 4, least_steps: int = 80) -> Network | None:
     """A network from texts, each a list of windows of words, and their labels; None without both labels."""
     if len(set(labels)) < 2:
         return None
-    present = Counter()  # texts that have a word
-    for windows in texts:
-        present.update({w for window in windows for w in window})
+    present, toxic = Counter(), Counter()  # texts that have a word
+    for windows, label in zip(texts, labels, strict=True):
+        found = {w for window in windows for w in window}
+        present.update(found)
+        if label == 1:
+            toxic.update(found)
     ranked = sorted((w for w, n in present.items() if n > 2), key=lambda w: (-present[w], w))[: WORDS - 1]
     net = Network.fresh({w: k for k, w in enumerate(ranked, 1)}, seed)
     every = list(present)
@@ -290,6 +293,15 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns
     own, (buckets, first, n) = np.array([net.words.get(w, 0) for w in every]), grams_of(every)
     size = np.diff(np.r_[first, buckets.shape[1]])
 
+    # what is oftener in toxic texts than chance has it starts ahead: each vector's first value is its deviation
+    share = np.mean(labels)
+    seen, bad = np.array([present[w] for w in every], float), np.array([toxic[w] for w in every], float)
+    known = own > 0
+    net.p["own"][own[known], 0] = _deviation(bad[known], seen[known] * share)
+    at, gram_seen, gram_bad = buckets.ravel(), *(sum(np.bincount(of, np.repeat(v, size), GRAMS) for of in buckets) for v in (seen, bad))
+    net.p["gram"][:, 0] = np.where(np.bincount(at, minlength=GRAMS) > 0, _deviation(gram_bad, gram_seen * share), 0)
+    net.p["gram"][0] = 0
+
     def spelling(some: np.ndarray) -> tuple[np.ndarray, ...]:
         """What `joined` needs for some words."""
         ends = np.cumsum(size[some])
@@ -308,7 +320,7 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns
     kept = rng.permutation(len(texts)) % 10 == 0  # texts for the threshold
     learner = Learner(net)
 
-    def passes(chosen: np.ndarray, times: int, together: int = 256) -> None:
+    def passes(chosen: np.ndarray, times: int, vectors: bool, together: int = 256) -> None:
         share = label[of[chosen]].mean()
         weight = np.where(label[of[chosen]] > 0, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32)
         for _ in range(times):
@@ -318,7 +330,8 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns
                 rows, local = np.unique(ids[part].T, return_inverse=True)
                 local = local.reshape(WINDOW, len(part))
                 context = spelling(rows[rows > 0] - 1)
-                learner.step(net.gradients(local if rows[0] == 0 else local + 1, label[of[part]], weight[order[a : a + together]], net.joined(*context), context))
+                g = net.gradients(local if rows[0] == 0 else local + 1, label[of[part]], weight[order[a : a + together]], net.joined(*context), context)
+                learner.step({k: v for k, v in g.items() if vectors or k not in ("own", "gram")})
 
     def all_logits() -> np.ndarray:
         tables = net.tables(np.concatenate([net.joined(*spelling(np.arange(a, min(a + 50_000, len(every))))) for a in range(0, len(every), 50_000)]))
@@ -332,14 +345,15 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns
     learns = ~kept[of]
     some = worst(rng.random(len(ids)), 8)
     some = some[learns[some]]
-    passes(some, max(2, -(-least_steps * 256 // max(len(some), 1))))
+    # the vectors stay as they are at first, else few texts would be learned by heart
+    passes(some, max(2, -(-least_steps * 256 // max(len(some), 1))), False)
     for turn in range(turns):
         found = worst(all_logits(), 2 if turn < turns // 2 else 1)
         clean = worst(np.where(learns, rng.random(len(ids)), -1), 1)
         clean = clean[label[of[clean]] == 0]
         chosen = np.concatenate([found, clean])
         chosen = chosen[learns[chosen]]
-        passes(chosen, max(1, -(-least_steps * 64 // max(len(chosen), 1))))
+        passes(chosen, max(1, -(-least_steps * 64 // max(len(chosen), 1))), turn > 0)
     top = np.maximum.reduceat(all_logits(), np.flatnonzero(np.r_[True, np.diff(of) > 0]))
     seen = np.unique(of)
     use = kept[seen] if len(set(label[seen][kept[seen]].tolist())) == 2 else np.ones(len(seen), bool)
@@ -347,6 +361,10 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns
     return net
 
 
+def _deviation(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.clip((found - expected) / np.sqrt(expected + 1) / 3, -3, 3)
+
+
 def threshold(logit: np.ndarray, label: np.ndarray) -> float:
     """Where fewest are on the wrong side: the middle of the widest of the best gaps; 0 if nothing is better than it."""
     order = np.argsort(logit, kind="stable")
