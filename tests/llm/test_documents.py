@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from tests.llm.conftest import odd_documents
 from tidemark.llm import bpe, disclosure, packing, ppm_language, prefix_hash, quotient_filter, simhash
@@ -44,6 +45,19 @@ def test_bpe_of_all_code_points():
         assert enc.encode_batch(texts) == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_of_all_pairs_of_marks():
+    """Every two combining marks after a letter are composed and ordered as in the library, and so are all letters' parts."""
+    nfc = normalizers.NFC()
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    wrong = [a + b for a in marks for b in marks if bpe.normalised(f"e{a}{b}") != nfc.normalize_str(f"e{a}{b}")]
+    assert not wrong and len(marks) > 900
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert all(bpe.normalised(s) == nfc.normalize_str(s) for c in letters for s in (c, unicodedata.normalize("NFD", c)))
+    lib, enc = Tokenizer.from_file(VOCABULARY), bpe.Encoder(VOCABULARY)
+    some = [f"{base}{a}{b} x" for base in "aक" for a in marks[::7] for b in marks[::11]]
+    assert enc.encode_batch(some) == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
 def test_bpe_memory_is_bounded():
     enc = bpe.Encoder(VOCABULARY)
     enc.REMEMBERED = 10

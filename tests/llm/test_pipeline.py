@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, odd_documents
 from tests.llm.test_documents import base_spans, smallest_of_copies
-from tidemark.llm import packing
+from tidemark.llm import packing, ppm_language
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,14 @@ def test_run(spark, folder):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert packing.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).count() == 1
+
+
+def test_language_stage_uses_its_prediction(spark):
+    """The predicted language replaces the column, and unwanted languages and doubtful texts go though they have letters."""
+    rows = [(k, "the cat and the other thing with this " * 3, "en") for k in range(30)] + [(100 + k, "der und die nicht ein sich auf mit " * 3, "de") for k in range(30)]
+    rows += [(900, "the other cat with that", None), (901, "nicht mit der und die", "en"), (902, "12 3", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = {r["doc_id"]: r["lang"] for r in ppm_language.keep_identified(docs).collect()}
+    assert named[900] == "en" and named[901] == "de" and 902 not in named and len(named) == 62
+    assert {r["lang"] for r in ppm_language.keep_identified(docs, ["de"]).collect()} == {"de"}
+    assert ppm_language.keep_identified(docs, least=1.5).count() == 0

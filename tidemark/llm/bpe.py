@@ -36,6 +36,13 @@ NEWER_LETTERS = (
 ).split()
 NEWER_CAPITALS = {"\u1c89": "\u1c8a", "\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7da": "\ua7db", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7dc": "\u019b"}
 NEWER_CAPITALS |= {chr(c): chr(c + 32) for c in range(0x10D50, 0x10D66)} | {chr(c): chr(c + 27) for c in range(0x16EA0, 0x16EB9)}
+# Combining marks that the library's tables do not know as such, so that it leaves them where they are, and
+# the second half of the one letter that it does not compose.
+NEWER_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 "
+    "11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 "
+    "1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+).split()
 _NO_RANK = np.iinfo(np.int64).max
 
 
@@ -47,6 +54,21 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def _class(ranges: list[str]) -> str:
+    """The inside of a character class."""
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges)
+
+
+_MARKS = re.compile(f"([{_class(NEWER_MARKS)}])")
+
+
+def normalised(text: str) -> str:
+    """The composed form (NFC) as the library has it: the newer marks neither move nor let others past."""
+    if not _MARKS.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(_MARKS.split(text)))
+
+
 class Encoder:
     """A word-end BPE vocabulary read from a tokenizer file (its path is a parameter)."""
 
@@ -63,7 +85,7 @@ class Encoder:
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._word = regex.compile(pattern.replace(r"\s", SPACE))
-        newer = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in NEWER_LETTERS)
+        newer = _class(NEWER_LETTERS)
         self._newer = re.compile(f"[{newer}]")
         older = pattern.replace(r"\s", SPACE).replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]")
         self._older_word = regex.compile(older, regex.V1)
@@ -147,7 +169,7 @@ class Encoder:
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             # one character at a time: no special form of a final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = normalised(text).replace("Σ", "σ")
             if self._capitals.search(text):
                 text = self._capitals.sub(lambda m: NEWER_CAPITALS[m[0]], text)
         if self._separators.search(text):  # str.split() takes these for white space, the vocabulary does not

@@ -32,7 +32,7 @@ DOCUMENTS, PRIOR, SCALE, RANKS = 30, 5, 1_000_000_000, 50
 #: Entries that a task's counters hold before they are handed on.
 HELD = 400_000
 #: Sources in a tile and cells (sources times terms) of a block: what one comparison holds.
-TILE, CELLS = 256, 1 << 18
+TILE, CELLS = 256, 1 << 15
 #: Count rows of a term are dealt over so many join keys, by their source: a common word has a row for each source and task.
 DEALT = 8
 
@@ -120,7 +120,7 @@ def _kept(docs: DataFrame, at_least: int, bits: int, held: int) -> tuple[DataFra
     salt = F.pmod(F.xxhash64("source"), F.lit(DEALT)).cast("int").alias("salt")
     keys = whole.select("lang", "digest", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("salt"))
     counts = (
-        raw.filter("term IS NULL AND digest IS NOT NULL").select("lang", "source", "digest", "n", salt).join(keys, ["lang", "digest", "salt"])
+        raw.filter("term IS NULL AND digest IS NOT NULL").select("lang", "source", "digest", "n", salt).join(keys.hint("shuffle_hash"), ["lang", "digest", "salt"])
         .groupBy("lang", "digest", "salt", "source").agg(F.sum("n").alias("n")).select("lang", "source", "digest", F.lit("").alias("part"), "n")
     )
     shared = found.filter("low <> high").select("lang", "digest")

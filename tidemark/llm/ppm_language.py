@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,12 +166,17 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text has a language, all columns as they are."""
+def keep_identified(docs: DataFrame, wanted: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text is in a wanted language with a score of at least `least`; `lang` becomes the predicted one.
+
+    `wanted` None: every language that was learned. A row whose text has no letter, or no language that could be learned, goes.
+    """
     trees = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     @F.pandas_udf("string")
     def language(texts):
-        return texts.map(lambda t: trees.value.predict(t)[0])
+        found = (trees.value.predict(t) for t in texts)
+        return pd.Series([name if score >= least and name != UNDETERMINED and (wanted is None or name in wanted) else None for name, score in found], dtype=object)
 
-    return docs.filter(language("text") != UNDETERMINED)
+    named = docs.select(F.struct(*docs.columns).alias("row"), language("text").alias("named")).filter("named IS NOT NULL")
+    return named.select(*[F.col("named").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
