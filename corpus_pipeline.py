@@ -13,7 +13,7 @@ from tidemark.llm.common import batch_rows, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; a text without a letter has none."""
+    """Documents in a language that their text shows, which replaces `lang`; a text without a letter shows none."""
     batch_rows(spark)
     return ppm_language.keep_identified(docs)
 
