@@ -22,8 +22,7 @@ repeated rows of a doc_id one is learned from, and each is scored; columns other
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch_rows, map_arrow
 
 WINDOW, STRIDE, LONGEST = 32, 24, 24
-SAMPLES, WINDOWS, SEED = 4096, 256, 42
+SAMPLES, WINDOWS, SEED = 2048, 256, 42
 #: Sizes of the network: vocabulary, buckets of n-grams, vectors, states of one direction, attention.
 WORDS, GRAMS, VECTOR, HIDDEN, ATTENTION = 1 << 16, 1 << 16, 8, 8, 8
 NGRAMS = (3, 4, 5)
@@ -276,26 +275,37 @@ class Learner:
             self.net.p[k] -= (self.rate * scaled).astype(np.float32)
 
 
-def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns: int = 4, least_steps: int = 80) -> Network | None:
-    """A network from texts, each a list of windows of words, and their labels; None without both labels."""
+def fit(texts: Iterable[tuple[list[list[str]], int]], seed: int = SEED, turns: int = 4, least_steps: int = 80) -> Network | None:
+    """A network from texts, each a list of windows of words and a label; None without both labels. Words become numbers as they come."""
+    place: dict[str, int] = {}
+    rows, many, labels = [], [], []
+    for windows, toxic in texts:
+        mine = np.zeros((len(windows), WINDOW), np.int32)
+        for row, window in zip(mine, windows, strict=True):
+            row[: len(window)] = [place.setdefault(w, len(place) + 1) for w in window]
+        rows.append(mine)
+        many.append(len(windows))
+        labels.append(toxic)
     if len(set(labels)) < 2:
         return None
-    present, toxic = Counter(), Counter()  # texts that have a word
-    for windows, label in zip(texts, labels, strict=True):
-        found = {w for window in windows for w in window}
-        present.update(found)
-        if label == 1:
-            toxic.update(found)
-    ranked = sorted((w for w, n in present.items() if n > 2), key=lambda w: (-present[w], w))[: WORDS - 1]
-    net = Network.fresh({w: k for k, w in enumerate(ranked, 1)}, seed)
-    every = list(present)
-    place = {w: k for k, w in enumerate(every, 1)}
-    own, (buckets, first, n) = np.array([net.words.get(w, 0) for w in every]), grams_of(every)
+    ids, of, label = np.concatenate(rows), np.repeat(np.arange(len(many)), many), np.array(labels, np.float32)
+    del rows
+    every = list(place)
+    pairs = np.unique(of[:, None] * (len(every) + 1) + ids)  # which texts have a word
+    word = pairs % (len(every) + 1)
+    seen = np.bincount(word, minlength=len(every) + 1)[1:].astype(float)
+    bad = np.bincount(word, label[pairs // (len(every) + 1)], len(every) + 1)[1:]
+    del pairs, word, place
+    common = np.flatnonzero(seen > 2)
+    common = common[np.argsort(-seen[common], kind="stable")][: WORDS - 1]
+    net = Network.fresh({every[k]: n for n, k in enumerate(common, 1)}, seed)
+    own = np.zeros(len(every), np.int64)
+    own[common] = np.arange(1, len(common) + 1)
+    buckets, first, n = grams_of(every)
     size = np.diff(np.r_[first, buckets.shape[1]])
 
     # what is oftener in toxic texts than chance has it starts ahead: each vector's first value is its deviation
     share = np.mean(labels)
-    seen, bad = np.array([present[w] for w in every], float), np.array([toxic[w] for w in every], float)
     known = own > 0
     net.p["own"][own[known], 0] = _deviation(bad[known], seen[known] * share)
     at, gram_seen, gram_bad = buckets.ravel(), *(sum(np.bincount(of, np.repeat(v, size), GRAMS) for of in buckets) for v in (seen, bad))
@@ -308,16 +318,8 @@ def fit(texts: list[list[list[str]]], labels: list[int], seed: int = SEED, turns
         begin = ends - size[some]
         return own[some], buckets[:, np.repeat(first[some] - begin, size[some]) + np.arange(ends[-1])], begin, n[some]
 
-    ids = np.zeros((sum(map(len, texts)), WINDOW), np.int32)
-    row = 0
-    for windows in texts:
-        for window in windows:
-            ids[row, : len(window)] = [place[w] for w in window]
-            row += 1
-    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    label = np.array(labels, np.float32)
     rng = np.random.default_rng(seed)
-    kept = rng.permutation(len(texts)) % 10 == 0  # texts for the threshold
+    kept = rng.permutation(len(many)) % 10 == 0  # texts for the threshold
     learner = Learner(net)
 
     def passes(chosen: np.ndarray, times: int, vectors: bool, together: int = 256) -> None:
@@ -399,7 +401,7 @@ def learn(docs: DataFrame, labels: DataFrame, samples: int = SAMPLES, windows: i
 
     once = map_arrow(rows, ["doc_id", "toxic", "text"], cut, "doc_id long, toxic int, windows string")
     got = sorted(once.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("windows").alias("windows")).filter("windows <> ''").collect())
-    return fit([[w.split(" ") for w in r["windows"].split("\n")] for r in got], [r["toxic"] for r in got])
+    return fit(([w.split(" ") for w in r["windows"].split("\n")], r["toxic"]) for r in got)
 
 
 def scores(net: Network | None, texts: list[str | None]) -> np.ndarray:
