@@ -46,53 +46,6 @@ def test_labels_need_a_run_to_change(spark):
     assert got == "AAAAAABBBBBB"
 
 
-def folded(fold, rows):
-    return [out for row in rows for out in fold.step(row)] + fold.finish()
-
-
-def test_ledger_stops_before_targets_and_enters_again():
-    from tidemark.operators.ledger import Ledger
-
-    rows = [{"ts": k, "high": h, "low": low, "close": 10.0, "signal": s, "sl_pct": 0.2, "tp_pct": 0.2, "phase": "x"} for k, (h, low, s) in enumerate([(10, 10, 1), (10, 10, 1), (13, 7, 1), (10, 10, -1), (10, 10, -1), (10, 10, 0)])]
-    assert [(t[0], t[1], t[2], t[8]) for t in folded(Ledger(), rows)] == [(1, 2, 1, "stop_loss"), (2, 4, 1, "signal"), (4, 5, -1, "end")]
-
-
-def test_router_holds_and_lets_go():
-    from tidemark.operators.router import Policy, Router
-
-    rows = [{"ts": k, "p_trend": a, "p_reversion": b, "spike": False, "usd_quote": False, "trend_signal": 1, "reversion_signal": -1} for k, (a, b) in enumerate([(0.5, 0.5), (0.7, 0.2), (0.5, 0.5), (0.2, 0.3), (0.2, 0.9)])]
-    assert [r[1] for r in folded(Router(Policy(min_hold=0)), rows)] == ["none", "trend", "trend", "none", "reversion"]
-    rows[4]["spike"] = True
-    assert [r[1] for r in folded(Router(Policy(min_hold=0)), rows)][4] == "none"
-
-
-def test_folds_of_long_keys_in_many_batches(spark):
-    import random
-
-    from tidemark.operators.ledger import Ledger, ledger_trades
-    from tidemark.operators.router import Policy, Router, route
-
-    rng = random.Random(4)
-    rows = {}
-    for key in (("AB", "s"), ("AB", "t"), ("CD", "s")):
-        close, made = 100.0, []
-        for k in range(1200):
-            close *= 1 + rng.uniform(-0.03, 0.03)
-            made.append({"ts": DAY + dt.timedelta(k), "high": close * 1.02, "low": close * 0.98, "close": close, "signal": rng.choice([-1, 0, 1, 1]), "sl_pct": 0.05, "tp_pct": 0.04, "phase": rng.choice("xy")})
-        rows[key] = made
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
-    df = spark.createDataFrame([{"pair": p, "strategy_id": s, **r} for (p, s), made in rows.items() for r in made]).orderBy("close")
-    got = sorted(tuple(r) for r in ledger_trades(df).collect())
-    want = sorted((*key, *t) for key, made in rows.items() for t in folded(Ledger(), made))
-    assert len(want) > 500 and [g[:5] for g in got] == [w[:5] for w in want]
-    assert [g[9] for g in got] == pytest.approx([w[9] for w in want])
-    probabilities = {key: [{"ts": r["ts"], "p_trend": rng.random(), "p_reversion": rng.random(), "spike": rng.random() < 0.1, "usd_quote": key[0] == "AB", "trend_signal": 1, "reversion_signal": -1} for r in made] for key, made in rows.items()}
-    policies = {"a": Policy(), "b": Policy(enter=0.7, min_hold=9, max_hold=12)}
-    df = spark.createDataFrame([{"pair": p, "strategy_id": s, **r} for (p, s), made in probabilities.items() for r in made]).orderBy("p_trend")
-    got = sorted(tuple(r) for r in route(df, policies, ["pair", "strategy_id"]).collect())
-    assert got == sorted((*key, name, *out) for key, made in probabilities.items() for name, policy in policies.items() for out in folded(Router(policy), made))
-
-
 def test_hourly_files(spark, tmp_path):
     from tidemark.sources.files import hourly_bars
 

@@ -22,7 +22,7 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callabl
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch[c].tolist() for c in columns), strict=True):
-                now = row[: len(keys)]
+                now = tuple(None if k is None or k != k else k for k in row[: len(keys)])  # a null key is a key
                 if now != key or fold is None:
                     if fold is not None:
                         out += [(*key, *r) for r in fold.finish()]

@@ -114,13 +114,22 @@ def s03_ledger_trades(spark, sf):
     return L.ledger_trades(_long_signals(spark, sf))
 
 
+@query("pair:s strategy_id:s ts:d equity:f")
+def s03_equity(spark, sf):
+    """Capital after each bar, with costs on both sides and a fixed share at risk."""
+    e = D.enriched(spark, sf)
+    rows = materialise(_long_signals(spark, sf).join(e.select("pair", "ts", "atr", F.lit(2.0).alias("stop_atr_mult")), ["pair", "ts"]))
+    trades = materialise(L.ledger_trades(rows, costs=L.Costs(1.0, 0.5, 2.0, 0.01), risk=0.01))
+    return L.equity_curve(rows, trades)
+
+
 def _routed_input(spark, sf):
     e = S.all_signals(D.enriched(spark, sf), ["TF3", "MR5"])
     v = F.col("volume").cast("long")
-    return e.select("pair", "ts", ((v % 100) / 100).alias("p_trend"), ((v * 7 % 100) / 100).alias("p_reversion"), (v % 17 == 0).alias("spike"), F.col("pair").endswith("F").alias("usd_quote"), F.col("TF3").alias("trend_signal"), F.col("MR5").alias("reversion_signal"))
+    return e.select("pair", "ts", ((v % 100) / 100).alias("p_trend"), ((v * 7 % 100) / 100).alias("p_reversion"), (v % 17 == 0).alias("spike"), F.col("pair").endswith("F").alias("usd_quote"), F.col("phase").contains("Trend").alias("trending"), F.col("TF3").alias("trend_signal"), F.col("MR5").alias("reversion_signal"), F.lit(0.03).alias("trend_sl"), F.lit(0.06).alias("trend_tp"), F.lit(0.02).alias("reversion_sl"), F.lit(0.0).alias("reversion_tp"))
 
 
-@query("pair:s policy:s ts:d selected:s switched:b signal:f")
+@query("pair:s policy:s ts:d selected:s switched:b held:i rule:s signal:f sl_pct:f tp_pct:f")
 def s04_router(spark, sf):
     """Routed signals."""
     return R.route(_routed_input(spark, sf), {"default": R.Policy()})
@@ -137,7 +146,7 @@ def s10_policy_sweep(spark, sf):
     half = (F.year("ts") * 2 + F.when(F.month("ts") > 6, 1).otherwise(0)).cast("int").alias("fold")
     keys = ["pair", "fold"]
     swept = materialise(R.route(_routed_input(spark, sf).select("*", half), thresholds | _POLICIES, keys))
-    bars = D.enriched(spark, sf).select("pair", "ts", "high", "low", "close", "phase", F.lit(0.03).alias("sl_pct"), F.lit(0.06).alias("tp_pct"))
+    bars = D.enriched(spark, sf).select("pair", "ts", "high", "low", "close", "phase")
     trades = L.ledger_trades(swept.join(bars, ["pair", "ts"]), keys=[*keys, "policy"])
     traded = trades.groupBy(*keys, "policy").agg(F.count("*").alias("n_trades"), F.avg("pnl_pct").alias("mean_pnl"))
     routed = swept.groupBy(*keys, "policy").agg(F.count_if("switched").alias("n_switches"), F.count_if(F.col("signal") != 0).alias("n_active"))
