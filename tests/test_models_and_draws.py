@@ -140,7 +140,7 @@ def test_cross_validation_and_variants(spark):
 
 
 def test_selector_of_three_types(spark):
-    from tidemark.operators.models import TypeSelector, stratified_accuracy
+    from tidemark.operators.models import TypeSelector, dealt_folds, stratified_accuracy
 
     df = labelled(spark)
     assert TypeSelector.train(df.limit(99), ["f", "g"], "best") is None
@@ -151,5 +151,10 @@ def test_selector_of_three_types(spark):
     assert sum(r["selected"] == r["best"] for r in scored) / len(scored) > 0.8
     with pytest.raises(ValueError, match="not here"):
         selector.probabilities(df.drop("g"))
+    dealt = dealt_folds(df.withColumn("rare", F.when(F.dayofyear("ts") % 101 == 0, "yes").when(F.dayofyear("ts") % 7 > 0, "no")), "rare", 5, bits=3)
+    sizes = {}
+    for r in dealt.groupBy("rare", "fold").count().collect():
+        sizes.setdefault(r["rare"], []).append(r["count"])
+    assert len(sizes) == 3 and all(len(s) == 5 and max(s) - min(s) <= 1 for s in sizes.values()) and sum(map(sum, sizes.values())) == df.count()
     folds = stratified_accuracy(df, ["f", "g"], "best").collect()
     assert len(folds) == 3 and all(r["accuracy"] > 0.8 for r in folds) and sum(r["n"] for r in folds) == 1764

@@ -114,3 +114,26 @@ def entropy(df: DataFrame, keys: list[str], column: str, near: float = 0.05) ->
     h = -F.sum(F.col("p") * F.log2("p"))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)))
     return total.groupBy(*keys).agg(F.sum("n").alias("n"), h.alias("entropy"), (h / F.log2(F.lit(3.0))).alias("normalised"), (1 - h / F.log2(F.lit(3.0))).alias("concentration"), spread.alias("std"))
+
+
+def factor_comparison(runs: DataFrame, factors: dict[str, tuple[str, str]], keys: list[str], metric: str) -> DataFrame:
+    """`factor`, the keys, means with and without the factor, their difference, whether both cohorts have runs, and what is missing.
+
+    `factors` gives two conditions, off and on. All are aggregated in one pass over the runs.
+    """
+    parts = []
+    for name, (off, on) in factors.items():
+        for side, condition in (("off", off), ("on", on)):
+            parts += [F.avg(F.when(F.expr(condition), F.col(metric))).alias(f"{name}_{side}"), F.count_if(F.expr(condition)).alias(f"{name}_{side}_n")]
+    each = F.array(*[F.struct(F.lit(n).alias("factor"), *[F.col(f"{n}_{s}{x}").alias(f"{s}{y}") for s in ("on", "off") for x, y in (("", "_mean"), ("_n", "_n"))]) for n in factors])
+    long = runs.groupBy(*keys).agg(*parts).select(*keys, F.inline(each))
+    none_on, none_off = F.col("on_n") == 0, F.col("off_n") == 0
+    warning = F.when(none_on & none_off, "both cohorts missing").when(none_on, "no runs with it").when(none_off, "no runs without it")
+    return long.withColumns({"delta": F.col("on_mean") - F.col("off_mean"), "valid": ~none_on & ~none_off, "warning": warning})
+
+
+def uplift_matrix(runs: DataFrame, by: list[str], pair: str, targets: list[str], metric: str) -> DataFrame:
+    """Mean of `metric` for each of `by` and pair, the mean over the pairs that are no targets, and the difference; one row a cell."""
+    cells = runs.groupBy(*by, pair).agg(F.avg(metric).alias(f"mean_{metric}"))
+    control = F.avg(F.when(~F.col(pair).isin(targets), F.col(f"mean_{metric}"))).over(Window.partitionBy(*by))
+    return cells.withColumn("control_mean", control).withColumn("uplift", F.col(f"mean_{metric}") - F.col("control_mean"))

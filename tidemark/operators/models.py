@@ -166,10 +166,25 @@ class TypeSelector:
         return scored.withColumn("selected", F.element_at(F.array(*map(F.lit, self.classes)), F.col("prediction").cast("int") + 1))
 
 
+def dealt_folds(rows: DataFrame, label: str, folds: int, seed: int = 42, keys: tuple[str, ...] = ("pair", "ts"), bits: int = 12) -> DataFrame:
+    """`rows` with `fold`: each class numbered in the order of a hash and dealt out, so its folds differ by one row at most.
+
+    The hash's first `bits` cut each class into ranges; ranges are counted, and numbered inside from where they start. No class
+    is sorted by one task.
+    """
+    hashed = rows.withColumn("__hash", F.xxhash64(F.lit(seed), *keys)).withColumn("__range", F.shiftright("__hash", 64 - bits))
+    counts = hashed.groupBy(label, "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(label).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(label).alias("__label"), F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(label, "__range").orderBy("__hash", *keys)) - 1
+    met = hashed.withColumn("__place", inside).join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__of")))
+    return met.withColumn("fold", F.pmod(F.col("__start") + F.col("__place"), F.lit(folds)).cast("int")).drop("__hash", "__range", "__place", "__label", "__of", "__start")
+
+
 def stratified_accuracy(rows: DataFrame, columns: list[str], label: str, folds: int = 3, seed: int = 42) -> DataFrame:
-    """`fold, accuracy, n`: each class dealt out evenly over the folds, in the order of a hash; a model for each fold."""
+    """`fold, accuracy, n`: each class dealt out evenly over the folds (`dealt_folds`); a model for each fold."""
     whole = rows.dropna(subset=[*columns, label])
-    dealt = whole.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in ("pair", "ts")]), F.lit(folds)).cast("int"))
+    dealt = dealt_folds(whole, label, folds, seed)
     scored = None
     for k in range(folds):
         s = TypeSelector(model := fit_types(dealt.filter(F.col("fold") != k), columns, label, seed), columns, list(model.stages[0].labels))

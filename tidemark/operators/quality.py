@@ -62,6 +62,21 @@ def missing_on_either_side(a: DataFrame, b: DataFrame, keys: list[str]) -> DataF
     return left.join(right, keys, "left_anti").withColumn("only_in", F.lit("first")).unionByName(right.join(left, keys, "left_anti").withColumn("only_in", F.lit("second")))
 
 
+def recommendation_problems(recommendations: DataFrame, evaluations: DataFrame, versions: list[str]) -> DataFrame:
+    """`problem, recommendation_id` of recommendations that lack a field, have a rank below 1, an identifier or rank that another of
+    the policy has, a version that is not known, or an evaluation that is not there. Rows and keys are looked at in parallel."""
+    r = recommendations
+    named = lambda df, problem: df.select(F.lit(problem).alias("problem"), "recommendation_id")
+    empty = reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(c)) == "", F.lit(True)) for c in ("recommendation_id", "evaluation_id", "recommendation_policy")])
+    version = F.get_json_object("metadata", "$.schema_version")
+    many = lambda keys: r.join(duplicate_keys(r, keys).select(*keys), keys, "left_semi")
+    parts = [
+        named(r.filter(empty | F.col("rank").isNull()), "empty"), named(r.filter("rank < 1"), "rank"), named(many(["recommendation_id"]), "same_id"), named(many(["recommendation_policy", "rank"]), "same_rank"),
+        named(r.filter(~F.coalesce(version.isin(versions), F.lit(False))), "version"), named(r.join(evaluations.select("evaluation_id"), "evaluation_id", "left_anti"), "unknown"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def violations(rules: list[tuple[str, str, DataFrame, Column]]) -> DataFrame:
     """One table of (section, severity, run_id, message) from many checks."""
     parts = [df.select(F.lit(section).alias("section"), F.lit(severity).alias("severity"), "run_id", message.alias("message")) for section, severity, df, message in rules]

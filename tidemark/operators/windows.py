@@ -185,10 +185,11 @@ def islands(df: DataFrame, label: str, name: str = "island") -> DataFrame:
     return df.withColumn(name, F.sum(changed.cast("long")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def island_lengths(df: DataFrame, label: str) -> DataFrame:
-    """Per pair: transitions, and mean, median, least and greatest length of stretches of equal labels."""
-    runs = islands(df, label).groupBy("pair", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy("pair").agg(
+def island_lengths(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Per pair: transitions, and mean, median, least and greatest length of stretches of equal labels. `by`: per such column too, which cuts stretches."""
+    by = by or []
+    runs = islands(df, label).groupBy("pair", "island", *by).agg(F.count("*").alias("n"))
+    return runs.groupBy("pair", *by).agg(
         (F.count("*") - 1).alias("transitions"), F.avg("n").alias("mean_length"), F.percentile("n", F.lit(0.5)).alias("median_length"),
         F.min("n").alias("min_length"), F.max("n").alias("max_length"),
     )

@@ -304,16 +304,49 @@ def snk02_evaluations(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("rank:i recommendation_policy:s evaluation_id:s", "SELECT row_number() OVER (ORDER BY expected_sharpe DESC NULLS LAST, expected_return DESC NULLS LAST, strategy_id) AS rank, 'sharpe' AS recommendation_policy, 'eval_' || sha256(strategy_id)[1:24] AS evaluation_id FROM evals", "evals")
-def snk03_recommendations(spark, sf):
-    """Recommendations written and read."""
+_RECOMMENDED = """SELECT *, 'rec_' || sha256('{"evaluation_id":"' || evaluation_id || '","rank":' || rank || ',"recommendation_policy":"sharpe","schema_version":"1.0.0"}')[1:24] AS recommendation_id FROM (
+    SELECT row_number() OVER (ORDER BY expected_sharpe DESC NULLS LAST, expected_return DESC NULLS LAST, strategy_id) AS rank, 'sharpe' AS recommendation_policy,
+           'eval_' || sha256('{"experiment_id":"exp_half_years","schema_version":"1.0.0","state_id":"all","strategy_id":"' || strategy_id || '","surface_id":"bars","surface_version":"1"}')[1:24] AS evaluation_id FROM evals)"""
+
+
+def _recommended(spark, sf):
+    """Evaluation records with their rank."""
     from tidemark.operators.ranking import ranked_recommendations
 
+    return ranked_recommendations(sinks.evaluation_records(D.evaluations(spark, sf), "bars", "1", "all", "exp_half_years"))
+
+
+@query("rank:i recommendation_policy:s evaluation_id:s recommendation_id:s", _RECOMMENDED, "evals")
+def snk03_recommendations(spark, sf):
+    """Recommendations written and read; their evaluations are those that are written."""
     path = _folder(spark)
-    sinks.write_recommendations(ranked_recommendations(D.evaluations(spark, sf)), path)
+    sinks.write_recommendations(_recommended(spark, sf), path)
     return spark.read.parquet(path)
 
 
+@query(
+    "problem:s recommendation_id:s",
+    f"""WITH planted AS (SELECT CASE WHEN rank % 9 = 0 THEN 'rec_same' ELSE recommendation_id END AS recommendation_id, CASE WHEN rank % 7 = 3 THEN 'eval_none' WHEN rank % 7 = 5 THEN '' ELSE evaluation_id END AS evaluation_id,
+            CASE WHEN rank = 1 THEN 0 WHEN rank % 5 = 0 THEN rank - 1 ELSE rank END AS rank, recommendation_policy, CASE WHEN rank % 6 = 1 THEN '0.9' ELSE '1.0.0' END AS version FROM ({_RECOMMENDED}))
+        SELECT 'empty' AS problem, recommendation_id FROM planted WHERE evaluation_id = '' UNION ALL SELECT 'rank', recommendation_id FROM planted WHERE rank < 1
+        UNION ALL SELECT 'same_id', recommendation_id FROM (SELECT *, count(*) OVER (PARTITION BY recommendation_id) AS n FROM planted) WHERE n > 1
+        UNION ALL SELECT 'same_rank', recommendation_id FROM (SELECT *, count(*) OVER (PARTITION BY rank) AS n FROM planted) WHERE n > 1
+        UNION ALL SELECT 'version', recommendation_id FROM planted WHERE version <> '1.0.0' UNION ALL SELECT 'unknown', recommendation_id FROM planted WHERE evaluation_id IN ('eval_none', '')""", "evals",
+)
+def q14_recommendation_set(spark, sf):
+    """Six contracts of a recommendation set, over one with violations of each."""
+    from tidemark.operators import quality
+
+    path, k = _folder(spark), F.col("rank")
+    records = sinks.evaluation_records(D.evaluations(spark, sf), "bars", "1", "all", "exp_half_years")
+    sinks.write_recommendations(_recommended(spark, sf), path)
+    planted = spark.read.parquet(path).select(
+        F.when(k % 9 == 0, "rec_same").otherwise(F.col("recommendation_id")).alias("recommendation_id"), F.when(k % 7 == 3, "eval_none").when(k % 7 == 5, "").otherwise(F.col("evaluation_id")).alias("evaluation_id"),
+        F.when(k == 1, 0).when(k % 5 == 0, k - 1).otherwise(k).alias("rank"), "recommendation_policy", F.when(k % 6 == 1, F.lit('{"schema_version":"0.9"}')).otherwise(F.col("metadata")).alias("metadata"),
+    )
+    return quality.recommendation_problems(planted, records, [sinks.RECOMMENDATION_VERSION])
+
+
 @query("pair:s ts:d phase:s", "SELECT * FROM enriched", "enriched")
 def snk04_phase_labels(spark, sf):
     """Phase labels and gaps written, labels read."""

@@ -13,6 +13,7 @@ from tidemark.operators import ranking as T
 from tidemark.operators import windows as W
 from tidemark.plans import derive as D
 from tidemark.plans.core import query
+from tidemark.storage import materialise
 
 _DAILY = """SELECT pair, day + 1 AS trading_day, avg(s) AS dl_signal_mean_24h, coalesce(stddev_samp(s), 0) AS dl_signal_std_24h, arg_max(s, timestamp) AS dl_signal_last, avg(abs(s)) AS dl_signal_abs_mean,
     sum(CASE WHEN s <> 0 AND b <> sign(s) THEN 1 ELSE 0 END) AS dl_signal_flip_count FROM (SELECT *, last_value(CASE WHEN s <> 0 THEN sign(s) END IGNORE NULLS) OVER (PARTITION BY pair, day ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
@@ -455,10 +456,10 @@ _COL = "SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS p, confid
 
 
 @query(
-    "pair:s collapses:i mean_recovery:f fallback_entries:i",
-    f"""SELECT pair, collapses, mean_recovery, fallback_entries FROM (SELECT pair, count(*) AS collapses, avg(r - p) AS mean_recovery FROM (
+    "pair:s collapses:i mean_recovery:f fallback_entries:i fallback_exits:i entry_rate:f exit_rate:f",
+    f"""SELECT pair, collapses, mean_recovery, fallback_entries, fallback_exits, fallback_entries * 1000.0 / n AS entry_rate, fallback_exits * 1000.0 / n AS exit_rate FROM (SELECT pair, count(*) AS collapses, avg(r - p) AS mean_recovery FROM (
         SELECT pair, p, low, lag(low) OVER (PARTITION BY pair ORDER BY p) AS b, min(CASE WHEN NOT low THEN p END) OVER (PARTITION BY pair ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM ({_COL})) WHERE low AND NOT coalesce(b, false) GROUP BY pair) JOIN (
-        SELECT pair, sum(CASE WHEN fallback_active AND NOT coalesce(f, false) THEN 1 ELSE 0 END) AS fallback_entries FROM (SELECT *, lag(fallback_active) OVER (PARTITION BY pair ORDER BY ts) AS f FROM timeline) GROUP BY pair) USING (pair)""", "timeline",
+        SELECT pair, count(*) AS n, sum(CASE WHEN fallback_active AND NOT coalesce(f, false) THEN 1 ELSE 0 END) AS fallback_entries, sum(CASE WHEN NOT fallback_active AND coalesce(f, false) THEN 1 ELSE 0 END) AS fallback_exits FROM (SELECT *, lag(fallback_active) OVER (PARTITION BY pair ORDER BY ts) AS f FROM timeline) GROUP BY pair) USING (pair)""", "timeline",
 )
 def a31_confidence_collapse(spark, sf):
     """Collapses of confidence, and how soon it comes back."""
@@ -468,8 +469,9 @@ def a31_confidence_collapse(spark, sf):
     ahead = F.min(F.when(~F.col("low"), F.col("p"))).over(by.rowsBetween(0, Window.unboundedFollowing))
     begun = known.withColumns({"b": F.coalesce(F.lag("low").over(by), F.lit(False)), "r": ahead}).filter("low and not b")
     c = begun.groupBy("pair").agg(F.count("*").alias("collapses"), F.avg(F.col("r") - F.col("p")).alias("mean_recovery"))
-    f = t.withColumn("f", F.coalesce(F.lag("fallback_active").over(W.by_time()), F.lit(False))).groupBy("pair").agg(F.count_if(F.col("fallback_active") & ~F.col("f")).alias("fallback_entries"))
-    return c.join(f, "pair")
+    f = t.withColumn("f", F.coalesce(F.lag("fallback_active").over(W.by_time()), F.lit(False))).groupBy("pair").agg(
+        F.count("*").alias("n"), F.count_if(F.col("fallback_active") & ~F.col("f")).alias("fallback_entries"), F.count_if(~F.col("fallback_active") & F.col("f")).alias("fallback_exits"))
+    return c.join(f, "pair").withColumns({"entry_rate": F.col("fallback_entries") * 1000 / F.col("n"), "exit_rate": F.col("fallback_exits") * 1000 / F.col("n")})
 
 
 @query("transition:s mean:f std:f n:i", "SELECT transition, avg(next_return) AS mean, stddev_pop(next_return) AS std, count(next_return) AS n FROM (SELECT *, CASE WHEN lag(dl_active) OVER w IS NULL THEN 'first' WHEN dl_active AND NOT lag(dl_active) OVER w THEN 'enter' WHEN NOT dl_active AND lag(dl_active) OVER w THEN 'exit' ELSE 'steady' END AS transition FROM timeline WINDOW w AS (PARTITION BY pair ORDER BY ts)) GROUP BY 1", "timeline")
@@ -501,11 +503,20 @@ def a36_factor_crosstab(spark, sf):
     return long.groupBy("factor", "value").agg(F.array_join(F.sort_array(F.collect_set("run_id")), ",").alias("run_ids"))
 
 
-@query("pair:s on_mean:f off_mean:f delta:f valid:b", "SELECT pair, avg(sharpe) FILTER (sentiment) AS on_mean, avg(sharpe) FILTER (NOT sentiment) AS off_mean, avg(sharpe) FILTER (sentiment) - avg(sharpe) FILTER (NOT sentiment) AS delta, count(*) FILTER (sentiment) > 0 AND count(*) FILTER (NOT sentiment) > 0 AS valid FROM runs GROUP BY pair", "runs")
+#: Factor -> its values off and on.
+_FACTORS = {"sentiment": ("sentiment = false", "sentiment = true"), "awareness": ("aware = false", "aware = true"), "training_family": ("family = 'eur'", "family = 'jpy'"), "generation": ("generation = 'gen1'", "generation = 'gen2'")}
+
+
+@query(
+    "factor:s pair:s on_mean:f off_mean:f delta:f valid:b warning:s",
+    "SELECT *, on_mean - off_mean AS delta, a > 0 AND b > 0 AS valid, CASE WHEN a = 0 AND b = 0 THEN 'both cohorts missing' WHEN a = 0 THEN 'no runs with it' WHEN b = 0 THEN 'no runs without it' END AS warning FROM (" + " UNION ALL ".join(
+        f"SELECT '{k}' AS factor, pair, avg(sharpe) FILTER ({on}) AS on_mean, avg(sharpe) FILTER ({off}) AS off_mean, count(*) FILTER ({on}) AS a, count(*) FILTER ({off}) AS b FROM runs WHERE row_id % 11 > 0 OR family = 'jpy' GROUP BY pair" for k, (off, on) in _FACTORS.items()) + ")",
+    "runs",
+)
 def a37_binary_factor(spark, sf):
-    """A factor on against off, with validity."""
-    on, off = F.avg(F.when(F.col("sentiment"), F.col("sharpe"))), F.avg(F.when(~F.col("sentiment"), F.col("sharpe")))
-    return D.runs(spark, sf).groupBy("pair").agg(on.alias("on_mean"), off.alias("off_mean"), (on - off).alias("delta"), ((F.count_if("sentiment") > 0) & (F.count_if(~F.col("sentiment")) > 0)).alias("valid"))
+    """Four factors on against off per pair, with validity and what is missing; all factors in one pass."""
+    r = D.runs(spark, sf).filter("row_id % 11 > 0 OR family = 'jpy'")
+    return A.factor_comparison(r, _FACTORS, ["pair"], "sharpe")
 
 
 @query("pair:s covered_pct:f", "SELECT pair, avg(CASE WHEN overlap_pct > 5 THEN 100.0 ELSE 0 END) AS covered_pct FROM folds GROUP BY pair", "folds")
@@ -514,10 +525,14 @@ def a38_overlap_coverage(spark, sf):
     return D.folds(spark, sf).groupBy("pair").agg((F.avg((F.col("overlap_pct") > 5).cast("double")) * 100).alias("covered_pct"))
 
 
-@query("family:s P1:f P2:f P3:f", "SELECT family, avg(sharpe) FILTER (pair = 'P1') AS P1, avg(sharpe) FILTER (pair = 'P2') AS P2, avg(sharpe) FILTER (pair = 'P3') AS P3 FROM runs GROUP BY family", "runs")
+@query(
+    "family:s aware:b pair:s mean_sharpe:f control_mean:f uplift:f",
+    """SELECT *, mean_sharpe - control_mean AS uplift FROM (SELECT family, aware, pair, avg(sharpe) AS mean_sharpe FROM runs GROUP BY 1, 2, 3)
+       LEFT JOIN (SELECT family, aware, avg(s) AS control_mean FROM (SELECT family, aware, pair, avg(sharpe) AS s FROM runs GROUP BY 1, 2, 3) WHERE pair NOT IN ('P1', 'P2', 'P3') GROUP BY 1, 2) USING (family, aware)""", "runs",
+)
 def a40_uplift_matrix(spark, sf):
-    """Families by pairs."""
-    return D.runs(spark, sf).groupBy("family").pivot("pair", ["P1", "P2", "P3"]).agg(F.avg("sharpe"))
+    """Families and feature sets by all pairs, against the mean over the pairs that are no targets."""
+    return A.uplift_matrix(D.runs(spark, sf), ["family", "aware"], "pair", ["P1", "P2", "P3"], "sharpe")
 
 
 @query("improved:i worsened:i mean_abs:f max_abs:f correlation:f verdict:s", "SELECT sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS improved, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS worsened, avg(abs(d)) AS mean_abs, max(abs(d)) AS max_abs, corr(a, b) AS correlation, CASE WHEN avg(abs(d)) < 0.05 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM (SELECT *, b - a AS d FROM (SELECT pair, avg(sharpe) FILTER (generation = 'gen1') AS a, avg(sharpe) FILTER (generation = 'gen2') AS b FROM runs GROUP BY pair))", "runs")
@@ -528,14 +543,22 @@ def a41_version_diff(spark, sf):
     return d.agg(F.count_if(x > 0).alias("improved"), F.count_if(x < 0).alias("worsened"), F.avg(F.abs(x)).alias("mean_abs"), F.max(F.abs(x)).alias("max_abs"), F.corr("first", "second").alias("correlation"), F.when(F.avg(F.abs(x)) < 0.05, "PASS").otherwise("REVIEW").alias("verdict"))
 
 
-@query("year:i accuracy:f mean_ret:f sharpe:f n:i", "SELECT year(ts) AS year, avg(CASE WHEN (signal > 0) = (next_return > 0) THEN 1.0 ELSE 0 END) AS accuracy, avg(signal * next_return) AS mean_ret, avg(signal * next_return) / nullif(stddev_samp(signal * next_return), 0) AS sharpe, count(*) AS n FROM smac WHERE next_return IS NOT NULL GROUP BY 1", "smac")
+_YEARLY = "SELECT CAST(year(ts) AS VARCHAR) AS year, avg(CASE WHEN (signal > 0) = (next_return > 0) THEN 1.0 ELSE 0 END) AS accuracy, avg(signal * next_return) AS mean_ret, avg(CASE WHEN signal * next_return > 0 THEN 1.0 ELSE 0 END) FILTER (signal <> 0) AS hit_rate, avg(signal * next_return) / nullif(stddev_samp(signal * next_return), 0) AS sharpe, count(*) AS n FROM smac WHERE next_return IS NOT NULL GROUP BY 1"
+
+
+@query("year:s accuracy:f mean_ret:f hit_rate:f sharpe:f n:i", f"{_YEARLY} UNION ALL SELECT 'all', avg(accuracy), avg(mean_ret), avg(hit_rate), avg(sharpe), sum(n) FROM ({_YEARLY})", "smac")
 def a42_yearly_metrics(spark, sf):
-    """Given predictions, metrics per year."""
+    """Given predictions, metrics per year, and their means over the years (`all`)."""
     from tidemark.operators.signals import sma_cross
 
     s = sma_cross(D.enriched(spark, sf)).filter("next_return is not null").withColumn("r", F.col("signal") * F.col("next_return"))
     hit = ((F.col("signal") > 0) == (F.col("next_return") > 0)).cast("double")
-    return s.groupBy(F.year("ts").alias("year")).agg(F.avg(hit).alias("accuracy"), F.avg("r").alias("mean_ret"), (F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"), F.count("*").alias("n"))
+    yearly = s.groupBy(F.year("ts").cast("string").alias("year")).agg(
+        F.avg(hit).alias("accuracy"), F.avg("r").alias("mean_ret"), F.avg(F.when(F.col("signal") != 0, (F.col("r") > 0).cast("double"))).alias("hit_rate"),
+        (F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"), F.count("*").alias("n"),
+    )
+    yearly = materialise(yearly)
+    return yearly.unionByName(yearly.agg(F.lit("all").alias("year"), *[F.avg(c).alias(c) for c in ("accuracy", "mean_ret", "hit_rate", "sharpe")], F.sum("n").alias("n")))
 
 
 @query("phase:s model_acc:f persistence_acc:f n:i", "SELECT phase, avg(CASE WHEN m = nx THEN 1.0 ELSE 0 END) AS model_acc, avg(CASE WHEN phase = nx THEN 1.0 ELSE 0 END) AS persistence_acc, count(*) AS n FROM (SELECT phase, lag(phase) OVER w AS m, lead(phase) OVER w AS nx, row_number() OVER w AS r FROM enriched WINDOW w AS (PARTITION BY pair ORDER BY ts)) WHERE r > 504 AND nx IS NOT NULL GROUP BY phase", "enriched")
@@ -566,10 +589,12 @@ def a46_spike_rate(spark, sf):
     return t.join(q, "pair").groupBy("pair").agg(s.alias("spikes"), (s / F.count("*")).alias("rate"))
 
 
-@query("pair:s rsi_missing:f any_pct:f", "SELECT pair, avg(CASE WHEN rsi IS NULL THEN 100.0 ELSE 0 END) AS rsi_missing, avg(CASE WHEN rsi IS NOT NULL OR adx IS NOT NULL THEN 100.0 ELSE 0 END) AS any_pct FROM enriched GROUP BY pair", "enriched")
+@query("pair:s rsi_missing:f any_pct:f collapse_pct:f", "SELECT pair, avg(CASE WHEN rsi IS NULL THEN 100.0 ELSE 0 END) AS rsi_missing, avg(CASE WHEN rsi IS NOT NULL OR adx IS NOT NULL THEN 100.0 ELSE 0 END) AS any_pct, avg(CASE WHEN adx IS NULL THEN 100.0 ELSE 0 END) FILTER (rsi IS NOT NULL) AS collapse_pct FROM enriched GROUP BY pair", "enriched")
 def a47_missingness(spark, sf):
-    """How much is missing."""
-    return D.enriched(spark, sf).groupBy("pair").agg((F.avg(F.col("rsi").isNull().cast("double")) * 100).alias("rsi_missing"), (F.avg((F.col("rsi").isNotNull() | F.col("adx").isNotNull()).cast("double")) * 100).alias("any_pct"))
+    """How much is missing, and which share of the usable rows would go if the optional column were required."""
+    share = lambda c: F.avg(c.cast("double")) * 100
+    rsi, adx = F.col("rsi"), F.col("adx")
+    return D.enriched(spark, sf).groupBy("pair").agg(share(rsi.isNull()).alias("rsi_missing"), share(rsi.isNotNull() | adx.isNotNull()).alias("any_pct"), (F.avg(F.when(rsi.isNotNull(), adx.isNull().cast("double"))) * 100).alias("collapse_pct"))
 
 
 @query("pair:s day:d valid_hours:i phase:s share:f", f"SELECT pair, day, sum(n) AS valid_hours, arg_max(phase, n * 10 + CASE WHEN phase = 'HV_Trend' THEN 1 ELSE 0 END) AS phase, max(n) / sum(n) AS share FROM (SELECT pair, CAST(entry_time AS DATE) AS day, phase, count(*) AS n FROM ({_HPHASE}) GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING sum(n) >= 12", "hourly")
@@ -753,15 +778,6 @@ def q13_archive_validation(spark, sf):
     return Q.violations([("duplicates", "error", many, F.concat(F.lit("rows "), F.col("n"))), ("identity", "warning", low, F.lit("negative mean"))])
 
 
-@query("problem:s n:i", "SELECT 'rank' AS problem, sum(CASE WHEN rank < 1 THEN 1 ELSE 0 END) AS n FROM (SELECT row_number() OVER (ORDER BY strategy_id) AS rank FROM evals) UNION ALL SELECT 'unknown', count(*) FROM evals WHERE strategy_id NOT IN (SELECT strategy_id FROM evals)", "evals")
-def q14_recommendation_set(spark, sf):
-    """Ranks and references of a recommendation set."""
-    e = D.evaluations(spark, sf)
-    r = T.ranked_recommendations(e)
-    bad = r.agg(F.count_if(F.col("rank") < 1).alias("n")).withColumn("problem", F.lit("rank"))
-    return bad.unionByName(r.join(e.select("strategy_id"), "strategy_id", "left_anti").agg(F.count("*").alias("n")).withColumn("problem", F.lit("unknown")))
-
-
 @query("pair:s only_in:s", "SELECT pair, 'first' AS only_in FROM (SELECT pair FROM runs WHERE family = 'jpy' EXCEPT SELECT pair FROM runs WHERE family = 'eur') UNION ALL SELECT pair, 'second' FROM (SELECT pair FROM runs WHERE family = 'eur' EXCEPT SELECT pair FROM runs WHERE family = 'jpy')", "runs")
 def q16_same_universe(spark, sf):
     """Pairs that one family lacks."""

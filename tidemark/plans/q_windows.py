@@ -202,6 +202,15 @@ def w25_island_lengths(spark, sf):
     return W.island_lengths(D.enriched(spark, sf), "phase")
 
 
+@query(
+    "pair:s year:i transitions:i mean_length:f median_length:f min_length:i max_length:i",
+    f"SELECT pair, year(b) AS year, count(*) - 1 AS transitions, avg(n) AS mean_length, quantile_cont(n, 0.5) AS median_length, min(n) AS min_length, max(n) AS max_length FROM (SELECT pair, island, year(ts) AS y, count(*) AS n, min(ts) AS b FROM ({_PHASE_ISLANDS}) GROUP BY 1, 2, 3) GROUP BY 1, 2", "enriched",
+)
+def w25_island_lengths_by_year(spark, sf):
+    """Lengths of stretches of one phase inside each year."""
+    return W.island_lengths(D.enriched(spark, sf).withColumn("year", F.year("ts")), "phase", ["year"])
+
+
 @query("pair:s n_switches:i", f"SELECT pair, sum(s) AS n_switches FROM (SELECT pair, CASE WHEN selected <> lag(selected) OVER w THEN 1 ELSE 0 END AS s FROM timeline {_W}) GROUP BY pair", "timeline")
 def w26_switch_count(spark, sf):
     """Changes of the selected type."""

@@ -55,6 +55,7 @@ def read_by_name(spark: SparkSession, root: str, names: str = r"\.csv$") -> Data
     rows = lines.join(named, "part").filter(F.col("place") != F.col("first")).withColumn("values", values("value"))
     n = F.least(F.size("header"), F.size("values"))
     pairs = F.arrays_zip(F.slice("header", 1, n).alias("k"), F.slice("values", 1, n).alias("v"))
+    pairs = F.filter(pairs, lambda p, i: F.array_position("header", p["k"]) == i + 1)  # of columns of one name the first counts
     row = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], F.nullif(F.trim(p["v"]), F.lit("")))))
     return rows.select("file", "part", "place", row.alias("row"), "header", F.size("values").alias("n_values"))
 
@@ -66,7 +67,8 @@ def value_of(names: tuple[str, ...] | list[str]) -> Column:
 
 
 def file_problems(rows: DataFrame, required: list[tuple[str, ...]]) -> DataFrame:
-    """`file, problem` of each file that lacks a required column (one of each tuple), or has rows that do not fit its header."""
+    """`file, problem` of each file that lacks a required column (one of each tuple), has a name twice, or rows that do not fit its header."""
     lacking = [F.when(~F.arrays_overlap(F.col("header"), F.array(*[F.lit(n.lower()) for n in names])), F.lit(f"no column {names[0]}")) for names in required]
     ragged = F.when(F.col("n_values") != F.size("header"), F.lit("a row that does not fit the header"))
-    return rows.select("file", F.explode(F.array_compact(F.array(*lacking, ragged))).alias("problem")).distinct()
+    twice = F.when(F.size(F.array_distinct("header")) < F.size("header"), F.lit("a column name twice"))
+    return rows.select("file", F.explode(F.array_compact(F.array(*lacking, ragged, twice))).alias("problem")).distinct()

@@ -10,7 +10,7 @@ EVALUATIONS = [
     "evaluation_id", "surface_id", "surface_version", "state_id", "strategy_id", "expected_return", "expected_sharpe", "expected_drawdown",
     "win_rate", "confidence", "stability", "n_folds", "n_trades", "metadata",
 ]
-EVALUATION_VERSION = "1.0.0"
+EVALUATION_VERSION = RECOMMENDATION_VERSION = "1.0.0"
 RECOMMENDATIONS = ["recommendation_id", "evaluation_id", "rank", "recommendation_policy", "metadata"]
 
 
@@ -40,12 +40,17 @@ def write_evaluations(records: DataFrame, path: str) -> None:
     records.select(*EVALUATIONS).repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
 
 
+def recommendation_records(ranked: DataFrame, policy: str = "sharpe") -> DataFrame:
+    """Ranked evaluation records as recommendations: each names its evaluation, and its identifier follows from that, the policy and the rank."""
+    said = {"evaluation_id": F.col("evaluation_id"), "rank": F.col("rank"), "recommendation_policy": F.lit(policy), "schema_version": F.lit(RECOMMENDATION_VERSION)}
+    digest = F.sha2(F.to_json(F.struct(*[said[k].alias(k) for k in sorted(said)])), 256)
+    named = ranked.withColumns({"recommendation_policy": said["recommendation_policy"], "recommendation_id": F.concat(F.lit("rec_"), F.substring(digest, 1, 24))})
+    return named.withColumn("metadata", F.to_json(F.struct(said["schema_version"].alias("schema_version")))).select(*RECOMMENDATIONS)
+
+
 def write_recommendations(ranked: DataFrame, path: str, policy: str = "sharpe") -> None:
-    """Recommendations by rank, each with an identifier that its content decides."""
-    evaluation = F.concat(F.lit("eval_"), F.substring(F.sha2("strategy_id", 256), 1, 24))
-    rows = ranked.withColumns({"evaluation_id": evaluation, "recommendation_policy": F.lit(policy), "metadata": F.to_json(F.struct("strategy_id"))})
-    rows = rows.withColumn("recommendation_id", F.concat(F.lit("rec_"), F.substring(F.sha2(F.concat_ws("|", "evaluation_id", "recommendation_policy"), 256), 1, 24)))
-    rows.select(*RECOMMENDATIONS).sortWithinPartitions("rank").write.mode("overwrite").parquet(path)
+    """Recommendations by rank, of evaluation records with `rank`."""
+    recommendation_records(ranked, policy).select(*RECOMMENDATIONS).sortWithinPartitions("rank").write.mode("overwrite").parquet(path)
 
 
 def write_phase_labels(labels: DataFrame, gaps: DataFrame, path: str) -> None:
