@@ -62,8 +62,14 @@ def _class(ranges: list[str]) -> str:
 _MARKS = re.compile(f"([{_class(NEWER_MARKS)}])")
 
 
+#: From the first of the newer capitals on: one range, which is looked for faster than their class.
+_LATE = re.compile(f"[{min(NEWER_CAPITALS)}-\U0010ffff]")
+
+
 def normalised(text: str) -> str:
     """The composed form (NFC) as the library has it: the newer marks neither move nor let others past."""
+    if unicodedata.is_normalized("NFC", text):  # then the library, which knows fewer marks, changes nothing either
+        return text
     if not _MARKS.search(text):
         return unicodedata.normalize("NFC", text)
     return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(_MARKS.split(text)))
@@ -170,7 +176,7 @@ class Encoder:
         if not text.isascii():
             # one character at a time: no special form of a final sigma
             text = normalised(text).replace("Σ", "σ")
-            if self._capitals.search(text):
+            if _LATE.search(text) and self._capitals.search(text):
                 text = self._capitals.sub(lambda m: NEWER_CAPITALS[m[0]], text)
         if self._separators.search(text):  # str.split() takes these for white space, the vocabulary does not
             return [c for c in self._space.split(text.lower()) if c]
