@@ -92,20 +92,18 @@ def test_result_files_with_mixed_headers(spark, tmp_path):
     assert len(archive.FAMILIES) == 13 and all(archive.result_tables(spark, str(tmp_path), f).count() == 0 for f in ("results_ml", "results_per_pair"))
 
 
-def test_archive_discovery_and_manifest(spark, tmp_path):
+def test_archive_discovery(spark, tmp_path):
     from tidemark.sources import archive
 
-    for name, files in (("a", ["run_manifest.json", "walkforward__baseline.csv"]), ("a/sub", ["x.csv"]), ("b", ["run_manifest_1.json", "run_manifest_2.json"]), ("c", ["y.csv"])):
+    for name, files in (("a", ["run_manifest.json", "walkforward__baseline.csv"]), ("a/sub", ["x.csv"]), ("b", ["run_manifest_1.json", "run_manifest_2.json"]), ("c", ["results_ml_x.csv", archive.LEGACY_MARKER]), ("d", ["results_ml.csv"]), ("e", ["y.csv", archive.LEGACY_MARKER])):
         (tmp_path / name).mkdir(exist_ok=True)
         for f in files:
             body = json.dumps({"run": {"id": "r1", "seed": 7}, "experiment": {"generation": "g2", "factors": {"family": "jpy", "aware": "true"}}}) if f.endswith("json") else "pair,Dynamic Sharpe\nP1,0.5\nP2,\n"
             (tmp_path / name / f).write_text(body)
     kinds = {r["folder"].rsplit("/", 1)[1]: r["kind"] for r in archive.discover(spark, str(tmp_path)).collect()}
-    assert kinds == {"a": "run", "b": "several manifests", "c": "legacy"}
+    assert kinds == {"a": "run", "b": "several manifests", "c": "legacy", "d": "other", "e": "other"}
     rows = archive.result_tables(spark, str(tmp_path), "walkforward", {"pair": "string", "sharpe_dynamic": "double", "absent": "double"}).collect()
     assert sorted((r["run_id"], r["mode"], r["pair"], r["sharpe_dynamic"], r["absent"]) for r in rows if r["pair"] == "P1") == [("a", "baseline", "P1", 0.5, None)]
-    m = [r for r in archive.manifests(spark, str(tmp_path)).collect() if r["folder"].endswith("/a")]
-    assert (m[0]["run_id"], m[0]["seed"], m[0]["family"], m[0]["aware"]) == ("r1", 7, "jpy", True)
 
 
 def test_as_of_takes_the_last_row_before(spark):

@@ -11,7 +11,7 @@ PICKED = [
     "w06_rolling_skew", "w08_high_volatility", "w25_island_lengths", "w32_around_transitions", "w34_sign_flips", "w_blocked_rolling", "g01_tf1", "g04_tf4", "g14_phase_router",
     "flagship_trade_metrics", "j01_attach_daily", "j13_as_of", "j14_fold_members", "a02_daily_features", "a09_walk_forward_means", "a12_grouping_sets", "a19_trimmed_mean",
     "a29_entropy", "a31_confidence_collapse", "s02_smooth_labels", "s05_walk_forward", "t01_recommendations", "u02_keep_last", "q06_ranges", "q13_archive_validation", "pf04_normalised_pair",
-    "pf27_tolerant_casts", "w15_wilder_rsi",
+    "pf27_tolerant_casts", "w15_wilder_rsi", "src10_discovery", "src11_manifests", "src13_logs", "src14_benchmark", "q16_benchmark",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")

@@ -376,16 +376,6 @@ def _archive(spark, sf) -> str:
     return root
 
 
-@query(
-    "n_files_kind:s folders:i manifests:i",
-    "SELECT 'run' AS n_files_kind, count(DISTINCT run_id) AS folders, count(DISTINCT run_id) AS manifests FROM runs UNION ALL SELECT 'several manifests', count(DISTINCT family), 2 * count(DISTINCT family) FROM runs UNION ALL SELECT 'legacy', count(DISTINCT generation), 0 FROM runs", "runs",
-)
-def src10_discovery(spark, sf):
-    """Folders of an archive by kind."""
-    d = archive.discover(spark, _archive(spark, sf))
-    return d.groupBy(F.col("kind").alias("n_files_kind")).agg(F.count("*").alias("folders"), F.sum("manifests").alias("manifests"))
-
-
 _RESULTS = {"pair": "string", "strategy": "string", "sharpe_dynamic": "double", "sharpe_baseline": "double", "return_dynamic": "double"}
 
 
@@ -402,20 +392,6 @@ def src12_src14_result_tables(spark, sf):
     return means.join(unsure, "run_id", "left").fillna(0, ["n_ambiguous"])
 
 
-@query("run_id:s generation:s family:s aware:b", "SELECT DISTINCT run_id, generation, family, aware FROM runs", "runs")
-def src11_manifests(spark, sf):
-    """Manifests of an archive as flat rows; empty ones have no run."""
-    return archive.manifests(spark, _archive(spark, sf)).filter("generation is not null")
-
-
-@query("pair:s metric:s value:f", "SELECT pair, 'sharpe' AS metric, round(avg(sharpe), 3) AS value FROM runs GROUP BY pair", "runs")
-def src13_logs(spark, sf):
-    """Log lines made of a table, parsed with the pair carried from header lines."""
-    r = D.runs(spark, sf).groupBy("pair").agg(F.round(F.avg("sharpe"), 3).alias("s"))
-    lines = r.select(F.col("pair").alias("file"), F.posexplode(F.array(F.concat(F.lit("=== "), "pair", F.lit(" ===")), F.lit("text"), F.format_string("sharpe: %.3f", "s")))).toDF("file", "n", "line")
-    return archive.parse_log(lines)
-
-
 @query("name:s family:s aware:b", "SELECT DISTINCT generation || '_' || family || CASE WHEN aware THEN '_aware' ELSE '_blind' END AS name, family, aware FROM runs", "runs")
 def src15_names(spark, sf):
     """What experiment names tell."""

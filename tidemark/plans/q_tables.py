@@ -765,19 +765,6 @@ def q11_fold_windows(spark, sf):
     return f.agg(F.count("*").alias("n_folds"), F.count_if((F.col("test_start") <= F.col("train_end")) | (F.col("test_end") < F.col("test_start"))).alias("n_unordered"), F.count_if(F.col("test_start") <= F.col("b")).alias("n_overlap"))
 
 
-@query(
-    "section:s severity:s run_id:s message:s",
-    """SELECT 'duplicates' AS section, 'error' AS severity, run_id, 'rows ' || n AS message FROM (SELECT run_id, pair, count(*) AS n FROM runs GROUP BY 1, 2 HAVING count(*) > 3)
-       UNION ALL SELECT 'identity', 'warning', run_id, 'negative mean' FROM (SELECT run_id, avg(sharpe) AS s FROM runs GROUP BY 1 HAVING avg(sharpe) < 4)""", "runs",
-)
-def q13_archive_validation(spark, sf):
-    """Violations of the archive's rules in one table."""
-    r = D.runs(spark, sf)
-    many = r.groupBy("run_id", "pair").agg(F.count("*").alias("n")).filter("n > 3")
-    low = r.groupBy("run_id").agg(F.avg("sharpe").alias("s")).filter("s < 4")
-    return Q.violations([("duplicates", "error", many, F.concat(F.lit("rows "), F.col("n"))), ("identity", "warning", low, F.lit("negative mean"))])
-
-
 @query("pair:s only_in:s", "SELECT pair, 'first' AS only_in FROM (SELECT pair FROM runs WHERE family = 'jpy' EXCEPT SELECT pair FROM runs WHERE family = 'eur') UNION ALL SELECT pair, 'second' FROM (SELECT pair FROM runs WHERE family = 'eur' EXCEPT SELECT pair FROM runs WHERE family = 'jpy')", "runs")
 def q16_same_universe(spark, sf):
     """Pairs that one family lacks."""

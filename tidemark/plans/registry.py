@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import q_expressions, q_stateful, q_tables, q_windows  # noqa: F401  they register their queries
+from tidemark.plans import q_archive, q_expressions, q_stateful, q_tables, q_windows  # noqa: F401  they register their queries
 from tidemark.plans.core import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -24,12 +24,16 @@ def name_of(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)$", 1)
 
 
-def lines_of(spark: SparkSession, root: str, names: str) -> DataFrame:
-    """`file, part, place, value`: the lines of files below `root` whose name matches `names`, and the order in which they stand."""
-    raw = spark.read.option("recursiveFileLookup", True).text(root)
+def lines_of(spark: SparkSession, root: str, names: str, empty: bool = False) -> DataFrame:
+    """`file, part, place, value`: the lines of files below `root` whose name matches `names`, and the order in which they stand.
+
+    The names are looked at when files are listed, so other files are not opened. Lines of spaces go, unless `empty` is set.
+    """
     part = F.col("_metadata.file_path")
+    raw = spark.read.option("recursiveFileLookup", True).text(root).filter(name_of(logical_path(part)).rlike(names))
     placed = raw.select(part.alias("part"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), "value")
-    return placed.withColumn("file", logical_path(F.col("part"))).filter(name_of(F.col("file")).rlike(names)).filter(F.trim("value") != "")
+    placed = placed.withColumn("file", logical_path(F.col("part")))
+    return placed if empty else placed.filter(F.trim("value") != "")
 
 
 def read_by_name(spark: SparkSession, root: str, names: str = r"\.csv$") -> DataFrame:
@@ -66,9 +70,11 @@ def value_of(names: tuple[str, ...] | list[str]) -> Column:
     return F.try_element_at("row", F.try_element_at(there, F.lit(1)))
 
 
-def file_problems(rows: DataFrame, required: list[tuple[str, ...]]) -> DataFrame:
-    """`file, problem` of each file that lacks a required column (one of each tuple), has a name twice, or rows that do not fit its header."""
+def file_problems(rows: DataFrame, required: list[tuple[str, ...]], numbers: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """`file, problem` of each file that lacks a required column (one of each tuple), has a name twice, rows that do not fit its
+    header, or text in a column of `numbers`; nothing is raised, and rows are read as far as they go."""
     lacking = [F.when(~F.arrays_overlap(F.col("header"), F.array(*[F.lit(n.lower()) for n in names])), F.lit(f"no column {names[0]}")) for names in required]
     ragged = F.when(F.col("n_values") != F.size("header"), F.lit("a row that does not fit the header"))
     twice = F.when(F.size(F.array_distinct("header")) < F.size("header"), F.lit("a column name twice"))
-    return rows.select("file", F.explode(F.array_compact(F.array(*lacking, ragged, twice))).alias("problem")).distinct()
+    texts = [F.when(value_of(names).isNotNull() & value_of(names).try_cast("double").isNull(), F.lit(f"no number in {names[0]}")) for names in numbers or []]
+    return rows.select("file", F.explode(F.array_compact(F.array(*lacking, ragged, twice, *texts))).alias("problem")).distinct()
