@@ -44,6 +44,32 @@ def test_bootstrap_means(spark, multiplicity):
     assert mean_interval(few, ["phase"], "x", "week", 10).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["ratio", "trimmed"])
+def test_bootstrap_statistics(spark, kind):
+    from tidemark.operators import bootstrap as B
+
+    # multiples of the bins' width, with repeated values, so that a bin's values are equal
+    rows = [(p, w, pair, None if x is None else round(x * 2) / 2) for p, w, pair, x in events()]
+    df = spark.createDataFrame(rows, "phase string, week date, pair string, x double")
+    x = F.col("x")
+    statistic = B.ratio_of(F.greatest(x, F.lit(0.0)), F.greatest(-x, F.lit(0.0))) if kind == "ratio" else B.trimmed_mean_of("x", 0.1, 0.5)
+
+    def value(values):
+        if kind == "ratio":
+            return sum(max(v, 0.0) for v in values) / sum(max(-v, 0.0) for v in values)
+        # ten copies of each value, so that a tenth is a whole number of them
+        copies = sorted(v for v in values for _ in range(10))
+        kept = copies[len(values) : len(copies) - len(values)]
+        return sum(kept) / len(kept)
+
+    got = {r["phase"]: r for r in B.interval(df, ["phase"], statistic, "week", 50, 3, multiplicity=True).collect()}
+    for phase in ("x", "y"):
+        weeks = sorted({w for p, w, _, v in rows if p == phase and v is not None})
+        found = [value([v for s in slots for p, w, _, v in rows if p == phase and w == weeks[s] and v is not None]) for slots in drawn_slots(spark, 3, (phase,), len(weeks), 50).values()]
+        assert (got[phase]["ci_low"], got[phase]["ci_high"]) == pytest.approx(tuple(np.quantile(found, [0.025, 0.975])))
+    assert B.interval(df.limit(0), ["phase"], statistic, "week", 5).count() == 0
+
+
 def test_bootstrap_differences(spark):
     from tidemark.operators.bootstrap import difference_interval
 

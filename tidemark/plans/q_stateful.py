@@ -169,6 +169,16 @@ def a23_bootstrap_mean_multiplicity(spark, sf):
     return B.mean_interval(_weekly(spark, sf), ["phase", "horizon"], "x", "week", 500, multiplicity=True)
 
 
+@query("phase:s horizon:s statistic:s ci_low:f ci_high:f replicates:i")
+def a23_bootstrap_statistics(spark, sf):
+    """Week-block intervals of the share of gains, gains over losses, and the mean without the outer tenths."""
+    x = F.col("x")
+    kinds = {"share": B.ratio_of(F.when(x > 0, 1.0).when(x <= 0, 0.0), F.when(x.isNotNull(), 1)), "profit_factor": B.ratio_of(F.greatest(x, F.lit(0.0)), F.greatest(-x, F.lit(0.0))), "trimmed": B.trimmed_mean_of("x", 0.1, 0.001)}
+    w = materialise(_weekly(spark, sf))
+    parts = [B.interval(w, ["phase", "horizon"], kind, "week", 300, multiplicity=True).withColumn("statistic", F.lit(name)) for name, kind in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("phase:s horizon:s ci_low:f ci_high:f mean_diff:f")
 def a24_j18_bootstrap_difference(spark, sf):
     """Week-block interval of a difference of pair means."""
