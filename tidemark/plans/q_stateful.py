@@ -21,6 +21,7 @@ from tidemark.plans.q_tables import event_returns
 from tidemark.sources import archive, files, sinks
 from tidemark.storage import materialise, shared_folder
 from tidemark.streaming import bars as ST
+from tidemark.streaming import trading as TR
 
 
 def _wilder(values: str, n: int = 14) -> str:
@@ -427,9 +428,9 @@ def _stream(spark, sf):
     return raw.select(F.col("event_type").alias("pair"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
 
 
-def _run(spark, df, mode="append"):
+def _run(spark, df, mode="append", path=None):
     """Run a stream over all that is there, into a table in the shared folder, and read that."""
-    path = _folder(spark)
+    path = path or _folder(spark)
     q = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
@@ -487,6 +488,20 @@ def st07_held_positions(spark, sf):
     return _run(spark, ST.held_positions(s.select("pair", "ts", "event")))
 
 
+@query("pair:s entry_date:d exit_date:d direction:i entry_price:f exit_price:f pnl_pct:f exit_reason:s")
+def st07_router_ledger(spark, sf):
+    """Trades of routed bars, from a stream that keeps router and ledger as state, stopped once and started again."""
+    path = _folder(spark)
+    bars = _routed_input(spark, sf).join(D.enriched(spark, sf).select("pair", "ts", "high", "low", "close", "phase"), ["pair", "ts"])
+    bars = materialise(bars.select(*[F.col(c).cast("double" if c.startswith(("p_", "trend_", "reversion_")) else dict(bars.dtypes)[c]).alias(c) for c in bars.columns if c != "ts"], F.col("ts").cast("timestamp").alias("ts")))
+    later = F.year("ts") >= 1995
+    with TR.with_timers(spark):
+        for part in (bars.filter(~later), bars.filter(later)):  # each run begins where the one before stopped
+            part.write.mode("append").parquet(f"{path}/in")
+            out = _run(spark, TR.traded(spark.readStream.schema(bars.schema).parquet(f"{path}/in")), path=path)
+    return out.filter("kind = 'trade'").withColumn("exit_date", F.col("ts"))
+
+
 @query("event_id:i pair:s label:s", "SELECT event_id, event_type AS pair, r_name AS label FROM events LEFT JOIN region ON event_id % 7 = r_regionkey")
 def st08_stream_static(spark, sf):
     """A stream joined with a static table."""
