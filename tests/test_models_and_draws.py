@@ -184,3 +184,28 @@ def test_selector_of_three_types(spark):
     assert len(sizes) == 3 and all(len(s) == 5 and max(s) - min(s) <= 1 for s in sizes.values()) and sum(map(sum, sizes.values())) == df.count()
     folds = stratified_accuracy(df, ["f", "g"], "best").collect()
     assert len(folds) == 3 and all(r["accuracy"] > 0.8 for r in folds) and sum(r["n"] for r in folds) == 1764
+
+
+def crossed(spark, n=900):
+    rng = random.Random(8)
+    rows = [("AB", DAY + dt.timedelta(k), "xy"[k % 2], rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-1, 1)) for k in range(n)]
+    return spark.createDataFrame([(*r, int((r[3] > 0) != (r[4] > 0.2))) for r in rows], "pair string, ts date, phase string, a double, b double, idle double, up int")
+
+
+def test_trees_learn_what_a_line_cannot(spark):
+    from tidemark.operators import models as M
+
+    df = crossed(spark).cache()
+    mean = {how: M.cross_validated(df, ["a", "b"], "up", 2, how).first()["accuracy_mean"] for how in ("logistic", "forest", "boosted")}
+    assert mean["logistic"] < 0.65 and mean["boosted"] > 0.85 and mean["forest"] > 0.75
+    variants = spark.createDataFrame([("none", None, 0.5, 0.0, 10), ("per_phase", "x", 0.6, 0.0, 30), ("per_phase", "y", 0.8, 0.0, 10), ("per_phase", "z", None, None, 0)], "variant string, phase string, accuracy_mean double, accuracy_std double, n long")
+    got = {r["variant"]: (r["accuracy"], r["n"], r["difference"]) for r in M.compared_variants(variants).collect()}
+    assert got["none"] == (0.5, 10, 0.0) and got["per_phase"] == pytest.approx((0.65, 40, 0.15))
+
+
+def test_importances_name_the_features_that_tell(spark):
+    from tidemark.operators import models as M
+
+    rows = crossed(spark).withColumn("kind", F.when(F.col("a") > 0.3, "p").otherwise("q"))
+    got = M.importances(M.fit_types(rows, ["idle", "a"], "kind"), ["idle", "a"], spark).collect()
+    assert [r["feature"] for r in got] == ["a", "idle"] and got[0]["importance"] > 0.8 and sum(r["importance"] for r in got) == pytest.approx(1.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,9 +21,13 @@ def features(columns: list[str], scaled: bool = True) -> list:
     return [gather, StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if scaled else [gather]
 
 
-def fit_direction(train: DataFrame, columns: list[str], label: str) -> PipelineModel:
-    """Logistic regression of a binary label."""
-    return Pipeline(stages=[*features(columns), LogisticRegression(labelCol=label, maxIter=20)]).fit(train)
+def fit_direction(train: DataFrame, columns: list[str], label: str, learner: str = "logistic", seed: int = 42) -> PipelineModel:
+    """A binary label by a logistic regression, a random `forest`, or `boosted` trees."""
+    learners = {
+        "logistic": LogisticRegression(labelCol=label, maxIter=20), "forest": RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=4, seed=seed),
+        "boosted": GBTClassifier(labelCol=label, maxIter=10, maxDepth=3, seed=seed),
+    }
+    return Pipeline(stages=[*features(columns, scaled=learner == "logistic"), learners[learner]]).fit(train)
 
 
 def fit_types(train: DataFrame, columns: list[str], label: str, seed: int = 42) -> PipelineModel:
@@ -50,7 +54,7 @@ def accuracy(scored: DataFrame, keys: list[str], label: str) -> DataFrame:
     return scored.groupBy(*keys).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def cross_validated(rows: DataFrame, columns: list[str], label: str, splits: int = 5) -> DataFrame:
+def cross_validated(rows: DataFrame, columns: list[str], label: str, splits: int = 5, learner: str = "logistic") -> DataFrame:
     """`fold, accuracy, n, accuracy_mean, accuracy_std`: a direction model for each fold, learned from all parts before it.
 
     The number of fits is `splits`, whatever the table's size; a fold whose training rows have one class only is left out.
@@ -62,7 +66,7 @@ def cross_validated(rows: DataFrame, columns: list[str], label: str, splits: int
         before = [r for r in classes if r["part"] < k]
         if not before or min(r["low"] for r in before) == max(r["high"] for r in before):
             continue
-        one = fit_direction(parts.filter(F.col("part") < k), columns, label).transform(parts.filter(F.col("part") == k)).select(F.lit(k - 1).alias("fold"), "prediction", label)
+        one = fit_direction(parts.filter(F.col("part") < k), columns, label, learner).transform(parts.filter(F.col("part") == k)).select(F.lit(k - 1).alias("fold"), "prediction", label)
         scored = one if scored is None else scored.unionByName(one)
     if scored is None:
         return rows.sparkSession.createDataFrame([], "fold int, accuracy double, n long, accuracy_mean double, accuracy_std double")
@@ -71,7 +75,7 @@ def cross_validated(rows: DataFrame, columns: list[str], label: str, splits: int
     return folds.withColumns({"accuracy_mean": F.avg("accuracy").over(every), "accuracy_std": F.stddev_pop("accuracy").over(every)})
 
 
-def direction_variants(rows: DataFrame, columns: list[str], phases: list[str], label: str, least: int = 100, splits: int = 5) -> DataFrame:
+def direction_variants(rows: DataFrame, columns: list[str], phases: list[str], label: str, least: int = 100, splits: int = 5, learner: str = "logistic") -> DataFrame:
     """`variant, phase, accuracy_mean, accuracy_std, n`: without phases, with phases as features, and a model for each phase of `least` rows."""
     from tidemark.functions.expr import one_hot
 
@@ -81,12 +85,20 @@ def direction_variants(rows: DataFrame, columns: list[str], phases: list[str], l
     runs += [("per_phase", p, rows.filter(F.col("phase") == p), columns) for p in phases if counts.get(p, 0) >= least]
     out = None
     for variant, phase, part, features_ in runs:
-        one = cross_validated(part, features_, label, splits).groupBy().agg(F.first("accuracy_mean").alias("accuracy_mean"), F.first("accuracy_std").alias("accuracy_std"), F.sum("n").alias("n"))
+        one = cross_validated(part, features_, label, splits, learner).groupBy().agg(F.first("accuracy_mean").alias("accuracy_mean"), F.first("accuracy_std").alias("accuracy_std"), F.sum("n").alias("n"))
         one = one.select(F.lit(variant).alias("variant"), F.lit(phase).cast("string").alias("phase"), "accuracy_mean", "accuracy_std", "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def compared_variants(variants: DataFrame) -> DataFrame:
+    """`variant, accuracy, n, difference`: each variant's accuracy, that of phases weighted by their rows, and how much it differs from no phases'."""
+    known = variants.filter("accuracy_mean is not null")
+    means = known.groupBy("variant").agg((F.sum(F.col("accuracy_mean") * F.col("n")) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    base = means.filter("variant = 'none'").select(F.col("accuracy").alias("__base"))  # one row at most
+    return means.join(F.broadcast(base), F.lit(True), "left").withColumn("difference", F.col("accuracy") - F.col("__base")).drop("__base")
+
+
 def softmax_weights(x: np.ndarray, y: np.ndarray, n_classes: int, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights (with a constant last) of a multinomial logistic regression, by gradient steps with a step size that cannot overshoot."""
     x = np.c_[x, np.ones(len(x))]

@@ -209,6 +209,13 @@ def m03_direction_variants(spark, sf):
     return M.direction_variants(_model_rows(spark, sf), _FEATURES, _PHASES, "up", splits=3)
 
 
+@query("variant:s accuracy:f n:i difference:f")
+def m03_compared_forests(spark, sf):
+    """The three variants by random forests, and how much the phases change."""
+    rows = materialise(_model_rows(spark, sf))
+    return M.compared_variants(M.direction_variants(rows, _FEATURES, _PHASES, "up", splits=2, learner="forest"))
+
+
 @query("pair:s ts:d phase:s predicted:s learned:b")
 def m04_next_phase(spark, sf):
     """Next phase, walking forward."""
