@@ -1,6 +1,7 @@
 """Pages, archives and conversations."""
 
 import hashlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -47,6 +48,72 @@ def test_names_of_layouts_and_headlines(spark):
     assert got == {k: want for k, (_, want) in enumerate(bodies)}
 
 
+def test_attributes_are_parsed_and_forms_may_be_frames():
+    kept = [
+        '<p title="the hidden truth">text</p>', '<p data-id="menu">text</p>', '<div data-role="search">text</div>', "<p data-x='class=\"ad\"'>text</p>",
+        '<div title="a > b" data-class=ad>text</div>', '<p alt="aria-hidden=true">text</p>', '<p title="display:none">text</p>',
+        '<form id="aspnetForm" action="/x"><div><main><article><p>text</p></article></main></div></form>',
+        '<FORM method=post><h1>text</h1></FORM><form><input name=q>F</form>',
+        '<article><section class="related-work">text</section></article>', '<article><p class="alert">text</p></article>',
+        '<article><div class="notification-systems">text</div></article>', '<article><table class="menu"><tr><td>text</table></article>',
+        '<article><section id="ad-hoc-methods">text</section></article>',
+    ]
+    gone = [
+        "<p hidden>no</p>", "<p HIDDEN=hidden>no</p>", "<div aria-hidden = 'true'>no</div>", '<div style="color:red; display : none">no</div>',
+        "<div class='x&#32;ad y'>no</div>", "<div id=menu>no</div>", "<div role=search>no</div>", '<form><label>no</label></form><form><h2>no</h2></form>',
+        '<article><div class="related-posts">no</div><p class="ad">no</p><div class="alert">no</div><form><h1>no</h1></form></article>',
+        '<article><ul class="sponsored"><li>no</ul><section class="comments">no</section></article>', "<aside><form><article>no</article></form></aside>",
+    ]
+    for body, want in [*((b, ["text"]) for b in kept), *((b, []) for b in gone)]:
+        lines, zones = html_diff.text_lines(page(body))
+        assert [x for x, z in zip(lines, zones, strict=True) if z != html_diff.CHROME] == want, body
+    many = "<form>" * 20_000 + "<h1>text</h1>"
+    assert html_diff.text_lines(many)[0] == ["text"]
+
+
+class Blocks(HTMLParser):
+    """A twin of the block extraction, by the standard library's parser: articles of well-formed pages, by one depth counter."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.inside, self.quiet = [""], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside += 1
+        elif tag in ("script", "style", "form", "aside"):
+            self.quiet += 1
+        if tag == "br":
+            self.handle_data(" ")
+        elif tag not in ("b", "a", "i"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "i"):
+            self.blocks.append("")
+        if tag == "article":
+            self.inside -= 1
+        elif tag in ("script", "style", "form", "aside"):
+            self.quiet -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.quiet:
+            self.blocks[-1] += data
+
+
+def by_the_standard_parser(markup):
+    parser = Blocks()
+    parser.feed(markup)
+    parser.close()
+    return "\n\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+
+
+def test_whole_pages_equal_a_twin_of_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_diff.extract(pages).collect()}
+    assert got == {r["page_id"]: by_the_standard_parser(r["html"] or "") for r in pages.collect()}
+
+
 def sites(rng, articles: bool):
     """Pages of three hosts with a template each, runs of copies among them, and the text that each should give."""
     pages, want = [], {}

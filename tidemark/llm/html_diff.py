@@ -8,7 +8,7 @@ in that order, so copies are compared with the next page that differs from them.
 Differencing decides about every line; markup settles two cases that it cannot see. Lines in an article or main element
 stay although another page has them too (two articles may share a sentence), and lines in navigation, headers, footers,
 asides, forms or elements named as adverts, notices or comments go although no partner has them (a menu or an advert
-may differ from page to page). `extract` counts what either did.
+may differ from page to page). A form around an article or a headline is the page's frame and deletes nothing. `extract` counts what either did.
 
 Only hashes of lines are ordered and compared; the pages themselves do not move, unless so many of them have
 deleted lines that the planner must join the two by a shuffle.
@@ -24,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,17 +48,24 @@ CHROME_NAMES = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert login search".split()
 )
+#: Of those, the names that a paragraph, a table or a quotation of an article does not get for what it says.
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising cookie cookies disqus newsletter promo promoted sponsored subscribe".split())
+TEXT_TAGS = frozenset("p blockquote pre ul ol li dl dt dd table tr td th figure figcaption".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-zA-Z]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_FRAMED = re.compile(r"<(?:article|main|h1)\b|(</form\b)", re.I)
 _ANY_NAME = "|".join(sorted(CHROME_NAMES))
 # these speak of a layout, as in `has-sidebar` and `comments-open`, not of the element itself
 _LAYOUT = "has|no|with|is|open|closed|enabled|disabled|none|on|off"
 _ENDS = re.compile(rf"(?!(?:{_LAYOUT})[-_]).+[-_](?:{_ANY_NAME})$")
 _BEGINS = re.compile(rf"(?!.*[-_](?:{_LAYOUT})$)(?:{_ANY_NAME})[-_].+")
+# in an article a name that begins so may be about its subject (`related-work`), unless it goes on with a thing of a template
+_FURNITURE = re.compile(
+    rf"(?:{_ANY_NAME})[-_](?:area|articles|bar|block|box|buttons|container|content|form|inner|items|links|list|news|outer|posts|section|slot|stories|unit|widget|wrap|wrapper)$"
+)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
 
 ARTICLE, OTHER, CHROME = "a", "o", "c"
@@ -65,19 +73,52 @@ ARTICLE, OTHER, CHROME = "a", "o", "c"
 NEAREST = 2
 
 
-def _named_chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's class, id or role says that it is no part of an article."""
-    if not attributes or tag in ("html", "body") or tag in HEADING_TAGS:
+def _attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag by their lower-cased names; of two with one name the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def _named_chrome(tag: str, raw: str, in_article: bool) -> bool:
+    """Whether an element's class, id or role, or that it is hidden, says that it is no part of an article.
+
+    Inside an article names say less, as they may speak of its subject: an id counts if it is such a name or ends with
+    one, a class also if it is put together of a name and a thing of a template, and elements that hold text only by names of adverts.
+    """
+    if not raw or tag in ("html", "body") or tag in HEADING_TAGS:
         return False
-    for kind, *values in _NAMED.findall(attributes):
-        for name in "".join(values).lower().split():
-            if in_article and name.endswith("header"):
-                continue  # it holds the headline
-            # in an article the id of a section may begin with any word
-            if name in CHROME_NAMES or _ENDS.match(name) or (_BEGINS.match(name) and not (in_article and kind.lower() == "id")):
+    attributes = _attributes(raw)
+    for kind in ("class", "id"):
+        for name in attributes.get(kind, "").lower().split():
+            if not in_article:
+                chrome = name in CHROME_NAMES or _ENDS.match(name) or _BEGINS.match(name)
+            elif tag in TEXT_TAGS:
+                chrome = name in ADVERT_NAMES
+            else:
+                chrome = name in CHROME_NAMES or _ENDS.match(name) or (kind == "class" and _FURNITURE.match(name))
+                chrome = chrome and not name.endswith("header")  # it holds the headline
+            if chrome:
                 return True
-    role = _ROLE.search(attributes)
-    return bool(role and role[1].lower() in CHROME_ROLES) or bool(_HIDDEN.search(attributes))
+    roles = attributes.get("role", "").lower().split()
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attributes.get("style", ""))
+    return bool(roles and roles[0] in CHROME_ROLES) or bool(hidden)
+
+
+def _frames(page: str) -> Callable[[int], bool]:
+    """Tells of the place of a form's start tag whether an article, a main element or a headline stands in it.
+
+    Such a form is the frame of its page, as some web servers write it, not something to fill in.
+    """
+    marks = [(m.start(), m[1] is None) for m in _FRAMED.finditer(page)] if "<form" in page.lower() else []
+    places = [at for at, _ in marks]
+
+    def is_frame(at: int) -> bool:
+        k = bisect_right(places, at)
+        return k < len(marks) and marks[k][1]
+
+    return is_frame
 
 
 def text_lines(page: str) -> tuple[list[str], str]:
@@ -88,6 +129,7 @@ def text_lines(page: str) -> tuple[list[str], str]:
     stack: list[tuple[str, str]] = []  # open elements that are not inline, each with the zone inside it
     zone = OTHER
     found_article = False
+    is_frame = _frames(page)
 
     def close_block() -> None:
         if parts:
@@ -127,7 +169,7 @@ def text_lines(page: str) -> tuple[list[str], str]:
             continue
         named = _named_chrome(tag, token[3], zone == ARTICLE)
         # a header inside an article holds its headline
-        chrome = named or (tag in CHROME_TAGS and not (tag == "header" and zone == ARTICLE))
+        chrome = named or (tag in CHROME_TAGS and not (tag == "header" and zone == ARTICLE) and not (tag == "form" and zone == OTHER and is_frame(token.start())))
         if tag in INLINE_TAGS and not chrome:
             if stack and stack[-1][0] == tag and tag not in VOID_TAGS:
                 stack.append((tag, zone))  # so that its end tag does not end the one around it
@@ -140,7 +182,7 @@ def text_lines(page: str) -> tuple[list[str], str]:
             zone = stack[-1][1] if stack else OTHER
         if chrome:
             zone = CHROME
-        elif tag in MAIN_TAGS and (zone != CHROME or not (found_article or any(t in CHROME_TAGS for t, _ in stack))):
+        elif tag in MAIN_TAGS and (zone != CHROME or not (found_article or any(t in CHROME_TAGS and z == CHROME for t, z in stack))):
             # the first article stays one inside an element that only a name gives away: the name is the layout's
             zone, found_article = ARTICLE, True
         stack.append((tag, zone))
