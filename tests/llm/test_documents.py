@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers
 
 from tests.llm.conftest import odd_documents
-from tidemark.llm import bpe, disclosure, packing, ppm_language, prefix_hash, quotient_filter, simhash
+from tidemark.llm import bpe, common, disclosure, packing, ppm_language, prefix_hash, quotient_filter, simhash
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ROWS = [(r[0], r[1] or "") for r in odd_documents()]
@@ -220,6 +220,43 @@ def test_prefix_hash_of_one_row(spark):
     assert [x["edited_sha256"] for x in r] == [sha("abcdefab")]
 
 
+@pytest.fixture
+def no_adaptive_help(spark):
+    """Sixteen shuffle partitions as they are: none split or merged at run time."""
+    names = {"spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_dealt_out(spark, no_adaptive_help, how):
+    held = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id") % 9000).alias("key"), F.concat(F.lit("text "), "id").alias("text"))
+    per_key = common.materialise(held.groupBy("key").agg(F.count("*").alias("size"), F.max("text").alias("most")).filter("key is null or key % 5 <> 0"))
+    found = common.join_dealt(held, per_key, ["key"], "size", how)
+    assert found.columns == ["key", "text", "size", "most"]
+    assert Counter(rows(found)) == Counter(rows(held.join(per_key, "key", how)))
+    in_tasks = sorted(r["count"] for r in found.filter("key is not null").groupBy(F.spark_partition_id()).count().collect())
+    assert len(in_tasks) == 16 and in_tasks[-1] <= 2 * in_tasks[7]
+    # at most so many keys are broadcast, though each of them holds the same share
+    even = common.materialise(spark.range(2000).select(F.col("id").alias("key"), F.lit(1).alias("size")))
+    assert common.join_dealt(spark.range(2000).select(F.col("id").alias("key")), even, ["key"], "size").count() == 2000
+
+
+def test_operators_with_a_hot_text_need_no_adaptive_split(spark, no_adaptive_help):
+    hot = [(k, "the same text " * 10, "x") for k in range(300)]
+    some = [(k, f"text {k % 590}", "y") for k in range(300, 900)]
+    docs = spark.createDataFrame(hot + some, "doc_id long, text string, source string").repartition(5)
+    last = {t: max(k for k, u, _ in hot + some if u == t) for t in {t for _, t, _ in hot + some}}
+    assert {(r["doc_id"], r["text"]) for r in quotient_filter.keep_last(docs).collect()} == {(k, t) for t, k in last.items()}
+    marked = quotient_filter.mark_duplicates(docs).collect()
+    assert len(marked) == 900 and {r["doc_id"] for r in marked if r["kept"]} == set(last.values())
+    assert all(r["group_size"] == (300 if r["doc_id"] < 300 else 1 + (r["doc_id"] - 300 < 10) + (r["doc_id"] >= 890)) for r in marked)
+
+
 def test_exact_duplicates(odd_docs):
     groups = defaultdict(list)
     for doc_id, text in ROWS:

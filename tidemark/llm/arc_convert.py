@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, materialise, or_empty
+from tidemark.llm.common import join_dealt, map_arrow, materialise, or_empty
 
 # The fields of ARC header lines, and their titles in a file's first record.
 ARC_FIELDS = {
@@ -207,11 +207,11 @@ def _in_archives(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 def write_archives(pages: DataFrame) -> DataFrame:
     """`archive` (binary): WARC files, converted from ARC files of the pages, which are of either version in turn."""
     keyed = pages.select("page_id", "url", or_empty("html").alias("html")).withColumn("digest", F.sha2("html", 256))
-    # only payloads that two rows have can be revisits: a table of those, small enough to broadcast or else joined
+    # only payloads that two rows have can be revisits; the copies of a payload are dealt out
     numbered = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     first = keyed.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min(numbered).alias("first"), F.count("*").alias("n"))
-    first = materialise(first.filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")))
-    marked = keyed.join(first, "digest", "left")
+    first = materialise(first.filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "n"))
+    marked = join_dealt(keyed, first, ["digest"], "n", "left")
 
     def work(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         task = TaskContext.get().partitionId()

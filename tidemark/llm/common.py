@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.storage import materialise
 
-__all__ = ["batch_rows", "documents", "map_arrow", "materialise", "or_empty", "table"]
+__all__ = ["batch_rows", "documents", "join_dealt", "map_arrow", "materialise", "or_empty", "table"]
 
 #: Rows and bytes in an Arrow batch sent to Python: a bound on what one task holds, since texts may be long.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 500, "32m"
@@ -60,6 +60,29 @@ def map_arrow(
     return df.select(*columns).mapInArrow(run, fields)
 
 
+def join_dealt(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, how: str = "inner") -> DataFrame:
+    """`rows` joined on `keys` with `per_key`, a written table of one row a key, by sorting; no task gets a hot key as a whole.
+
+    `size` names the column of `per_key` that counts a key's rows, about. A key is hot if it has more than a `SHARES`-th of
+    all that are counted for each shuffle partition: at most `SHARES` keys a partition are, whatever the tables' size, so
+    they are broadcast; their rows are dealt out by their values, and meet as many copies of the key's row. Rows
+    with a null key meet nothing and keep their place. The plan is the same at every size.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one number comes to the driver
+    share = max(1, -(-(per_key.agg(F.sum(size)).first()[0] or 0) // (SHARES * partitions)))
+    parts = F.ceil(F.col(size) / F.lit(share)).cast("int")
+    hot = per_key.filter(F.col(size) > share).select(*keys, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), list(keys), "left")
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__parts"))).cast("int")
+    dealt = dealt.select(*rows.columns, part.alias("__part"))
+    copies = per_key.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copies.hint("merge"), [*keys, "__part"], how).drop("__part")
+
+
+#: Hot keys for each shuffle partition, at most (see `join_dealt`).
+SHARES = 16
+
 _ARROW = {
     T.LongType: pa.int64(),
     T.IntegerType: pa.int32(),

@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, or_empty
+from tidemark.llm.common import join_dealt, materialise, or_empty
 
 # The base patterns, in the order in which their spans are listed.
 PATTERNS = {
@@ -202,7 +202,7 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, guess: float = GUESS, pr
     """`doc, term` of each term, or class of terms, that discloses an entity of the same text of `texts` too well."""
     same = F.bit_xor(F.xxhash64("doc")).alias("docs")  # names the set of documents
     entity = materialise(texts.select("doc", F.explode("entities").alias("entity")))
-    entities = entity.groupBy("entity").agg(F.count("*").alias("n_entity"), same)
+    entities = materialise(entity.groupBy("entity").agg(F.count("*").alias("n_entity"), same))
     terms = materialise(texts.select("doc", "copies", F.explode(terms_of(F.col("text"))).alias("term")))
     # whole documents of the whole corpus; a task gives a term one row, however many of its documents hold it
     frequency = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_rows"))
@@ -213,9 +213,9 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, guess: float = GUESS, pr
     known = protected.join(frequency, "term").withColumn("n_term", F.col("n_rows") - F.col("extra")).join(F.broadcast(n))
     # no entity stands beside the term more often than personal data does: all others cannot pass below
     able = F.col("n_protected") + prior * F.col("most") / F.col("n") >= guess * (F.col("n_term") + prior)
-    known = materialise(known.filter(able).select("term", F.struct("docs", "n_term").alias("terms"), "n"))
-    term = materialise(terms.join(known, "term").select("doc", "term", "terms", "n"))
-    sets = entity.join(entities, "entity").select("doc", F.struct("docs", "n_entity").alias("entities")).distinct()
+    known = materialise(known.filter(able).select("term", F.struct("docs", "n_term").alias("terms"), "n", "n_protected"))
+    term = materialise(join_dealt(terms, known, ["term"], "n_protected").select("doc", "term", "terms", "n"))
+    sets = join_dealt(entity, entities, ["entity"], "n_entity").select("doc", F.struct("docs", "n_entity").alias("entities")).distinct()
     chance = F.col("entities.n_entity") / F.col("n")
     likely = lambda n_both: (n_both + prior * chance) / (F.col("terms.n_term") + prior)
     met = term.select("doc", "terms", "n").distinct().join(sets, "doc")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import map_arrow, materialise, or_empty
+from tidemark.llm.common import join_dealt, map_arrow, materialise, or_empty
 
 # Elements and names that HTML and common page templates give to what is not the article.
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select iframe noscript template svg object canvas".split())
@@ -323,11 +323,12 @@ def shared_by_lists(lists: DataFrame, nearest: int = NEAREST) -> DataFrame:
 
 
 def template_lines(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """`sha, host, shared` of the pages (by their digest) that share lines with partners."""
+    """`sha, host, n, shared` of the pages (by their digest) that share lines with partners, and how many rows each is."""
     read = materialise(read_lines(pages))
     lists = read.groupBy("host", "list").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
     shared = materialise(shared_by_lists(lists, nearest))
-    return materialise(read.select("sha", "host", "list").distinct().join(shared, ["host", "list"]).select("sha", "host", "shared"))
+    pages_ = read.groupBy("sha", "host", "list").agg(F.count("*").alias("n"))
+    return materialise(pages_.join(shared, ["host", "list"]).select("sha", "host", "n", "shared"))
 
 
 def kept_lines(lines: list[str], zones: str, shared: set[int]) -> tuple[str, int, int, int]:
@@ -356,8 +357,7 @@ def extract(pages: DataFrame, nearest: int = NEAREST) -> DataFrame:
             yield dict(zip(("page_id", "url", "sha", "host"), kept, strict=True)) | {"lines": texts, "zones": [z for _, z in found]}
 
     parsed = map_arrow(named, ["page_id", "url", "sha", "host", "html"], read, "page_id long, url string, sha binary, host string, lines string, zones string")
-    # joined by sorting whatever the size, so that a larger table has no other plan
-    joined = parsed.join(shared.hint("merge"), ["sha", "host"], "left")
+    joined = join_dealt(parsed, shared, ["sha", "host"], "n", "left")
 
     def keep(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for page_ids, urls, texts, zones, gone in batches:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, materialise, or_empty
+from tidemark.llm.common import join_dealt, map_arrow, materialise, or_empty
 
 FAN_BITS = 6
 #: Filters that a merge takes, and ranges that it gives.
@@ -191,8 +191,8 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     """`text_sha256, keep_id, group_size` of every text that more than one row has, verified byte by byte."""
     keyed = _keyed(docs.select("doc_id", "text"))
     suspects = materialise(counted_fingerprints(keyed.select("fp")))
-    # grouping by the text compares bytes; equal texts collapse in the map tasks, so a hot text costs a row a task
-    verified = keyed.join(suspects.select("fp"), "fp").groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # a hot text's rows are dealt out; grouping by the text compares bytes, and equal texts collapse in each of these tasks
+    verified = join_dealt(keyed, suspects, ["fp"], "n").groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return verified.filter("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
@@ -202,7 +202,7 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.sha2(or_empty("text"), 256).alias("text_sha256"))
     # repeated rows are counted, and told apart again by a number: one of them may stay
     same = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    joined = same.join(groups, "text_sha256", "left").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    joined = join_dealt(same, groups, ["text_sha256"], "group_size", "left").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -212,19 +212,18 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are.
+    """The rows of `docs` that stay, all columns as they are; names that begin with two underscores are taken.
 
     The texts are shuffled once, whatever the groups' number, so that a larger table has no other plan.
     """
-    groups = materialise(duplicate_groups(docs)).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__many"))
-    sha = F.sha2(or_empty("text"), 256)
+    groups = materialise(duplicate_groups(docs)).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__many"))
+    named = docs.withColumn("__sha", F.sha2(or_empty("text"), 256))
     # texts whose doc_id that stays is that of several rows: few if ids are unique, and then the second pass is a small join
-    rows = docs.select("doc_id", sha.alias("__sha")).join(groups, "__sha").filter(F.col("doc_id").eqNullSafe(F.col("__keep")))
-    tied = materialise(rows.groupBy("__sha").agg(F.count("*").alias("n")).filter("n > 1").select("__sha"))
-    named = docs.withColumn("__sha", sha)
-    groups = groups.join(tied.withColumn("__tied", F.lit(True)), "__sha", "left")
-    stays = ~F.coalesce("__many", F.lit(False)) | (F.col("doc_id").eqNullSafe(F.col("__keep")) & F.col("__tied").isNull())
-    alone = named.join(groups.hint("merge"), "__sha", "left").filter(stays)
-    again = named.join(tied, "__sha").join(groups.select("__sha", "__keep"), "__sha").filter(F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    rows = join_dealt(named.select("doc_id", "__sha"), groups, ["__sha"], "__many").filter(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    tied = materialise(rows.groupBy("__sha").agg(F.count("*").alias("__rows")).filter("__rows > 1"))
+    groups = groups.join(tied.select("__sha", F.lit(True).alias("__tied")), "__sha", "left")
+    stays = F.col("__many").isNull() | (F.col("doc_id").eqNullSafe(F.col("__keep")) & F.col("__tied").isNull())
+    alone = join_dealt(named, groups, ["__sha"], "__many", "left").filter(stays)
+    again = named.join(tied.select("__sha"), "__sha").join(groups.select("__sha", "__keep"), "__sha").filter(F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return alone.select(*columns).unionByName(again.select(*columns))

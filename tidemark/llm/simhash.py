@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, materialise, or_empty
+from tidemark.llm.common import join_dealt, map_arrow, materialise, or_empty
 
 RADIUS = 3
 WORDS = 3
@@ -381,17 +381,18 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             fps = [int(np.uint64(fingerprint_of(h)).view(np.int64)) for h in hashes]
             yield {"sha": shas, "fp": fps, "bands": [band_keys(h) if len(h) else [] for h in hashes]}
 
-    distinct = map_arrow(keyed, ["sha", "text"], sketch, "sha binary, fp long, bands array<bigint>").dropDuplicates(["sha"])
+    distinct = map_arrow(keyed, ["sha", "text"], sketch, "sha binary, fp long, bands array<bigint>")
+    distinct = distinct.groupBy("sha").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     # a number for each distinct text, which no two texts share
     sketches = materialise(distinct.withColumn("node", F.monotonically_increasing_id()))
     families = _members(family_links(sketches)).withColumnRenamed("root", "family")
-    families = materialise(sketches.select("node", "sha").join(families, "node"))
+    families = materialise(sketches.select("node", "sha", "n").join(families, "node"))
 
     def sets(batches: Iterator[list]) -> Iterator[dict[str, list]]:
         for nodes, owners, texts in batches:
             yield {"node": nodes, "family": owners, "shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]}
 
-    texts = keyed.join(families.hint("merge"), "sha")
+    texts = join_dealt(keyed, families, ["sha"], "n")
     sets_ = materialise(map_arrow(texts, ["node", "family", "text"], sets, "node long, family long, shingles binary").dropDuplicates(["node"]))
     rooted = join_groups(links_in_families(sets_, similarity))
     named = families.select("node", "sha")
@@ -402,7 +403,8 @@ def links_in_families(sets: DataFrame, similarity: float) -> DataFrame:
     """`a, b`: nodes of a family (`node, family, shingles`) with `similarity` in common, enough of them to join every group."""
     sizes = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
     parts = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("long")
-    placed = sets.join(sizes.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    sizes = materialise(sizes.select("family", "n", parts.alias("parts")))
+    placed = join_dealt(sets, sizes, ["family"], "n").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     # as with buckets: each pair of parts is a cell, and a row goes to the cells of its part
     other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     cells = F.transform(other, lambda o: F.least(o, F.col("part")) * F.col("parts") + F.greatest(o, F.col("part")))
