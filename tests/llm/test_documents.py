@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers
@@ -530,8 +531,10 @@ def disclosing_by_definition(texts: list[str], guess: float, prior: float) -> li
             blank[int(a) : int(b)] = " " * (int(b) - int(a))
         bare.append("".join(blank))
         entities.append({f"{k}:{t[int(a):int(b)].lower()}" for k, a, b in (x.split(":") for x in found)})
-    words = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
-    terms = lambda t: words(t) | {w[:3] + "*" for w in words(t)}
+    term = regex.compile(r"(?:(?![\p{Han}\p{Hiragana}\p{Thai}])[\p{L}\p{N}]\p{M}*)+|[\p{Han}\p{Hiragana}\p{Thai}]\p{M}*")
+    words = lambda t: {w.lower() for w in term.findall(t)}
+    wider = lambda w: w[: min(3, len(w) - 1)] + "*"
+    terms = lambda t: words(t) | {wider(w) for w in words(t)}
     counted = [k for k, t in enumerate(texts) if not entities[k] or texts.index(t) == k]
     inside = {k: terms(bare[k] if entities[k] else texts[k]) for k in counted}
     # words inside personal data count in how often a term occurs, not in what stands beside an entity
@@ -548,8 +551,8 @@ def disclosing_by_definition(texts: list[str], guess: float, prior: float) -> li
                     return True
             return False
 
-        found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", bare[k])]
-        out.append({(a, b, "" if tells(w[:3] + "*") else w[:3] + "*") for a, b, w in found if tells(w)})
+        found = [(m.start(), m.end(), m[0].lower()) for m in term.finditer(bare[k])]
+        out.append({(a, b, "" if tells(wider(w)) else wider(w)) for a, b, w in found if tells(w)})
     return out
 
 
@@ -559,20 +562,25 @@ def test_terms_that_disclose_an_entity_by_definition(spark):
     rng = random.Random(5)
     names = [f"p{k}@mail.example.com" for k in range(6)]
     secret = {n: [f"{'Quv' if k % 2 else 'Zor'}{c}lin{'xyzuvw'[k]}" for c in "abc"] for k, n in enumerate(names)}
+    # short names, numbers, and names in a script without spaces
+    for n, more in zip(names, (["Li", "李小龙"], ["Bo", "47b"], ["9081"], ["Ü"], ["ไทยา", "x"], ["नाम", "Nguyễn"]), strict=True):
+        secret[n] += more
     common = ["River", "stone", "rivet", "quart", "Zone", "mail", "example", "stony", "ʼnaïve", "größe"]
     texts = []
     for k in range(150):
         said = rng.choices(common, k=6)
         if k % 3 == 0:
             name = rng.choice(names)
-            said += [name, *rng.sample(secret[name], 2)] + ([rng.choice(names), "10.0.0.7"] if k % 9 == 0 else [])
+            said += [name, *rng.sample(secret[name], 3)] + ([rng.choice(names), "10.0.0.7"] if k % 9 == 0 else [])
         rng.shuffle(said)
         texts.append(" ".join(said))
     texts += [texts[0]] * 4 + [texts[1]] * 3 + [f"{w} alone" for w in secret[names[0]]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     for guess, prior in ((0.5, 2.0), (0.8, 0.5)):
         want = disclosing_by_definition(texts, guess, prior)
-        assert 20 < sum(map(len, want)) < 300
+        assert 20 < sum(map(len, want)) < 400
+        told = {t[a:b] for t, spans in zip(texts, want, strict=True) for a, b, _ in spans}
+        assert {"Li", "Bo", "李", "47b", "9081", "Ü", "ไ", "नाम", "Nguyễn"} - told == set() or guess > 0.5
         got = {r["doc_id"]: r["spans"] for r in disclosure.find_personal_data(df, guess, prior).collect()}
         assert {k: {x for x in v.split(",") if x.startswith("term")} for k, v in got.items()} == {k: {f"term:{a}:{b}" for a, b, _ in x} for k, x in enumerate(want)}
         clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(df, guess, prior).collect()}

@@ -9,8 +9,8 @@ over whole documents, `prior` being imagined documents that hold the entity as o
 document that term and entity happen to share proves nothing. In information: -log2 P(entity | term) bits are left to
 guess of the entity's -log2 P(entity). A term discloses an entity if the guess succeeds with at least `guess`, and the
 term at least doubles its chance. It is then masked at each of its places in the documents that hold the entity. What
-it is generalised to is its class, all words with the same first letters: counted like a term, and if the class
-discloses too much itself, the term is removed.
+it is generalised to is its class, all terms with the same first letters: counted like a term, and if the class
+discloses too much itself, the term is removed. Terms are runs of letters and digits of any length.
 
 Counting: a text with personal data counts once, however many rows have it; other rows count each. Entities that stand
 in the same documents are one to the statistics, and so are terms; a document gives pairs of such sets, not of single
@@ -41,7 +41,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{3,}"
+# Scripts that put no spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: A run of letters and digits of any length; in scripts without spaces each letter, as nothing tells where a word ends.
+TERM = rf"[\p{{L}}\p{{N}}&&[{UNSPACED}]]\p{{M}}*+|[\p{{L}}\p{{N}}&&[^{UNSPACED}]][\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]*+"
 #: The chance of a right guess from which a term discloses an entity, and the imagined documents of the prior.
 GUESS, PRIOR = 0.5, 2.0
 #: Letters that the words of a class share.
@@ -188,8 +191,8 @@ def protected_texts(base: DataFrame) -> DataFrame:
 
 
 def class_of(term: Column) -> Column:
-    """The class that a term is generalised to; terms have letters only, so no term is a class."""
-    return F.concat(F.substring(term, 1, CLASS_LETTERS), F.lit("*"))
+    """The class that a term is generalised to: its first letters, but never all of them. No term has a star, so none is a class."""
+    return F.concat(F.substring(term, F.lit(1), F.least(F.lit(CLASS_LETTERS), F.length(term) - 1)), F.lit("*"))
 
 
 def terms_of(text: Column) -> Column:
@@ -209,6 +212,10 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, guess: float = GUESS, pr
     most = entities.agg(F.max("n_entity").alias("most"))
     extra = texts.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("extra"))
     n = docs.agg(F.count("*").alias("n")).join(extra).select((F.col("n") - F.col("extra")).alias("n")).join(most)
+    n = materialise(n)
+    # no term can disclose an entity as rare as this, not one in a single document either: most entities of long logs go here
+    possible = F.col("n_entity") * (1 + prior / F.col("n")) >= guess * (1 + prior) - 1e-9
+    entities = materialise(entities.join(F.broadcast(n)).filter(possible).select("entity", "docs", "n_entity"))
     protected = terms.groupBy("term").agg(F.count("*").alias("n_protected"), F.sum(F.col("copies") - 1).alias("extra"), same)
     known = protected.join(frequency, "term").withColumn("n_term", F.col("n_rows") - F.col("extra")).join(F.broadcast(n))
     # no entity stands beside the term more often than personal data does: all others cannot pass below
