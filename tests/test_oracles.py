@@ -1,9 +1,11 @@
 """Queries against DuckDB over the smallest tables; the driver compares all of them at a larger size."""
 
+import datetime as dt
 import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +42,23 @@ def test_query_equals_sql(spark, duck, name):
     found = duck.sql(registry.ORACLE_SQL[name])
     at = [found.columns.index(c) for c in columns]
     assert sorted(tuple(text(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(text(r[i]) for i in at) for r in found.fetchall())
+
+
+def equal_on(spark, folder, name, events) -> list[tuple]:
+    """The query's rows on a table of `events` (event_id, ts, event_type, value), as they are by its SQL."""
+    from tidemark.plans import registry
+
+    pd.DataFrame(events, columns=["event_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet", index=False)
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{folder}/events.parquet'")
+    df = registry.QUERIES[name](spark, str(folder))
+    want = sorted(c.execute(f"select {', '.join(df.columns)} from ({registry.ORACLE_SQL[name]})").fetchall())
+    assert sorted(tuple(r) for r in df.collect()) == want
+    return want
+
+
+def test_events_of_one_pair_and_time_are_one_key(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 12)
+    near = at + dt.timedelta(microseconds=1)
+    events = [(1, at, "a", 1.0), (2, at, "a", 2.0), (3, near, "a", 1.0), (4, at, "b", 1.0), (5, at, "a", 1.0)]
+    assert equal_on(spark, tmp_path, "st04_without_duplicates", events) == [("a", "2024-01-01 12:00:00", 1)] * 2 + [("b", "2024-01-01 12:00:00", 1)]

@@ -469,9 +469,9 @@ def st03_quarantine(spark, sf):
     return spark.read.parquet(bad)
 
 
-@query("pair:s ts:t n:i", "SELECT event_type AS pair, ts, 1 AS n FROM events")
+@query("pair:s ts:t n:i", "SELECT DISTINCT event_type AS pair, ts, 1 AS n FROM events")
 def st04_without_duplicates(spark, sf):
-    """A stream that gives each key twice, each kept once."""
+    """A stream that gives each key (pair and time, whatever the event) at least twice, each kept once."""
     twice = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return _run(spark, ST.without_duplicates(twice, ["pair", "ts"]).select("pair", "ts", F.lit(1).alias("n")))
 
