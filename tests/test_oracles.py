@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -52,8 +53,8 @@ def equal_on(spark, folder, name, events) -> list[tuple]:
     c = duckdb.connect()
     c.execute(f"create view events as select * from '{folder}/events.parquet'")
     df = registry.QUERIES[name](spark, str(folder))
-    want = sorted(c.execute(f"select {', '.join(df.columns)} from ({registry.ORACLE_SQL[name]})").fetchall())
-    assert sorted(tuple(r) for r in df.collect()) == want
+    want = sorted(c.execute(f"select {', '.join(df.columns)} from ({registry.ORACLE_SQL[name]})").fetchall(), key=str)
+    assert sorted((tuple(r) for r in df.collect()), key=str) == want
     return want
 
 
@@ -62,3 +63,12 @@ def test_events_of_one_pair_and_time_are_one_key(spark, tmp_path):
     near = at + dt.timedelta(microseconds=1)
     events = [(1, at, "a", 1.0), (2, at, "a", 2.0), (3, near, "a", 1.0), (4, at, "b", 1.0), (5, at, "a", 1.0)]
     assert equal_on(spark, tmp_path, "st04_without_duplicates", events) == [("a", "2024-01-01 12:00:00", 1)] * 2 + [("b", "2024-01-01 12:00:00", 1)]
+
+
+def test_positions_go_by_time_and_id_however_rows_lie(spark, tmp_path):
+    at, rng = dt.datetime(2024, 1, 1), random.Random(7)
+    events = [(k, at + dt.timedelta(minutes=k // 4), "a", rng.choice([5.0, 50.0, 95.0])) for k in range(12_000)]  # four of each time
+    events += [(20_000, at, "b", 95.0), (20_001, at, "b", 50.0), (20_002, at, "b", 5.0), (20_003, None, "b", 95.0), (20_004, at, None, 50.0)]
+    rng.shuffle(events)
+    found = sorted((r for r in equal_on(spark, tmp_path, "st07_held_positions", events) if r[0] != "a"), key=str)
+    assert found == [("b", "2024-01-01 00:00:00", 0, 3), ("b", "2024-01-01 00:00:00", 1, 1), ("b", "2024-01-01 00:00:00", 1, 2), ("b", None, 1, 4), (None, "2024-01-01 00:00:00", 0, 1)]

@@ -488,11 +488,14 @@ def st06_sessions(spark, sf):
     return _run(spark, ST.sessions(_stream(spark, sf)))
 
 
-@query("pair:s ts:t position:i n_seen:i", "SELECT event_type AS pair, ts, coalesce(last_value(CASE WHEN value > 90 THEN 1 WHEN value < 10 THEN 0 END IGNORE NULLS) OVER w, 0) AS position, row_number() OVER w AS n_seen FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+@query("pair:s ts:t position:i n_seen:i", "SELECT event_type AS pair, ts, coalesce(last_value(CASE WHEN value > 90 THEN 1 WHEN value < 10 THEN 0 END IGNORE NULLS) OVER w, 0) AS position, row_number() OVER w AS n_seen FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def st07_held_positions(spark, sf):
-    """Positions kept as state per pair."""
-    s = _stream(spark, sf).withColumn("event", F.when(F.col("price") > 90, 1.0).when(F.col("price") < 10, 0.0))
-    return _run(spark, ST.held_positions(s.select("pair", "ts", "event")))
+    """Positions kept as state per pair; events of one time in the order of their ids."""
+    path = _folder(spark)
+    s = _stream(spark, sf).select("pair", "ts", F.col("event_id").alias("seq"), F.when(F.col("price") > 90, 1).when(F.col("price") < 10, 0).alias("event"))
+    q = s.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda b, n: ST.held_positions(b, n, path)).start()
+    q.awaitTermination()
+    return spark.read.schema(ST.POSITION).parquet(f"{path}/rows")
 
 
 @query("pair:s entry_date:d exit_date:d direction:i entry_price:f exit_price:f pnl_pct:f exit_reason:s")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.operators import blocks
 
 
 def day_bars(ticks: DataFrame, late: str = "2 hours", offset: str = "23 hours") -> DataFrame:
@@ -57,21 +55,31 @@ def enriched(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 
 
 POSITION = "pair string, ts timestamp, position int, n_seen long"
-
-
-def held_positions(events: DataFrame) -> DataFrame:
-    """The position that the last event of each pair asks for, kept as state across micro-batches."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        position, seen = state.get if state.exists else (0, 0)
-        for part in parts:
-            part = part.sort_values("ts")
-            held = []
-            for e in part["event"]:
-                position = position if pd.isna(e) else int(e)
-                held.append(position)
-            seen += len(part)
-            yield pd.DataFrame({"pair": key[0], "ts": part["ts"], "position": held, "n_seen": range(seen - len(part) + 1, seen + 1)})
-        state.update((position, seen))
-
-    return events.groupBy("pair").applyInPandasWithState(step, POSITION, "position int, seen long", "append", GroupStateTimeout.NoTimeout)
+HELD = "pair string, block long, asked int, n long"
+FIRST, LAST = -(2**63), 2**63 - 1
+
+
+def held_positions(batch: DataFrame, number: int, folder: str) -> None:
+    """The position that the last event of each pair asks for, and the pair's rows so far: a micro-batch's rows, to `folder`/rows.
+
+    Rows (pair, ts, seq, event) of a micro-batch go by time, those without one last, and at the same time by `seq`, however they lie
+    in files and partitions; no task sorts more than a day of a pair. What each pair holds in the end goes to `folder`/held, where
+    the next micro-batch takes it up. Both are named by the micro-batch's number, so one that is run again replaces its own rows.
+    """
+    at = F.struct(F.col("ts").isNull(), "ts", "seq")
+    rows = blocks.in_blocks_of(batch, days=1).select("pair", "ts", F.col("event").cast("int").alias("event"), at.alias("at"), F.coalesce("block", F.lit(LAST)).alias("block")).persist()
+    last = F.max_by("event", F.when(F.col("event").isNotNull(), F.col("at"))).alias("asked")
+    ends = rows.groupBy("pair", "block").agg(last, F.count("*").alias("n"))
+    if number:  # what was held before is a block before all others
+        ends = ends.unionByName(batch.sparkSession.read.schema(HELD).parquet(f"{folder}/held/batch={number - 1}"))
+    ends = ends.persist()
+    before = Window.partitionBy("pair").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("pair", "block", F.last("asked", ignorenulls=True).over(before).alias("carried"), F.sum("n").over(before).alias("seen"))
+    inside = Window.partitionBy("pair", "block").orderBy("at")
+    own = rows.select("pair", "ts", "block", F.last("event", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("asked"), F.row_number().over(inside).alias("n"))
+    position, seen = F.coalesce("asked", "carried", F.lit(0)).alias("position"), (F.col("n") + F.coalesce("seen", F.lit(0))).alias("n_seen")
+    blocks.met(own, carried, ["pair", "block"], ["carried", "seen"]).select("pair", "ts", position, seen).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    held = ends.groupBy("pair").agg(F.max_by("asked", F.when(F.col("asked").isNotNull(), F.col("block"))).alias("asked"), F.sum("n").alias("n"))
+    held.select("pair", F.lit(FIRST).alias("block"), "asked", "n").write.mode("overwrite").parquet(f"{folder}/held/batch={number}")
+    ends.unpersist()
+    rows.unpersist()
